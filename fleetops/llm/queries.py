@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetops.llm.common import table
 from fleetops.llm.mixing import mix
+from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
 
 
@@ -46,9 +47,17 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_posterior"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
+    "op8_weak_supervision": op8_weak_supervision,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
