@@ -11,6 +11,12 @@ from fleetops.llm.common import table
 from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
+from fleetops.llm.simhash import near_dedup
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=2, columns=["doc_id"])
+    return out.select("doc_id", "fingerprint", "component_id", "is_first")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +61,7 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op8_weak_supervision": op8_weak_supervision,
