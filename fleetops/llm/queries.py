@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetops.llm.common import table
+from fleetops.llm.decontaminate import contamination
 from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
@@ -60,11 +61,18 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = out.select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", "m.at_word", "m.score", "m.containment", "m.question_overlap", "m.answer_overlap")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op8_weak_supervision": op8_weak_supervision,
+    "op9_bm25_decontamination": op9_bm25_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
