@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,6 +186,13 @@ def shingles_of(passage: list[str], wanted: set[tuple[str, ...]]) -> set[tuple[s
     return {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)}
 
 
+def finder(index: Broadcast, one: T.StructType):
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series(matches(index.value, list(texts)), dtype=object)
+
+    return F.pandas_udf(find, T.ArrayType(one))
+
+
 def contamination(
     df: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES
 ) -> DataFrame:
@@ -208,12 +216,7 @@ def contamination(
     for p in range(parts):
         part = items.select(id_col, item_text_col).filter(F.pmod(F.xxhash64(id_col, item_text_col), F.lit(parts)) == p)
         index = build(tuple(r) for r in part.sort(id_col, item_text_col).collect())
-        shared = df.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf(T.ArrayType(one))
-        def find(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series(matches(shared.value, list(texts)), dtype=object)
-
+        find = finder(df.sparkSession.sparkContext.broadcast(index), one)
         rows = rows.withColumn(f"_found{p}", find(F.col("_row")[text_col]))
         found.append(F.col(f"_found{p}"))
     return unpack(rows.withColumn("matches", F.concat(*found)), df.columns, ["matches"])
