@@ -13,6 +13,7 @@ from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
 from fleetops.llm.simhash import near_dedup
+from fleetops.llm.suffix_dedup import suffix_dedup
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +68,25 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "m.item_id", "m.at_word", "m.score", "m.containment", "m.question_overlap", "m.answer_overlap")
 
 
+def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
+    "op10_prefix_free_parsing": op10_prefix_free_parsing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
