@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetops.llm import langid, token_counts
 from fleetops.llm.common import table
 from fleetops.llm.decontaminate import contamination
 from fleetops.llm.mixing import mix
@@ -55,6 +56,18 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.col("doc_id"), 4) == 2
+    net = langid.fit(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     return out.select(
@@ -84,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
+    "op5_length_histogram": op5_length_histogram,
+    "op6_byte_cnn": op6_byte_cnn,
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
