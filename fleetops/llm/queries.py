@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetops.llm import langid, token_counts
+from fleetops.llm import langid, quality_crf, token_counts
 from fleetops.llm.common import table
 from fleetops.llm.decontaminate import contamination
+from fleetops.llm.licenses import license_scan
 from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
@@ -17,6 +18,14 @@ from fleetops.llm.simhash import near_dedup
 from fleetops.llm.suffix_dedup import suffix_dedup
 
 
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.remainder(F.col("doc_id"), 3) == 1
+    model = quality_crf.fit(docs, labels.filter(~held_out))
+    found = quality_crf.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=2, columns=["doc_id"])
     return out.select("doc_id", "fingerprint", "component_id", "is_first")
@@ -68,6 +77,10 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     return out.select(
@@ -94,11 +107,13 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_crf": op1_line_crf,
     "op2_simhash": op2_simhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_length_histogram": op5_length_histogram,
     "op6_byte_cnn": op6_byte_cnn,
+    "op7_license_minhash": op7_license_minhash,
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
