@@ -82,14 +82,10 @@ def mix(
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
         right = per.withColumnRenamed("_source", "_to").withColumn("_for", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = F.col("_source").eqNullSafe(F.col("_to")) & (F.col("_salt") == F.col("_for"))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")),
-        F.lit(0),
-        lambda n, d: n + F.size(F.filter("_cdf", lambda c: c <= unit("_id", F.lit("draw"), d.cast("string")))),
-    )
-    once = unit("_id", F.lit("draw"), F.lit("1"))
-    rows = rows.join(right, on).withColumn("_u", once)
-    rows = rows.withColumn("copies", F.when(F.col("_draws") == 1, F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).otherwise(drawn))
+    # As a variable of an outer lambda the number is hashed once, not once for each threshold.
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda d: unit("_id", F.lit("draw"), d.cast("string")))
+    counts = F.transform(draws, lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
+    rows = rows.join(right, on).withColumn("copies", F.aggregate(counts, F.lit(0), lambda s, n: s + n))
     rows = rows.filter("copies > 0").select("_row", "_id", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     key = F.conv(F.substring(F.md5(F.concat_ws("\x1f", "_id", F.lit("order"), F.col("copy_no").cast("string"))), 1, 15), 16, 10)
     rows = rows.withColumn("mix_key", key.cast("long")).repartition("mix_key").sortWithinPartitions("mix_key")
