@@ -46,7 +46,7 @@ LOG_PATH = r"logs/([^/]+)/([^/]+)-v(\d+)\.log$"
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of logs/<batch>/<task>-v<n>.log: batch, task, version, line_no (from 1) and text; a last line end opens no
     line. Files elsewhere have null keys."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.log").text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
     part = lambda i: F.nullif(F.regexp_extract(F.col("_metadata.file_path"), LOG_PATH, i), F.lit(""))
     keys = whole.select(part(1).alias("batch"), part(2).alias("task"), part(3).cast("long").alias("version"), F.regexp_replace("value", "\n$", "").alias("value"))
     return keys.select("batch", "task", "version", F.posexplode(F.split("value", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
@@ -84,7 +84,7 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 def read_notifications(spark: SparkSession, path: str, acked: bool = False) -> DataFrame:
     """Event files, newest first: file, modified, event (variant, null if unreadable), error, acked. Files named .acked
     are left out unless asked for."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_path")
     rows = rows.select(name.alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     event = F.try_parse_json("value")
