@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetops.operators import aggregates as A
 from fleetops.operators import windows as W
+from fleetops.operators.paging import keyset_page
 from fleetops.plans.frames import duck, frame, table
 from fleetops.plans.registry import query
 
@@ -27,6 +28,16 @@ def agg1(spark: SparkSession, d: str) -> DataFrame:
     return A.batch_progress(newest(spark, d), "batch_id", "status")
 
 
+@query(
+    "status_overview",
+    f"""{duck("jobs")}, {NEWEST}, p AS (SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ({OK})) AS finished FROM newest GROUP BY batch_id),
+r AS (SELECT *, row_number() OVER (ORDER BY total DESC, finished, batch_id) AS n FROM p) SELECT batch_id, total, finished, concat(finished, '/', total) AS progress, n = 51 AS extra FROM r WHERE n <= 51""",
+)
+def overview(spark: SparkSession, d: str) -> DataFrame:
+    progress = A.batch_progress(newest(spark, d), "batch_id", "status")
+    return keyset_page(progress, [("total", False), ("finished", True), ("batch_id", True)], 50)
+
+
 @query("agg2_running_by", f"""{duck("jobs")} SELECT project AS key, count(*) AS running FROM jobs WHERE status = 'running' AND gpu > 0 GROUP BY project""")
 def agg2(spark: SparkSession, d: str) -> DataFrame:
     return A.running_by(frame(spark, d, "jobs"), "project", "status", F.col("gpu") > 0)

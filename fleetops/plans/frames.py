@@ -65,6 +65,15 @@ DUCK = {
     "cards": CARDS,
     "log": _events(DUCK_DAY, "json_extract_string(props, '$.k')"),
 }
+#: The debounce rules for samples s(owner, seq, sample), seq counting from 1 without gaps, as a recursion over seq.
+CARD_STATES = """
+w(owner, seq, state, run, failures, dispatchable) AS (SELECT DISTINCT owner, 0::bigint, 'free', 0, 0, false FROM s UNION ALL
+  SELECT owner, seq, CASE WHEN state = 'quarantined' OR f = 5 THEN 'quarantined' WHEN sample = 'failed' THEN state WHEN state = 'free' AND (sample = 'pid' OR (sample = 'util' AND run = 2)) THEN 'unmanaged'
+      WHEN state = 'unmanaged' AND sample = 'clean' AND run = 1 THEN 'free' ELSE state END,
+    CASE WHEN state = 'quarantined' OR f = 5 THEN 0 WHEN sample = 'failed' THEN run WHEN state = 'free' AND sample = 'util' AND run < 2 THEN run + 1 WHEN state = 'unmanaged' AND sample = 'clean' AND run < 1 THEN run + 1 ELSE 0 END,
+    CASE WHEN f = 5 THEN 0 ELSE f END, sample = 'clean' AND (state = 'free' OR (state = 'unmanaged' AND run = 1))
+  FROM (SELECT s.owner, s.seq, s.sample, w.state, w.run, CASE WHEN w.state <> 'quarantined' AND s.sample = 'failed' THEN w.failures + 1 ELSE 0 END AS f FROM w JOIN s ON s.owner = w.owner AND s.seq = w.seq + 1))"""
+
 _SPARK = {"jobs": (_jobs(SPARK_DAY), "orders"), "batches": (BATCHES, "customer"), "projects": (PROJECTS, "nation"), "cards": (CARDS, "supplier"), "log": (_events(SPARK_DAY, "get_json_object(props, '$.k')"), "events")}
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetops.operators import paging as P
-from fleetops.plans.frames import SPARK_DAY, duck, frame, table
+from fleetops.plans.frames import CARD_STATES, SPARK_DAY, duck, frame, table
 from fleetops.plans.registry import query
+from fleetops.plans.window_plans import SAMPLES
 from fleetops.session import shared_dir
 from fleetops.sources import tables as S
 from fleetops.streaming import folds, jobs, stateful
@@ -128,7 +129,10 @@ def run(spark: SparkSession, d: str, name: str, rule: folds.Rule, key: str, **fi
     return jobs.drain(stateful.watch(rows, rule, "key", "moment", "id"), name).filter("not late").drop("late").withColumnRenamed("key", key).withColumnRenamed("at", "moment")
 
 
-@query("str1_stream_card_state")
+@query(
+    "str1_stream_card_state",
+    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, {SAMPLES}, {CARD_STATES} SELECT w.owner, log.moment, w.state, w.dispatchable FROM w JOIN log ON log.owner = w.owner AND log.seq = w.seq""",
+)
 def str1(spark: SparkSession, d: str) -> DataFrame:
     kind, k = F.col("kind"), F.col("k")
     sample = F.when(kind == "error", "failed").when(k < 60, "clean").when(k < 90, "util").otherwise("pid")
@@ -162,7 +166,14 @@ def str4(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "beats", folds.heartbeat_gap(20000, 0), "owner")
 
 
-@query("str5_stream_no_progress")
+@query(
+    "str5_stream_no_progress",
+    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT owner, seq, moment, CASE WHEN k < 70 THEN 'same' ELSE k::varchar END AS d FROM log),
+w(owner, seq, d, since, told, n, moment, out) AS (SELECT DISTINCT owner, 0::bigint, NULL::varchar, 0::bigint, 0::bigint, 0, 0::bigint, false FROM s UNION ALL
+  SELECT owner, seq, d, CASE WHEN fresh THEN moment ELSE since END, CASE WHEN fresh OR due THEN moment ELSE told END, CASE WHEN fresh THEN 0 WHEN due THEN n + 1 ELSE n END, moment, due
+  FROM (SELECT s.owner, s.seq, s.d, w.since, w.told, w.n, s.moment, s.d IS DISTINCT FROM w.d AS fresh, s.d IS NOT DISTINCT FROM w.d AND s.moment - w.told >= 10000 AND w.n < 3 AS due FROM w JOIN s ON s.owner = w.owner AND s.seq = w.seq + 1))
+SELECT owner, moment, moment - since AS stalled, n AS notice FROM w WHERE out""",
+)
 def str5(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "progress", folds.no_progress(10000, 3), "owner", digest=F.when(F.col("k") < 70, "same").otherwise(F.col("k").cast("string")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetops.operators import windows as W
-from fleetops.plans.frames import duck, frame
+from fleetops.plans.frames import CARD_STATES, duck, frame
 from fleetops.plans.registry import query
 
 TERMINAL = ("done", "skip", "failed", "blocked", "cancelled", "timed_out", "interrupted")
@@ -119,7 +119,13 @@ def win8(spark: SparkSession, d: str) -> DataFrame:
     return W.streaks(frame(spark, d, "log"), "owner", ["seq"], F.col("cents") > 2500, 3).select("owner", "seq", "run")
 
 
-@query("win9_card_states")
+SAMPLES = "s AS (SELECT owner, seq, id, CASE WHEN kind = 'error' THEN 'failed' WHEN k < 60 THEN 'clean' WHEN k < 90 THEN 'util' ELSE 'pid' END AS sample FROM log)"
+
+
+@query(
+    "win9_card_states",
+    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, {SAMPLES}, {CARD_STATES} SELECT w.owner, w.seq, s.id, s.sample, w.state, w.dispatchable FROM w JOIN s ON s.owner = w.owner AND s.seq = w.seq""",
+)
 def win9(spark: SparkSession, d: str) -> DataFrame:
     log = frame(spark, d, "log")
     sample = F.when(F.col("kind") == "error", "failed").when(F.col("k") < 60, "clean").when(F.col("k") < 90, "util").otherwise("pid")
