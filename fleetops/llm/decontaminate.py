@@ -188,7 +188,7 @@ def shingles_of(passage: list[str], wanted: set[tuple[str, ...]]) -> set[tuple[s
 
 def finder(index: Broadcast, one: T.StructType):
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series(matches(index.value, list(texts)), dtype=object)
+        return pd.Series(matches(Index(*index.value), list(texts)), dtype=object)
 
     return F.pandas_udf(find, T.ArrayType(one))
 
@@ -216,7 +216,7 @@ def contamination(
     for p in range(parts):
         part = items.select(id_col, item_text_col).filter(F.pmod(F.xxhash64(id_col, item_text_col), F.lit(parts)) == p)
         index = build(tuple(r) for r in part.sort(id_col, item_text_col).collect())
-        find = finder(df.sparkSession.sparkContext.broadcast(index), one)
+        find = finder(df.sparkSession.sparkContext.broadcast(tuple(index)), one)
         rows = rows.withColumn(f"_found{p}", find(F.col("_row")[text_col]))
         found.append(F.col(f"_found{p}"))
     return unpack(rows.withColumn("matches", F.concat(*found)), df.columns, ["matches"])

@@ -182,7 +182,7 @@ def predictor(net: Broadcast):
     kind = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict(net.value, list(texts)), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict(Net(*net.value) if net.value else None, list(texts)), columns=["lang_pred", "score"])
 
     return F.pandas_udf(run, kind)
 
@@ -191,7 +191,7 @@ def identify(df: DataFrame, net: Net | None, text_col: str = "text") -> DataFram
     """Adds `lang_pred` (a learned language, or `und` for a null text or one without a letter) and `score` (0 to 1;
     0 for `und`). Every byte of a text is in a window. Input columns of these names give way; an empty input gives an
     empty result; without a network (nothing learned) all are `und`."""
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast(net and tuple(net))
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")]
     found = df.select(*keep, predictor(shared)(F.col(text_col)).alias("_found"))
     return found.select(*keep, "_found.lang_pred", "_found.score")

@@ -246,7 +246,8 @@ def scorer(model: Broadcast, lines: bool):
     kind = kind.add("lines", T.ArrayType(T.DoubleType())) if lines else kind
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        parts = [score(model.value, t) for t in lots(list(texts))]
+        crf = Crf(*model.value)
+        parts = [score(crf, t) for t in lots(list(texts))]
         out = {"score": np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)}
         if lines:
             out["lines"] = [x.tolist() for p in parts for x in p[1]]
@@ -262,7 +263,7 @@ def classify(df: DataFrame, model: Crf, text_col: str = "text", lines: bool = Fa
     A null, empty or blank text counts as one empty line and gets a score like any other. Input columns of these names
     give way; an empty input gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(model))
     outs = ["score", "predicted", *(["line_scores"] if lines else [])]
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outs]
     found = df.select(*keep, scorer(shared, lines)(F.col(text_col)).alias("_found"))

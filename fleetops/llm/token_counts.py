@@ -19,35 +19,37 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Encoder:
-    """A byte-level BPE vocabulary; the driver reads the file, a worker builds the tokenizer once and keeps it."""
+    """A byte-level BPE vocabulary. The driver reads the file; `plain` is what travels to the executors."""
 
     def __init__(self, path: str = RANKS, pattern: str = PATTERN) -> None:
         with open(path, "rb") as f:
-            self.ranks = f.read()
-        self.pattern, self.built = pattern, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"built": None}
+            self.plain = {"ranks": f.read(), "pattern": pattern}
 
     def length(self, text: str | None) -> int:
-        if self.built is None:
-            import tiktoken
+        return length(self.plain, text)
+
+
+def length(plain: dict, text: str | None) -> int:
+    """Tokens of a whole text. The tokenizer is built once and kept beside what it is made of, so a worker that keeps the
+    broadcast keeps it too."""
+    if "built" not in plain:
+        import tiktoken
 
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, self.ranks.splitlines())}
-            self.built = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return len(self.built.encode_ordinary(text)) if text else 0
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, plain["ranks"].splitlines())}
+        plain["built"] = tiktoken.Encoding("own", pat_str=plain["pattern"], mergeable_ranks=ranks, special_tokens={})
+    return len(plain["built"].encode_ordinary(text)) if text else 0
 
 
 def counter(encoder: Broadcast):
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([encoder.value.length(t) for t in texts], dtype="int64")
+        return pd.Series([length(encoder.value, t) for t in texts], dtype="int64")
 
     return F.pandas_udf(count, T.LongType())
 
 
 def token_lengths(df: DataFrame, encoder: Encoder | None = None, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """Adds the number of tokens of each whole text; null and empty texts have none. An input column of that name gives way."""
-    shared = df.sparkSession.sparkContext.broadcast(encoder or Encoder())
+    shared = df.sparkSession.sparkContext.broadcast({k: v for k, v in (encoder or Encoder()).plain.items() if k != "built"})
     return df.withColumn(out, counter(shared)(F.col(text_col)))
 
 
