@@ -101,12 +101,15 @@ def progress(text: Column, lines: int = 200) -> Column:
 def log_excerpt(text: Column, marker: str, around: int = 3, longest: int = 4096) -> Column:
     """The first line that contains a marker (a Java pattern) with the lines around it; of more than `longest` characters
     the last ones. Null if no line does."""
-    lines = F.split(text, "\n")
-    hit = F.array_position(F.transform(lines, lambda x: x.rlike(marker)), True)
-    first = F.greatest(F.lit(1), hit - around).cast("int")
-    part = F.array_join(F.slice(lines, first, (hit + around - first + 1).cast("int")), "\n")
-    cut = F.when(F.length(part) > longest, F.substring(part, -longest, longest)).otherwise(part)
-    return F.when(hit > 0, cut)
+
+    def cut(lines: Column) -> Column:
+        hit = F.array_position(F.transform(lines, lambda x: x.rlike(marker)), True)
+        return F.when(hit > 0, F.array_join(F.slice(lines, F.greatest(F.lit(1), hit - around).cast("int"), (F.least(hit - 1, F.lit(around)) + around + 1).cast("int")), "\n"))
+
+    # as variables of outer lambdas the lines and the excerpt are made once
+    part = F.transform(F.array(F.split(text, "\n")), cut)
+    short = F.transform(part, lambda p: F.when(F.length(p) > longest, F.substring(p, -longest, longest)).otherwise(p))
+    return short[0]
 
 
 def mib_to_gib(mib: Column, digits: int = 2) -> Column:
