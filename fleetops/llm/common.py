@@ -28,14 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: What `cut` has written in this process and `release` may delete.
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetops-{tag}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what `cut` has written, once the frames that read it are no longer needed; returns how many tables."""
+    context = spark.sparkContext
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for frames that are small beside the input; Spark's cleaner removes it."""
     shared_dir(df.sparkSession)

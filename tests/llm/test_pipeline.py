@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetops.llm.common import below, cut, table
+from fleetops.llm import common
+from fleetops.llm.common import below, cut, release, table
 from fleetops.llm.decontaminate import shingles, words
 from fleetops.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_quality_rules import brute
@@ -80,3 +81,12 @@ def test_sums_below(spark):
     got = {r.k: r.v_below for r in below(df, "k", ["v"]).collect()}
     assert got == {k: sum(x + 1 for x in keys if x < k) for k in keys}
     assert below(df.filter(F.lit(False)), "k", ["v"]).count() == 0
+
+
+def test_cuts_can_be_released(spark, monkeypatch):
+    monkeypatch.setattr(common, "WRITTEN", [])
+    kept = cut(spark.range(5), "kept")
+    assert kept.count() == 5 and release(spark) == 1
+    spark.catalog.clearCache()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FAILED_READ_FILE"):
+        kept.count()
