@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +19,6 @@ FILTERS = 8
 PER_LANG = 400
 SAMPLE_CHARS = 512
 
-LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
 
@@ -153,7 +151,7 @@ def predict(net: Net | None, texts: list[str | None], lot_bytes: int = 1 << 20)
         size = 0
 
     for text in texts:
-        known = net is not None and text and LETTER.search(text)
+        known = net is not None and any(map(str.isalpha, text or ""))
         held.append(text.lower().encode("utf-8", "replace") if known else None)
         size += len(held[-1] or b"")
         if size >= lot_bytes:

@@ -32,7 +32,7 @@ def test_held_out_accuracy(spark):
 def test_edges(spark):
     net = langid.train([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de")] * 8)
     schema = "doc_id long, text string, score string"
-    texts = [None, "", "123 $%", "the dog and the cat", "the dog and the cat", "und der hund " * 20000, "é"]
+    texts = [None, "", "123 $% ²½_", "the dog and the cat", "the dog and the cat", "und der hund " * 20000, "é"]
     out = langid.identify(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], schema), net)
     assert out.columns == ["doc_id", "text", "lang_pred", "score"]
     got = [r.lang_pred for r in out.orderBy("doc_id").collect()]
