@@ -22,7 +22,7 @@ RUN = 1 << 20
 #: Bits of a place in a lot. The same number always, so that the same hashes are compared wherever a window lies.
 PLACE = 21
 #: A trigger with more phrases than this is resolved by rows in a shuffle, not in one task's memory.
-HOT = 100_000
+HOT = 25_000
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
@@ -166,7 +166,7 @@ def window_hashes(parts: list[bytes], counts: np.ndarray, length: int) -> np.nda
 REPEATS = pa.schema([("t", pa.int64()), ("size", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 
 
-def sorter(length: int, lot: int = 24 << 20):
+def sorter(length: int, lot: int = 6 << 20):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which windows of open phrases occur again. Rows come in order of their trigger, and equal windows have equal
         triggers: so the windows of the dictionary's phrases are sorted and compared lot by lot, cut between triggers."""
