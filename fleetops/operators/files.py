@@ -13,11 +13,11 @@ from fleetops.functions.scalars import canonical_json, digest, json_equal
 MOST_BYTES = 1 << 20
 
 
-def check_files(rules: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+def check_files(rules: DataFrame, files: DataFrame) -> DataFrame:
     """Adds `code` and `passed` to rules: missing_file, too_small, content_too_large, invalid_json, missing_json_key,
     json_value_mismatch, regex_no_match or passed; the first failure in this order.
 
-    rules: keys, path, min_bytes, check (json), has_key (dotted path), json_equals (map of dotted path to JSON text),
+    rules: any keys, path, min_bytes, check (json), has_key (dotted path), json_equals (map of dotted path to JSON text),
     regex (Java). files: path, length, content (text or binary). Content is looked at only if a rule asks for it and the
     file isn't over MOST_BYTES.
     """

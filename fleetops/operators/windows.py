@@ -46,7 +46,7 @@ def stale_running(df: DataFrame, keys: Sequence[str], version: str, status: str,
     return df.withColumn("newest", newest).filter((F.col(status) == running) & (F.col(version) < F.col("newest")))
 
 
-def dispatch_rank(df: DataFrame, order: Sequence[Column], within: str, ids: str) -> DataFrame:
+def dispatch_rank(df: DataFrame, order: Sequence[Column], within: str) -> DataFrame:
     """`rank_within` in each group and `rank_all` over all rows, both from 1, by the same order.
 
     The order over all rows needs no single task: rows are sorted by ranges, numbered inside their partition, and

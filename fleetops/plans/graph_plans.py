@@ -75,13 +75,16 @@ def gra5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "gra6_process_tree",
-    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT id AS pid, CASE WHEN id % 5 = 0 THEN id ELSE id // 3 END AS ppid FROM log), r AS (SELECT DISTINCT owner, k AS pid FROM log WHERE kind = 'signup' AND owner < 40),
+    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT a.id AS pid, CASE WHEN a.id % 50 = 0 THEN a.id ELSE b.id END AS ppid FROM log a JOIN log b ON b.owner = a.owner AND b.seq = a.seq // 3), r AS (SELECT owner, id AS pid FROM log WHERE kind = 'signup'),
 w(owner, pid) AS (SELECT owner, pid FROM r UNION SELECT w.owner, p.pid FROM w JOIN p ON p.ppid = w.pid) SELECT owner, pid FROM w""",
 )
 def gra6(spark: SparkSession, d: str) -> DataFrame:
-    log = frame(spark, d, "log")
-    parents = log.select(F.col("id").alias("pid"), F.expr("if(id % 5 = 0, id, id div 3)").alias("ppid"))
-    return G.process_tree(parents, log.filter("kind = 'signup' and owner < 40").select("owner", F.col("k").alias("pid"))).select("owner", "pid")
+    """Each event is the process that the one at a third of its place in its owner's log has started."""
+    log = frame(spark, d, "log").select("owner", "seq", "id", "kind")
+    started = log.select("owner", F.col("seq").alias("third"), F.col("id").alias("ppid"))
+    parents = log.withColumn("third", F.expr("seq div 3")).join(started, ["owner", "third"])
+    parents = parents.select(F.col("id").alias("pid"), F.expr("if(id % 50 = 0, id, ppid)").alias("ppid"))
+    return G.process_tree(parents, log.filter("kind = 'signup'").select("owner", F.col("id").alias("pid"))).select("owner", "pid")
 
 
 #: Events' JSON as output files: some torn, some without the key, some missing; sizes as rules ask.
@@ -105,7 +108,7 @@ c AS (SELECT i AS job, CASE WHEN i % 11 = 0 THEN 'missing_file' WHEN i % 13 = 0
 
 @query("art1_check_files", f"WITH {CODES} SELECT job, code FROM c")
 def art1(spark: SparkSession, d: str) -> DataFrame:
-    return A.check_files(*file_rules(spark, d), ["job"]).select("job", "code")
+    return A.check_files(*file_rules(spark, d)).select("job", "code")
 
 
 @query(
@@ -114,14 +117,14 @@ def art1(spark: SparkSession, d: str) -> DataFrame:
 FROM c JOIN events e ON e.event_id = c.job WHERE job % 29 <> 0) SELECT *, sha256(concat_ws('|', rules_digest, codes_digest, context_digest, passed::varchar)) AS record_digest FROM x""",
 )
 def art2(spark: SparkSession, d: str) -> DataFrame:
-    checks = A.check_files(*file_rules(spark, d), ["job"])
+    checks = A.check_files(*file_rules(spark, d))
     jobs = table(spark, d, "events").select(F.col("event_id").alias("job"), "user_id")
     return A.validation_record(checks, jobs, jobs.filter("job % 29 = 0"), "job", ["job", "user_id"]).drop("user_id")
 
 
 @query("art3_verify_record", "SELECT event_id AS job, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'context' END, CASE WHEN event_id % 5 = 0 THEN 'record' END) AS mismatches FROM events WHERE event_id % 29 <> 0")
 def art3(spark: SparkSession, d: str) -> DataFrame:
-    records = A.validation_record(A.check_files(*file_rules(spark, d), ["job"]), table(spark, d, "events").select(F.col("event_id").alias("job"), "user_id"), table(spark, d, "events").select(F.col("event_id").alias("job")).filter("job % 29 = 0"), "job", ["job", "user_id"])
+    records = A.validation_record(A.check_files(*file_rules(spark, d)), table(spark, d, "events").select(F.col("event_id").alias("job"), "user_id"), table(spark, d, "events").select(F.col("event_id").alias("job")).filter("job % 29 = 0"), "job", ["job", "user_id"])
     edited = records.withColumn("user_id", F.expr("if(job % 7 = 0, user_id + 1, user_id)")).withColumn("codes_digest", F.expr("if(job % 5 = 0, 'x', codes_digest)"))
     return A.verify_record(edited, ["job", "user_id"]).select("job", F.array_join("mismatches", ",").alias("mismatches"))
 
@@ -133,7 +136,7 @@ SKIPS = f"""{CODES}, w AS (SELECT event_id AS job, user_id, CASE WHEN event_id %
 def skips(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "events").selectExpr("event_id as job", "user_id", "event_id % 31 = 0 as force", "if(event_id % 37 = 0, 0, 1) as n_outputs", "if(event_id % 41 = 0, null, 'a') as fingerprint", "event_id % 53 <> 0 as bound")
     producers = jobs.filter("job % 43 <> 0").select("job", F.expr("if(job % 47 = 0, 'b', 'a')").alias("producer_fingerprint"))
-    return A.skip_decision(jobs, producers, A.check_files(*file_rules(spark, d), ["job"]), "job")
+    return A.skip_decision(jobs, producers, A.check_files(*file_rules(spark, d)), "job")
 
 
 @query("art4_skip_decision", f"WITH {SKIPS} SELECT job, why, why IS NULL AS skip FROM w")
@@ -155,7 +158,7 @@ def art5(spark: SparkSession, d: str) -> DataFrame:
 def art6(spark: SparkSession, d: str) -> DataFrame:
     stages = table(spark, d, "events").selectExpr("event_id as job", "event_id % 31 = 0 as force", "cast(user_id as string) as fingerprint")
     sidecars = stages.filter("job % 37 <> 0").select("job", F.expr("if(job % 41 = 0, 2, 1)").alias("schema"), "fingerprint")
-    return A.stage_reuse(stages, sidecars, A.check_files(*file_rules(spark, d), ["job"]), ["job"]).select("job", "reuse")
+    return A.stage_reuse(stages, sidecars, A.check_files(*file_rules(spark, d)), ["job"]).select("job", "reuse")
 
 
 @query(

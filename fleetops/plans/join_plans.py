@@ -268,12 +268,12 @@ def jn20(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn21_task_timeline",
-    f"""{duck("jobs", "batches")}, l AS (SELECT name, arg_max(id, created * 1000000 + row_seq) AS id FROM batches GROUP BY name), r AS (SELECT DISTINCT name AS ref, id FROM l WHERE name LIKE 'b1%')
+    f"""{duck("jobs", "batches")}, l AS (SELECT name, arg_max(id, created * 1000000 + row_seq) AS id FROM batches GROUP BY name), r AS (SELECT name AS ref, id FROM l)
 SELECT ref, j.batch_id, task_id, version, finished - submitted AS seconds FROM r JOIN jobs j ON j.batch_id = r.id""",
 )
 def jn21(spark: SparkSession, d: str) -> DataFrame:
     batches = frame(spark, d, "batches").withColumnRenamed("id", "batch_id")
-    refs = batches.filter("name like 'b1%'").select(F.col("name").alias("ref")).distinct()
+    refs = batches.select(F.col("name").alias("ref")).distinct()
     return J.task_timeline(frame(spark, d, "jobs"), refs, batches, "batch_id", "name", ["created", "row_seq"], "submitted", "finished").select("ref", "batch_id", "task_id", "version", "seconds")
 
 

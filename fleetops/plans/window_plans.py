@@ -55,7 +55,7 @@ def win4(spark: SparkSession, d: str) -> DataFrame:
     projects = frame(spark, d, "projects").select("project", F.col("priority").alias("project_priority"))
     ready = jobs.join(batches, "batch_id").join(projects, "project")
     order = [F.desc("project_priority"), F.desc("batch_priority"), F.col("submitted"), F.col("row_seq")]
-    return W.dispatch_rank(ready, order, "project", "id").select("id", "project", "rank_within", "rank_all")
+    return W.dispatch_rank(ready, order, "project").select("id", "project", "rank_within", "rank_all")
 
 
 #: A log whose ids are digests of owner, seq and payload and the id before; every 11th id is spoiled, every 13th lost.

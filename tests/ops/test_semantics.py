@@ -96,7 +96,7 @@ def test_file_codes(spark):
     rules = [("none", 0, "json", None, None, None, "missing_file"), ("small", 11, None, None, None, None, "too_small"), ("big", 0, "json", None, None, None, "content_too_large"), ("big", 0, None, None, None, None, "passed"), ("bad", 0, "json", None, None, None, "invalid_json"),
              ("deep", 0, None, "a.b", None, None, "missing_json_key"), ("null", 0, None, "a.b", None, None, "passed"), ("true", 0, None, None, {"a": "1"}, None, "json_value_mismatch"), ("num", 0, None, None, {"a": "1"}, None, "passed"), ("small", 0, None, None, None, "[a-z]", "regex_no_match")]
     df = spark.createDataFrame(rules, "path string, min_bytes long, check string, has_key string, json_equals map<string,string>, regex string, want string")
-    assert all(r.code == r.want for r in C.check_files(df, files, ["path"]).collect())
+    assert all(r.code == r.want for r in C.check_files(df, files).collect())
 
 
 def test_chain_breaks(spark):
