@@ -276,9 +276,9 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", hot:
     by a shuffle of their windows. Null texts are empty; texts under `length` bytes keep all. Outputs replace input
     columns of the same names. An empty input gives an empty result.
     """
-    rows = pack(df).withColumn("bytes", F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")).cast("binary"))
-    rows = rows.withColumn("t", F.xxhash64("bytes")).withColumn("size", F.octet_length("bytes").cast("long"))
-    texts = rows.select("t", "size", "bytes").filter(F.col("size") >= length)
+    raw = F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")).cast("binary")
+    rows = pack(df).withColumn("t", F.xxhash64(raw)).withColumn("size", F.octet_length(raw).cast("long"))
+    texts = rows.select("t", "size", raw.alias("bytes")).filter(F.col("size") >= length)
     parsed = texts.mapInArrow(parser(length), ddl(PARSED))
     near, equal = Window.partitionBy("g"), Window.partitionBy("g", "e")
     flagged = parsed.select(
@@ -300,5 +300,5 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", hot:
         repeats = repeats.unionByName(spelled.filter("open").join(twice, "h").select("t", "size", "lo", F.lit(1).alias("n")))
     starts = flagged.filter("settled").select("t", "size", "lo", "n").unionByName(repeats)
     starts = starts.groupBy("t", "size").agg(F.collect_set(F.struct("lo", "n")).alias("starts"))
-    out = rows.join(starts, ["t", "size"], "left").withColumn("_out", remover(length)("bytes", "starts"))
+    out = rows.join(starts, ["t", "size"], "left").withColumn("_out", remover(length)(raw, "starts"))
     return unpack(out.select("_row", "_out.spans", "_out.kept"), df.columns, ["spans", "kept"])
