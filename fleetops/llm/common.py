@@ -74,11 +74,11 @@ def unpack(df: DataFrame, fields: Sequence[str], outs: Sequence[str], name: str
     return df.select(*[F.col(name)[c].alias(c) for c in fields if c.lower() not in taken], *outs)
 
 
-def below(df: DataFrame, key: str, values: Sequence[str], block: int = 4096) -> DataFrame:
+def below(df: DataFrame, key: str, values: Sequence[str], block: int = 256) -> DataFrame:
     """Add for each value column `<value>_below`: its sum over all rows with a smaller key (keys unique, not negative).
 
     Two levels: sums by block of keys, a running sum over the blocks, then one within each block. The only window
-    over all rows sees one row per block, so its input is 1/4096 of the key range.
+    over all rows sees one row per block, so its input is 1/256 of the key range.
     """
     part = df.withColumn("_block", F.floor(F.col(key) / block).cast("long"))
     before = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
