@@ -22,17 +22,24 @@ BYTES = 8
 SHORT = 32
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash, as a signed integer: a bit is 1 if set in over half the shingles' XXH64."""
+def digests(text: str | None, shingle: int) -> bytes:
+    """The XXH64 of each run of `shingle` words, eight bytes each; of all words where there are fewer."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     k = min(shingle, len(words))
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a : e - 1], SEED) for a, e in zip(starts, ends[k - 1 :], strict=False)])
+    return b"".join([digest(joined[a : e - 1], SEED) for a, e in zip(starts, ends[k - 1 :], strict=False)])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash, as a signed integer: a bit is 1 if set in over half the shingles' XXH64."""
+    raw = digests(text, shingle)
+    if not raw:
+        return 0
     n, ones = len(raw) // 8, np.zeros(64, np.int64)
     for at in range(0, len(raw), 8 << 16):  # 64 bytes a shingle stay in the cache
         bits = np.unpackbits(np.frombuffer(raw[at : at + (8 << 16)], np.uint8)).reshape(-1, 64)
@@ -95,6 +102,17 @@ def links(fps: DataFrame, bits: int = 2, short: int = SHORT) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def settled(rows: DataFrame, node: str, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with the `component_id` and `is_first` of their node; fps: each node as `fp`, and the `first` of its rows."""
+    joined = components(edges)
+    roots = fps.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    firsts = roots.groupBy("root").agg(F.min("first").alias("first"))
+    known = roots.select("fp", "root").join(firsts, "root").select("fp", "first.key", "first.rid")
+    narrow = rows.select("_rid", node)
+    known = narrow.join(known, F.col(node) == F.col("fp")).select(F.col("_rid").alias("_id"), F.col("key").alias("component_id"), (F.col("rid") == F.col("_rid")).alias("is_first"))
+    return rows.join(known, F.col("_rid") == F.col("_id"))
+
+
 def near_dedup(df: DataFrame, bits: int = 2, key_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
     """Adds `fingerprint` (16 hex digits), `component_id` (the smallest key reachable) and `is_first` (one row of each
     component: smallest key, then first as read).
@@ -112,10 +130,5 @@ def near_dedup(df: DataFrame, bits: int = 2, key_col: str = "doc_id", text_col:
     narrow = rows.select("_rid", "_fp", "_key")
     first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_rid").alias("rid")))
     fps = cut(narrow.groupBy(F.col("_fp").alias("fp")).agg(first.alias("first")), "distinct")
-    joined = components(links(fps.select("fp"), bits))
-    roots = fps.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    firsts = roots.groupBy("root").agg(F.min("first").alias("first"))
-    known = roots.select("fp", "root").join(firsts, "root").select("fp", "first.key", "first.rid")
-    known = narrow.join(known, F.col("_fp") == F.col("fp")).select(F.col("_rid").alias("_id"), F.col("key").alias("component_id"), (F.col("rid") == F.col("_rid")).alias("is_first"))
-    out = rows.join(known, F.col("_rid") == F.col("_id")).withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
+    out = settled(rows, "_fp", fps, links(fps.select("fp"), bits)).withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
     return unpack(out, fields, ["fingerprint", "component_id", "is_first"])
