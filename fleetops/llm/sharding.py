@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetops.llm.common import below, pack, unpack
+from fleetops.llm.common import below, pack, saved, unpack
 
 
 def shard(
@@ -13,23 +13,33 @@ def shard(
 ) -> DataFrame:
     """All rows in a uniformly random order, cut into n_shards runs whose row counts differ by one at most.
 
-    Pass one scatters rows over memory-sized buckets by a seeded hash of key and text: the number of buckets follows
-    the bytes of the texts, so a bucket holds about bucket_mb at any input size. Pass two puts each bucket in a fixed
+    Pass one scatters rows over memory-sized buckets by a seeded hash of the row: the number of buckets follows the
+    bytes of the texts, so a bucket holds about bucket_mb at any input size. Equal rows of more than bucket_mb together
+    are counted and dealt anew, in lots of that size, by row and number of the lot: they are interchangeable. Pass two puts each bucket in a fixed
     order and Fisher-Yates shuffles it (Spark's `shuffle`). The buckets in turn make up the global order; shard k takes
     the positions from ceil(k*N/n_shards). A bucket falls into a shard or two, so pass two can write it at once.
 
     Adds `shard` int and `slot` long (gapless from 0 in each shard), which replace input columns of these names. A hot
-    key or text doesn't fill a bucket as both are hashed; only rows equal in both stay together. Null keys or texts
-    are hashed as such. An empty input gives an empty result. Row order in a bucket is fixed before the draw, so a
+    key or text doesn't fill a bucket as all columns are hashed, nor does a hot row. Null keys or texts are hashed as
+    such. An empty input gives an empty result. Row order in a bucket is fixed before the draw, so a
     recomputed task deals the same slots.
     """
+    others = [F.col("_row")[c] for c in df.columns if c not in (key_col, text_col)]
     rows = pack(df).select(
         "_row",
-        F.xxhash64(F.lit(seed), F.col("_row")[key_col], F.col("_row")[text_col]).alias("_h"),
+        F.xxhash64(F.lit(seed), F.col("_row")[key_col], F.col("_row")[text_col], *others).alias("_h"),
         (F.coalesce(F.octet_length(F.col("_row")[text_col]), F.lit(0)) + 64).alias("_size"),
     )
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes")).first()
     n, buckets = total["n"], -(-total["bytes"] // (bucket_mb << 20)) or 1
+    same = rows.groupBy("_h").agg(F.max("_size").alias("_most"), F.sum("_size").alias("_all"))
+    same = saved(same.filter((F.col("_all") > bucket_mb << 20) & (F.col("_all") > F.col("_most"))).select(F.col("_h").alias("_hot")))
+    if not same.isEmpty():  # a row for each bucket's worth of bytes at most
+        hot = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_semi").groupBy("_row", "_h", "_size").agg(F.count("*").alias("_n"))
+        lot = F.greatest(F.lit(1), F.floor(F.lit(bucket_mb << 20) / F.col("_size"))).cast("long")
+        hot = hot.select("_row", "_h", "_size", lot.alias("_lot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
+        hot = hot.select("_row", F.xxhash64("_h", F.floor(F.col("_k") / F.col("_lot"))).alias("_h"), "_size")
+        rows = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_anti").unionByName(hot)
     rows = rows.select("_row", "_h", F.pmod("_h", F.lit(buckets)).alias("_bucket"))
     first = below(rows.groupBy("_bucket").agg(F.count("*").alias("n")), "_bucket", ["n"])
     filled = (

@@ -65,3 +65,20 @@ def test_shard_edges(spark, tmp_path):
     assert len(few) == 3 and {r.slot for r in few} == {0}
     write_shards(spark.createDataFrame(rows(50), SCHEMA), str(tmp_path / "out"), n_shards=4)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
+
+
+def test_copies_of_a_row_leave_its_bucket(spark):
+    schema = "doc_id long, text string, extra int"
+    copies = spark.range(6000).selectExpr("-1L as doc_id", "repeat('long text ', 100) as text", "7 as extra")  # 6 MB
+    nulls = spark.range(30000).selectExpr("null as doc_id", "null as text", "cast(id as int) as extra")  # 2 MB, all different
+    df = copies.unionByName(nulls).unionByName(spark.createDataFrame([(i, f"text {i}", 0) for i in range(2000)], schema))
+    got = shard(df, 24, bucket_mb=1).select("doc_id", "extra", "shard", "slot").collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 38000 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all({r.slot for r in got if r.shard == k} == set(range(n)) for k, n in sizes.items())
+    assert Counter(r.doc_id for r in got)[-1] == 6000 and sorted(r.extra for r in got if r.doc_id is None) == list(range(30000))
+    in_shards = lambda want: len({r.shard for r in got if want(r)})
+    # in one bucket the copies fill 6000 / 38000 of the shards and the nulls 30000 / 38000, in one run each
+    assert in_shards(lambda r: r.doc_id is None) == 24 and in_shards(lambda r: r.doc_id == -1) > 8
+    again = shard(df.repartition(7), 24, bucket_mb=1).select("doc_id", "extra", "shard", "slot").collect()
+    assert set(again) == set(got)
