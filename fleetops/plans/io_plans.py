@@ -36,6 +36,13 @@ def src2(spark: SparkSession, d: str) -> DataFrame:
     return S.read_optional(spark, at, "gpus").select("idx", "job_id", "mem_total_gib").crossJoin(none)
 
 
+def write_specs(docs: DataFrame, at: str, most: int = 1000) -> None:
+    """An array of about `most` documents in each file, at project=*/lot=*; the number of lots follows that of the rows."""
+    lot = F.pmod(F.xxhash64(*docs.columns), F.lit(-(-docs.count() // most) or 1)).alias("lot")
+    lots = docs.select("*", lot).groupBy("project", "lot").agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("text"))
+    lots.write.partitionBy("project", "lot").text(at)
+
+
 @query(
     "src3_read_batch_specs",
     f"""{duck("batches")} SELECT name, project, priority, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS n_tasks, concat('t', id) AS first_task, count(*) AS n FROM batches GROUP BY ALL""",
@@ -44,9 +51,8 @@ def src3(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "specs")
     task = lambda n: F.struct(F.concat(F.lit(n), F.col("id").cast("string")).alias("id"), F.array(F.lit("run")).alias("cmd"))
     docs = frame(spark, d, "batches").select("name", "project", F.lit("mix").alias("mode"), "priority", F.when(F.col("id") % 2 == 0, F.array(task("t"))).otherwise(F.array(task("t"), task("u"))).alias("tasks"))
-    # an array of documents in each file
-    docs.groupBy("project").agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("text")).write.partitionBy("project").text(at)
-    rows = S.read_batch_specs(spark, f"{at}/*/*.txt").filter("_corrupt is null")
+    write_specs(docs, at)
+    rows = S.read_batch_specs(spark, f"{at}/*/*/*.txt").filter("_corrupt is null")
     return rows.groupBy("name", "project", "priority", F.size("tasks").alias("n_tasks"), F.col("tasks")[0]["id"].alias("first_task")).agg(F.count("*").alias("n"))
 
 

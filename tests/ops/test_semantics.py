@@ -197,3 +197,11 @@ def test_digest_counts_duplicates_not_order(spark):
     rows = [(i % 7, str(i % 3)) for i in range(50)]
     d = lambda r: A.multiset_digest(spark.createDataFrame(r, "a long, b string"), ["a", "b"]).first()
     assert d(rows) == d(rows[::-1]) and d(rows) != d(rows[1:]) and d(rows) != d([(9, "9"), *rows[1:]])
+
+
+def test_specs_of_a_hot_project_go_to_many_files(spark, tmp_path):
+    from fleetops.plans.io_plans import write_specs
+
+    write_specs(spark.range(5000).selectExpr("'hot' as project", "cast(id as string) as name"), str(tmp_path / "specs"), 100)
+    sizes = [r.n for r in spark.read.text(str(tmp_path / "specs"), wholetext=True).selectExpr("json_array_length(value) as n").collect()]
+    assert len(sizes) == 50 and sum(sizes) == 5000 and max(sizes) < 200
