@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode (tests);
+    on a cluster that is refused, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -41,14 +44,28 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what `cut` has written, once the frames that read it are no longer needed; returns how many tables."""
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Delete what `cut` has written, from its table number `since` on and but for the `last` ones, once the frames that
+    read them are no longer needed; returns how many tables."""
     context = spark.sparkContext
-    n = len(WRITTEN)
-    while WRITTEN:
-        path = context._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    gone = WRITTEN[since : len(WRITTEN) - last]
+    del WRITTEN[since : len(WRITTEN) - last]
+    for name in gone:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+def sample(df: DataFrame, group: str, order: str, per_group: int) -> DataFrame:
+    """Up to per_group rows of each group, the least by the random long `order`, with their number `nth`; rows equal in
+    both count once. What can't be among them is left out by a threshold before anything is sorted: few rows of a
+    group meet in one task, however many it has."""
+    seen = df.groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(order, 0.02).alias("_seen"))
+    enough = 1.2 * per_group + 8 * per_group**0.5 + 32
+    share = F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = df.join(seen, F.col(group) == F.col("_group")).filter(share * F.col("_seen") < enough).select(*df.columns)
+    window = Window.partitionBy(group).orderBy(F.pmod(order, F.lit(1 << 40)), order)
+    return few.dropDuplicates([group, order]).withColumn("nth", F.row_number().over(window)).filter(F.col("nth") <= per_group)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from fleetops.llm.common import sample
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: The sample to learn from: this many texts of each language, and this many characters of each from a hashed place on.
-PER_LANG = 400
-SAMPLE_CHARS = 512
+#: The sample to learn from: up to this many texts of each language, whole, in a hashed order, until they have so many bytes.
+PER_LANG = 250
+LANG_BYTES = 1 << 20
 
 UND = "und"
 
@@ -165,14 +167,17 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % by
 
 
-def fit(df: DataFrame, per_lang: int = PER_LANG, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> Net | None:
-    """Learn from up to per_lang texts of each non-null language in a hashed order, SAMPLE_CHARS of each from a hashed
-    place on. The driver gets no more than that for each language. None if nothing is labelled."""
-    h = F.xxhash64(F.lit(7), F.col(order_col))
+def fit(
+    df: DataFrame, per_lang: int = PER_LANG, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", lang_bytes: int = LANG_BYTES
+) -> Net | None:
+    """Learn from a bounded sample of labelled rows: up to per_lang texts of each non-null language in a hashed order, cut
+    off after the text in which a language's bytes pass lang_bytes. Texts are taken whole; rows equal in key and text
+    count once. The driver gets no more than the sample. None if nothing is labelled."""
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    start = F.pmod(h, F.greatest(F.lit(1), F.char_length(text_col) - SAMPLE_CHARS).cast("long")).cast("int") + 1
-    some = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)).alias("text"), h.alias("h"))
-    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("nth") <= per_lang)
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(7), F.col(order_col), F.col(text_col)).alias("h"))
+    some = sample(labelled, "lang", "h", per_lang)
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < lang_bytes)
     return train([(r.text, r.lang) for r in some.orderBy("lang", "nth").select("text", "lang").collect()])
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The sample to learn from: up to this many texts of each label, in a hashed order, of up to this many lines each.
+from fleetops.llm.common import sample
+
+#: The sample to learn from: up to this many texts of each label, whole, in a hashed order, until they have so many lines.
 PER_LABEL = 1500
-SAMPLE_LINES = 2000
+LABEL_LINES = 200_000
 #: Texts of more lines are gone through one by one, the others together.
 LONG = 400
 
@@ -121,7 +123,7 @@ def chain(a: np.ndarray, b: np.ndarray, s: int, k: int, t: np.ndarray) -> None:
 def marginals(model: Crf, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log odds that each line is good."""
     x = (with_neighbours(own, counts) - model.mean) / model.scale
-    a, b = messages(x @ model.weights, counts, model.transition)
+    a, b = messages(np.einsum("ij,j->i", x, model.weights), counts, model.transition)  # the same bits in any batch
     return a + b
 
 
@@ -227,17 +229,25 @@ def sampler(texts: pd.Series) -> pd.DataFrame:
 sampler.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Learn from up to per_label labelled texts of each label in a hashed order. Their lines' features are computed by
-    the executors; the driver gets no more than those, of texts of up to SAMPLE_LINES lines. The chosen keys are
-    joined by broadcast: there are 2 * per_label at most."""
-    ranked = labels.filter(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(F.col(key_col).alias("_key"), F.col(label_col).cast("int").alias("_y")).distinct()
-    nth = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(11), "_key"), "_key"))
-    chosen = ranked.withColumn("_nth", nth).filter(F.col("_nth") <= per_label).select("_key", "_y")
+def fit(
+    docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, key_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_lines: int = LABEL_LINES
+) -> Crf:
+    """Learn from a bounded sample of labelled rows: up to per_label keys of each label in a hashed order, cut off after
+    the text in which a label's lines pass label_lines. Texts are taken whole.
+
+    Repeated labels count once; of the rows of a repeated key one text is taken, whichever has the least hash, so no
+    label is crowded out. Labels other than 0 and 1 and null keys are passed over. Features are computed by the
+    executors; the driver gets the features of the sample's lines. The chosen keys are joined by broadcast: there are
+    2 * per_label at most.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(key_col).isNotNull()).select(F.col(key_col).alias("_key"), F.col(label_col).cast("int").alias("_y"))
+    chosen = sample(known.withColumn("_h", F.xxhash64(F.lit(11), "_key")), "_y", "_h", per_label)
     texts = docs.select(F.col(key_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
-    got = texts.select("_key", "_y", F.pandas_udf(sampler, SAMPLE)("_text").alias("s")).filter(F.col("s.n") <= SAMPLE_LINES)
-    rows = sorted(got.select("_key", "_y", "s.features", "s.sizes").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
-    rows = rows[: 4 * per_label]  # repeated keys
+    one = texts.groupBy("_key", "_y", "nth").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text"))).alias("_one"))
+    got = one.select("_key", "_y", "nth", F.pandas_udf(sampler, SAMPLE)("_one.text").alias("s"))
+    before = F.sum("s.n").over(Window.partitionBy("_y").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    got = got.select("_key", "_y", "s.features", "s.sizes", F.coalesce(before, F.lit(0)).alias("before")).filter(F.col("before") < label_lines)
+    rows = sorted(got.collect(), key=lambda r: (r[0], r[1]))
     return train([(np.frombuffer(r.features, np.float32).reshape(-1, OWN), np.frombuffer(r.sizes, np.int64)) for r in rows], [r._y for r in rows])
 
 

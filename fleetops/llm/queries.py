@@ -19,6 +19,7 @@ from fleetops.llm.suffix_dedup import suffix_dedup
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the line CRF; learned from labels outside the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = langid.remainder(F.col("doc_id"), 3) == 1
     model = quality_crf.fit(docs, labels.filter(~held_out))
@@ -27,23 +28,27 @@ def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, linked at two differing bits."""
     out = near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), bits=2, columns=["doc_id"])
     return out.select("doc_id", "fingerprint", "component_id", "is_first")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poisson copies of every document: a source's share is the square root of its rows."""
     out = mix(table(spark, sf_dir, "documents"), alpha=0.5, seed=42)
     return out.select("doc_id", "source", "copies", "copy_no", "mix_key", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 OP3_SQL = """
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-w AS (SELECT source, n, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
-p AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM w, generate_series(0, 80) AS g(k)),
+r AS (SELECT source, n, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM n),
+w AS (SELECT source, greatest(1, ceil(rate / 32))::int AS draws, rate / greatest(1, ceil(rate / 32)) AS mean FROM r),
+p AS (SELECT source, k, exp(-mean) * pow(mean, k) / gamma(k + 1) AS p FROM w, generate_series(0, 160) AS g(k)),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-d AS (SELECT doc_id, source, text, concat_ws(chr(31), '42', coalesce(doc_id::varchar, ''), md5(coalesce(text, ''))) AS id FROM documents),
-u AS (SELECT *, ('0x' || substr(md5(concat_ws(chr(31), id, 'draw', '1')), 1, 13))::bigint / 4503599627370496.0 AS u FROM d),
-m AS (SELECT u.doc_id, u.source, u.text, u.id, count(*) AS copies FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY ALL)
+d AS (SELECT row_number() OVER () AS rid, doc_id, documents.source, text, draws, concat_ws(chr(31), '42', coalesce(doc_id::varchar, ''), md5(coalesce(text, ''))) AS id
+  FROM documents JOIN w ON w.source IS NOT DISTINCT FROM documents.source),
+u AS (SELECT d.*, ('0x' || substr(md5(concat_ws(chr(31), id, 'draw', draw::varchar)), 1, 13))::bigint / 4503599627370496.0 AS u FROM d, generate_series(1, draws) AS g(draw)),
+m AS (SELECT u.rid, u.doc_id, u.source, u.text, u.id, count(*) AS copies FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY ALL)
 SELECT doc_id, source, copies::int AS copies, copy_no::int AS copy_no,
   ('0x' || substr(md5(concat_ws(chr(31), id, 'order', copy_no::varchar)), 1, 15))::bigint AS mix_key,
   coalesce(strlen(text), NULL)::bigint AS n_bytes
@@ -52,6 +57,7 @@ FROM m, generate_series(1, m.copies) AS g(copy_no)
 
 
 def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law `rows`."""
     out = shard(table(spark, sf_dir, "documents"), n_shards=24, seed=42)
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select(
@@ -65,11 +71,28 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CRC-32 by its table of 256 entries; then the order of the rows' hashes, bucket by bucket.
+OP4_SQL = """
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+p AS (SELECT doc_id, text, coalesce(strlen(text), 0) AS len, md5('42|' || coalesce(md5(doc_id::varchar), 'n') || coalesce(md5(text), 'n') || coalesce(md5(lang), 'n') || coalesce(md5(source), 'n') || coalesce(md5(n_chars::varchar), 'n')) AS row_h FROM documents),
+s AS (SELECT *, len + 64 AS size, row_number() OVER (PARTITION BY row_h) - 1 AS k, sum(len + 64) OVER (PARTITION BY row_h) AS together, count(*) OVER () AS n, greatest(1, ceil(sum(len + 64) OVER () / 16777216.0)::bigint) AS buckets FROM p),
+h AS (SELECT *, CASE WHEN together > 16777216 AND together > size THEN md5(row_h || '|' || (k // greatest(1, 16777216 // size))::varchar) ELSE row_h END AS h FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(h, 1, 15))::bigint % buckets, h) - 1 AS pos FROM h),
+q AS (SELECT *, (pos * 24 // n)::int AS shard FROM o),
+bytes AS (SELECT text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) AS b FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
+crc AS (SELECT text, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, tab)
+SELECT doc_id, (len + 8)::bigint AS size, crc.crc::bigint AS text_crc32, 'rows' AS law, shard, (pos - (shard * n + 23) // 24)::bigint AS slot, NULL::int AS grown_shard
+FROM q JOIN crc ON crc.text = coalesce(q.text, '')
+"""
+
+
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token length histogram of all documents with its suffix sums at every length."""
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte CNN; learned from documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     held_out = langid.remainder(F.col("doc_id"), 4) == 2
     net = langid.fit(docs.filter(~held_out))
@@ -78,10 +101,12 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates found in every document, with containment and the best window."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document and the verdict of the weighed rules."""
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_posterior"
@@ -89,12 +114,14 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item held by every document, with score and overlaps."""
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     found = out.select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", "m.at_word", "m.score", "m.containment", "m.question_overlap", "m.answer_overlap")
 
 
 def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left when strings of 200 bytes that occur elsewhere are removed."""
     out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return out.select(
@@ -119,4 +146,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL}

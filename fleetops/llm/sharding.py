@@ -2,58 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetops.llm.common import below, pack, saved, unpack
 
 
-def shard(
-    df: DataFrame, n_shards: int = 24, seed: int = 42, bucket_mb: int = 16, key_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """All rows in a uniformly random order, cut into n_shards runs whose row counts differ by one at most.
+def identity(fields: list[Column], seed: int) -> Column:
+    """MD5 of the seed and of the MD5 of each field's text, `n` for a null: any SQL engine can repeat it."""
+    parts = [F.when(c.isNull(), F.lit("n")).otherwise(F.md5(c.cast("string"))) for c in fields]
+    return F.md5(F.concat(F.lit(f"{seed}|"), *parts))
+
 
-    Pass one scatters rows over memory-sized buckets by a seeded hash of the row: the number of buckets follows the
-    bytes of the texts, so a bucket holds about bucket_mb at any input size. Equal rows of more than bucket_mb together
-    are counted and dealt anew, in lots of that size, by row and number of the lot: they are interchangeable. Pass two puts each bucket in a fixed
-    order and Fisher-Yates shuffles it (Spark's `shuffle`). The buckets in turn make up the global order; shard k takes
-    the positions from ceil(k*N/n_shards). A bucket falls into a shard or two, so pass two can write it at once.
+def shard(df: DataFrame, n_shards: int = 24, seed: int = 42, bucket_mb: int = 16, text_col: str = "text") -> DataFrame:
+    """All rows in a uniformly random order, cut into n_shards runs whose row counts differ by one at most.
 
-    Adds `shard` int and `slot` long (gapless from 0 in each shard), which replace input columns of these names. A hot
-    key or text doesn't fill a bucket as all columns are hashed, nor does a hot row. Null keys or texts are hashed as
-    such. An empty input gives an empty result. Row order in a bucket is fixed before the draw, so a
-    recomputed task deals the same slots.
+    Pass one scatters rows over memory-sized buckets by a seeded hash of all their columns: the number of buckets
+    follows the bytes of the texts, so a bucket holds about bucket_mb at any input size. Equal rows of more than
+    bucket_mb together are counted and dealt anew, in lots of that size, by hash and number of the lot: they are
+    interchangeable. Pass two puts each bucket in the order of the rows' hashes, 128 random bits, by a sort that may
+    spill. That gives every order the same chance, as a Fisher-Yates shuffle does, but depends on seed and rows alone:
+    Spark's own `shuffle` draws by the number of the partition. The buckets in turn make up the global order; shard k
+    takes the positions from ceil(k*N/n_shards).
+
+    Adds `shard` int and `slot` long (gapless from 0 in each shard), which replace input columns of these names. The
+    same rows get the same places however they are partitioned; equal rows have equal hashes and share their places.
+    A hot key or text doesn't fill a bucket as all columns are hashed, nor does a hot row. Nulls are hashed as such,
+    columns of any type as their text. An empty input gives an empty result.
     """
-    others = [F.col("_row")[c] for c in df.columns if c not in (key_col, text_col)]
+    limit = bucket_mb << 20
     rows = pack(df).select(
         "_row",
-        F.xxhash64(F.lit(seed), F.col("_row")[key_col], F.col("_row")[text_col], *others).alias("_h"),
-        (F.coalesce(F.octet_length(F.col("_row")[text_col]), F.lit(0)) + 64).alias("_size"),
+        identity([F.col("_row")[c] for c in df.columns], seed).alias("_h"),
+        (F.coalesce(F.octet_length(F.col("_row")[text_col]), F.lit(0)) + 64).cast("long").alias("_size"),
     )
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes")).first()
-    n, buckets = total["n"], -(-total["bytes"] // (bucket_mb << 20)) or 1
+    sizes = pack(df).select((F.coalesce(F.octet_length(F.col("_row")[text_col]), F.lit(0)) + 64).alias("_size"))
+    total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("bytes")).first()
+    n, buckets = total["n"], -(-total["bytes"] // limit) or 1
     same = rows.groupBy("_h").agg(F.max("_size").alias("_most"), F.sum("_size").alias("_all"))
-    same = saved(same.filter((F.col("_all") > bucket_mb << 20) & (F.col("_all") > F.col("_most"))).select(F.col("_h").alias("_hot")))
+    same = saved(same.filter((F.col("_all") > limit) & (F.col("_all") > F.col("_most"))).select(F.col("_h").alias("_hot")))
     if not same.isEmpty():  # a row for each bucket's worth of bytes at most
-        hot = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_semi").groupBy("_row", "_h", "_size").agg(F.count("*").alias("_n"))
-        lot = F.greatest(F.lit(1), F.floor(F.lit(bucket_mb << 20) / F.col("_size"))).cast("long")
+        hot = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_semi")
+        hot = hot.groupBy("_h").agg(F.first("_row").alias("_row"), F.first("_size").alias("_size"), F.count("*").alias("_n"))
+        lot = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_size"))).cast("long")
         hot = hot.select("_row", "_h", "_size", lot.alias("_lot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_k"))
-        hot = hot.select("_row", F.xxhash64("_h", F.floor(F.col("_k") / F.col("_lot"))).alias("_h"), "_size")
-        rows = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_anti").unionByName(hot)
-    rows = rows.select("_row", "_h", F.pmod("_h", F.lit(buckets)).alias("_bucket"))
+        again = F.md5(F.concat("_h", F.lit("|"), F.floor(F.col("_k") / F.col("_lot")).cast("string")))
+        rows = rows.join(F.broadcast(same), F.col("_h") == F.col("_hot"), "left_anti").unionByName(hot.select("_row", again.alias("_h"), "_size"))
+    rows = rows.select("_row", "_h", F.pmod(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"), F.lit(buckets)).alias("_bucket"))
     first = below(rows.groupBy("_bucket").agg(F.count("*").alias("n")), "_bucket", ["n"])
-    filled = (
-        rows.repartition("_bucket")
-        .groupBy("_bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("_h", "_row"))).alias("_all"))
-        .sortWithinPartitions("_bucket")
-        .select("_bucket", F.shuffle("_all", seed).alias("_all"))
-    )
-    dealt = filled.join(first, "_bucket").select("n_below", F.posexplode("_all").alias("_i", "_one"))
-    place = (F.col("n_below") + F.col("_i")).cast("long")
-    dealt = dealt.select(F.col("_one._row").alias("_row"), place.alias("_at")).withColumn(
-        "shard", F.expr(f"cast(_at * {n_shards} div {max(n, 1)} as int)")
-    )
+    dealt = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_bucket").orderBy("_h")) - 1).join(first, "_bucket")
+    dealt = dealt.select("_row", (F.col("n_below") + F.col("_i")).cast("long").alias("_at"))
+    dealt = dealt.withColumn("shard", F.expr(f"cast(_at * {n_shards} div {max(n, 1)} as int)"))
     slot = F.expr(f"_at - (shard * {n}L + {n_shards - 1}) div {n_shards}")
     return unpack(dealt.withColumn("slot", slot), df.columns, ["shard", "slot"])
 

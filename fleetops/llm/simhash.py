@@ -76,12 +76,14 @@ def signed(x: int) -> int:
 def links(fps: DataFrame, bits: int = 2, short: int = SHORT) -> DataFrame:
     """Links a, b between distinct fingerprints at up to `bits` differing bits; enough of them to join all that do.
 
-    The inverted index has a posting list for each value of several byte positions taken together: a list for one
-    byte would hold 1/256 of all fingerprints. A pair from a list is kept if the tally of its shared positional
-    bytes reaches the guaranteed minimum (8 less `bits`), then verified bit by bit. Pairs come from lists of up to
-    `short` fingerprints; members of longer ones (groups of near copies) post themselves under all values that
-    differ by half of `bits` in the bytes not shared, and link to the smallest member found at the same value:
-    exact as well, with no pairs. It needs an even number of bits.
+    The inverted index has a posting list for each value of five byte positions and one more (48 bits): a list for one
+    byte would hold 1/256 of all fingerprints. A pair meets in the lists of one set of five once for each further byte
+    that it shares, so counting its meetings tallies its shared positional bytes; it is kept if the tally reaches the
+    guaranteed minimum (8 less `bits`), then verified bit by bit. Pairs come from lists of five bytes with up to
+    `short` fingerprints. Members of longer ones (groups of near copies) would give pairs by the square; they post
+    themselves under all values that differ by half of `bits` in the bytes not shared, and link to the smallest member
+    found at the same value: exact as well, with no pairs. The result's components don't depend on `short`. It needs
+    two differing bits.
     """
     assert bits == 2, "neighbour values are made for two differing bits"
     index = masks(bits)
@@ -89,12 +91,13 @@ def links(fps: DataFrame, bits: int = 2, short: int = SHORT) -> DataFrame:
     posted = fps.select("fp", keys.alias("k")).select("fp", "k.at", "k.value")
     sizes = posted.groupBy("at", "value").agg(F.count("*").alias("n")).filter("n > 1")
     posted = cut(posted.join(sizes, ["at", "value"]), "postings")
-    few = posted.filter(F.col("n") <= short)
-    left, right = few.select("at", "value", F.col("fp").alias("a")), few.select("at", "value", F.col("fp").alias("b"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.when(F.shiftrightunsigned(apart, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-    pairs = left.join(right, ["at", "value"]).filter("a < b").withColumn("tally", shared)
-    pairs = pairs.filter((F.col("tally") >= BYTES - bits) & (F.bit_count(apart) <= bits)).select("a", "b")
+    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)).cast("int")
+    others = [[p for p in range(BYTES) if not m >> (8 * p) & 1] for m in index]
+    further = F.element_at(F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), byte(p).alias("v")) for p in o]) for o in others]), F.col("at") + 1)
+    few = posted.filter(F.col("n") <= short).select("fp", "at", "value", F.explode(further).alias("f"))
+    left, right = (few.select("at", "value", F.col("f.p").alias("p"), F.col("f.v").alias("v"), F.col("fp").alias(c)) for c in ("a", "b"))
+    pairs = left.join(right, ["at", "value", "p", "v"]).filter("a < b").groupBy("at", "a", "b").agg((F.count("*") + BYTES - len(others[0])).alias("tally"))
+    pairs = pairs.filter((F.col("tally") >= BYTES - bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
     free = F.element_at(F.array(*[F.array(F.lit(0), *[F.lit(signed(1 << b)) for b in range(64) if not m >> b & 1]) for m in index]), F.col("at") + 1)
     near = posted.filter(F.col("n") > short).select("fp", F.explode(F.transform(free, lambda b: F.col("fp").bitwiseXOR(b))).alias("value")).distinct()
     least = near.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1").select("value", "b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -18,6 +19,12 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Fixed value: what the pattern's \\s is, the characters with the Unicode property White_Space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of this many characters in a row is cut out by hand: the pattern's lookahead runs out of stack on millions.
+LONG_WHITE = re.compile(f"[{WHITE}]{{4096,}}")
+
+
 class Encoder:
     """A byte-level BPE vocabulary. The driver reads the file; `plain` is what travels to the executors."""
 
@@ -37,7 +44,15 @@ def length(plain: dict, text: str | None) -> int:
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, plain["ranks"].splitlines())}
         plain["built"] = tiktoken.Encoding("own", pat_str=plain["pattern"], mergeable_ranks=ranks, special_tokens={})
-    return len(plain["built"].encode_ordinary(text)) if text else 0
+    built, n, at = plain["built"], 0, 0
+    if not text:
+        return 0
+    for run in LONG_WHITE.finditer(text) if plain["pattern"] == PATTERN else ():
+        # Where it begins, a piece ends; all but its last character are one piece, and that one too at the text's end.
+        end = run.end() - (run.end() < len(text))
+        n += len(built.encode_ordinary(text[at : run.start()])) + len(built._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(built.encode_ordinary(text[at:] if at else text))
 
 
 def counter(encoder: Broadcast):
@@ -48,7 +63,8 @@ def counter(encoder: Broadcast):
 
 
 def token_lengths(df: DataFrame, encoder: Encoder | None = None, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
-    """Adds the number of tokens of each whole text; null and empty texts have none. An input column of that name gives way."""
+    """Adds the number of tokens of each whole text; null and empty texts have none, and long runs of white space are
+    counted as any others. An input column of that name gives way."""
     shared = df.sparkSession.sparkContext.broadcast({k: v for k, v in (encoder or Encoder()).plain.items() if k != "built"})
     return df.withColumn(out, counter(shared)(F.col(text_col)))
 

@@ -41,5 +41,42 @@ def test_edges(spark):
     assert {r.lang_pred for r in langid.identify(spark.createDataFrame([(1, "words", "")], schema), None).collect()} == {"und"}
 
 
+def plain_predict(net, text):
+    """The forward pass by loops: every window, place and filter."""
+    raw = (text or "").lower().encode()
+    total = np.zeros(len(net.langs))
+    for at in range(0, len(raw), langid.WINDOW):
+        w = raw[at : at + langid.WINDOW]
+        x = w.ljust(langid.WINDOW, b"\0")
+        feat = []
+        for table in net.tables:
+            r = [sum(table[k][x[i + k]] for k in range(len(table))) for i in range(len(x) - len(table) + 1)]
+            feat += np.max(r, axis=0).tolist()
+        z = np.maximum(np.array(feat) + net.bias, 0) @ net.dense + net.dense_bias
+        e = np.exp(z - z.max())
+        total += e / e.sum() * sum(b != 0 for b in w)
+    return total / total.sum()
+
+
+def test_predictions_against_a_plain_forward_pass():
+    net = langid.train([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de"), ("le chat et le chien " * 9, "fr")] * 8)
+    texts = ["the cat", "É der hund " * 60, "x" * 256, "y" * 257, "le " * 300 + "the " * 100]
+    for text, (lang, score) in zip(texts, langid.predict(net, texts)):
+        p = plain_predict(net, text)
+        assert lang == net.langs[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples: seen.extend(samples))
+    rows = [(i % 40, f"{i % 40} " + "some words " * 500, "en") for i in range(400)] + [(1, "kurz", "de"), (2, None, "de"), (3, "x", None)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_lang=30)
+    assert sorted(len(t) for t, lang in seen if lang == "en")[0] > 5000 and sum(lang == "en" for _, lang in seen) == len({t for t, lang in seen if lang == "en"}) == 30
+    assert [t for t, lang in seen if lang == "de"] == ["kurz"]
+    seen.clear()
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lang_bytes=12_000)
+    assert sum(lang == "en" for _, lang in seen) == 3
+
+
 def test_nothing_labelled(spark):
     assert langid.fit(spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string").filter(F.col("doc_id") > 0)) is None

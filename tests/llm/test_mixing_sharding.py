@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -56,7 +57,49 @@ def test_shard_deals_rows_evenly(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in df.collect())
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
     assert abs(sum(a < b for a, b in zip(order, order[1:])) / len(order) - 0.5) < 0.08
-    assert {(r.doc_id, r.shard, r.slot) for r in shard(df.repartition(5), 24, bucket_mb=1).collect()} == {(r.doc_id, r.shard, r.slot) for r in got}
+
+
+def places(df, **options):
+    return {(r.doc_id, r.text, r.shard, r.slot) for r in shard(df, **options).collect()}
+
+
+def test_shard_is_a_function_of_rows_and_seed(spark):
+    df = spark.createDataFrame([*rows(3000), (5, "long " * 300_000, "x", 0, 0), (6, "Long " * 300_000, "x", 0, 0)], SCHEMA)
+    want = places(df, bucket_mb=1)
+    assert len(want) == 3002 and places(df, bucket_mb=1, seed=7) != want
+    try:
+        for partitions, shuffle, aqe in ((9, 9, "false"), (40, 3, "true")):
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            assert places(df.repartition(partitions), bucket_mb=1) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def plain_places(rows, columns, n_shards, limit, seed=42):
+    """The same places by a loop."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    hashed = [(md5(f"{seed}|" + "".join("n" if r[c] is None else md5(str(r[c])) for c in columns)), r) for r in rows]
+    buckets = -(-sum(len((r["text"] or "").encode()) + 64 for r in rows) // limit) or 1
+    hashed.sort(key=lambda x: (int(x[0][:15], 16) % buckets, x[0]))
+    out, n = [], len(rows)
+    for at, (_, r) in enumerate(hashed):
+        k = at * n_shards // n
+        out.append((r["doc_id"], k, at - -(-k * n // n_shards)))
+    return sorted(out, key=str)
+
+
+def test_shard_against_a_loop(spark):
+    df = spark.createDataFrame([*rows(500), (None, None, None, None, 3), (None, "", "", None, 3), (7, "é" * 90_000, "x", 0, 0)], SCHEMA)
+    got = shard(df, 7, bucket_mb=1).select("doc_id", "shard", "slot").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_places([r.asDict() for r in df.collect()], df.columns, 7, 1 << 20)
+
+
+def test_shard_takes_columns_of_any_type(spark):
+    df = spark.range(300).selectExpr("id as doc_id", "'t' as text", "map('a', id) as m", "array(id) as a", "named_struct('b', id) as s", "cast('x' as binary) as b")
+    got = shard(df, 5).collect()
+    assert len(got) == 300 and Counter(r.shard for r in got) == dict.fromkeys(range(5), 60) and all(r.m["a"] == r.doc_id for r in got)
 
 
 def test_shard_edges(spark, tmp_path):

@@ -25,6 +25,16 @@ def test_sums_quantiles_and_limits(spark):
     assert got == {q: next(x for x in lengths if sum(y <= x for y in lengths) >= q * len(lengths)) for q in got} and len(got) == 3
 
 
+def test_long_white_space():
+    encoder = Encoder()
+    whole = lambda t: len(encoder.plain["built"].encode_ordinary(t))
+    encoder.length("a")
+    for run in (" " * 20_000, "\n" * 20_000, " \n\t\u2003\xa0" * 4000, "\x1c" * 9000):
+        for text in (run, "a" + run, run + "b", "one" + run + "two" + run, run + "\n's" + run + " x"):
+            assert encoder.length(text) == whole(text)
+    assert encoder.length(" " * 1_500_000 + "x") > 1 and encoder.length("\n" * 2_000_000) > 1
+
+
 def test_special_tokens_are_text():
     assert Encoder().length("<|endoftext|>") > 1
 
