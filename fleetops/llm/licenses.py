@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A window of twice a template's size class holds it whole and so shares at least a fifth of its shingles with it if
-#: 0.8 of the template is there: one row a band, 1 - 0.8**48 > 0.9999 to meet in one of the bands.
-BANDS = 48
-#: Templates are matched against literal sets, so their number is bounded.
-MAX_TEMPLATES = 1000
+#: A window of twice a template's size class shares at least 0.15 of its shingles with it if 0.8 of the template is there:
+#: one row a band, 1 - 0.85**64 > 0.9999 to meet in one of the bands.
+BANDS = 64
+#: With one row a band, a window can meet a template only if its least shingle is one of the template's. Up to so many
+#: shingles of templates are spelled out, and windows without any of them aren't hashed. That changes no result.
+LITERALS = 10_000
+#: Templates of up to so many bytes of bands and shingles are broadcast; more are joined as Spark sees fit.
+BROADCAST_BYTES = 8 << 20
 
 # Wording of published licenses and of the notices that refer to them.
 TEMPLATES = {
@@ -81,52 +84,60 @@ def bands(window: Column) -> Column:
 
 
 def index(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """template, shingles (distinct), size_class (the power of two not below their number) and bands."""
+    """template, shingles (distinct), size_class (the power of two not below 1.25 times their number) and bands."""
     rows = spark.createDataFrame(sorted(templates.items()), "template string, text string")
     rows = rows.select("template", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.select("template", F.array_distinct(shingles(F.col("h"))).alias("shingles")).filter(F.size("shingles") > 0)
-    size = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles").cast("double")))).cast("int")
+    size = F.pow(F.lit(2), F.ceil(F.log2(1.25 * F.size("shingles")))).cast("int")
     return rows.select("template", "shingles", size.alias("size_class"), bands(F.col("shingles")).alias("bands"))
 
 
-def license_scan(df: DataFrame, templates: dict[str, str] | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(
+    df: DataFrame, templates: dict[str, str] | None = None, key_col: str = "doc_id", text_col: str = "text", literals: int = LITERALS
+) -> DataFrame:
     """A row for each input row and template found in it: the key, `template`, `containment` (share of the template's
     five-word shingles in the best window), `first_word` and `n_words` (that window) and `n_windows` (how many agree).
 
     Texts are worked on where they are read. Their windows overlap by half, at two times each size class that occurs
-    among the templates; a window retrieves the templates that share one of its bands, and the exact containment of
-    at least 0.8 verifies them. With one row a band, a match needs a shingle of a template in the window: windows
-    without any are passed over, which loses nothing. What is shuffled is a row per verified window.
+    among the templates; a window retrieves the templates that share one of its MinHash bands, and the exact containment
+    of at least 0.8 verifies them. A template whose words stand within 1.25 times its length lies whole in a window; one
+    with more inserted may be missed. What is shuffled is a row per verified window. A text's windows are cut out class
+    by class, so a row holds twice its text at most, however many windows hold a license.
 
     Null and empty texts, and those of fewer than five words, match nothing; templates of fewer than five words are
     left out. Rows equal in all columns count each. An empty input gives an empty result.
     """
     spark = df.sparkSession
-    table = index(spark, TEMPLATES if templates is None else templates)
-    kept = table.limit(MAX_TEMPLATES + 1).collect()
-    if len(kept) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates; scan for them in several calls")
+    kept = index(spark, TEMPLATES if templates is None else templates).collect()  # as many as the caller gave
     wanted = sorted({x for r in kept for x in r.shingles})
     classes = sorted({r.size_class for r in kept})
-    entries = [(r.template, list(r.shingles), r.size_class, b) for r in kept for b in r.bands]
-    lookup = spark.createDataFrame(entries, "template string, shingles array<long>, size_class int, band long")
+    lookup = spark.createDataFrame([(r.template, list(r.shingles), r.size_class, b) for r in kept for b in r.bands], "template string, shingles array<long>, size_class int, band long")
+    if sum(BANDS * (8 * len(r.shingles) + 32) for r in kept) <= BROADCAST_BYTES:
+        lookup = F.broadcast(lookup)
     rows = df.select(F.col(key_col).alias("_key"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
     rows = rows.select("_key", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     rows = rows.select("_key", shingles(F.col("_h")).alias("_s"))
-    hit = F.transform("_s", lambda x, i: F.when(x.isin(wanted) if wanted else F.lit(False), i))
     # The row number also keeps the filter above this projection: pushed below, it would spell out the hashes in it anew.
-    rows = rows.select(F.monotonically_increasing_id().alias("_rid"), "_key", "_s", F.filter(hit, lambda i: i.isNotNull()).alias("_hits"))
-    rows = rows.filter(F.size("_hits") > 0)
-
-    def starts(c: int) -> Column:
-        """Windows of the class that hold a hit: those that begin at or one step before its step."""
-        steps = F.array_distinct(F.flatten(F.transform("_hits", lambda i: F.array(F.floor(i / c), F.greatest(F.floor(i / c) - 1, F.lit(0))))))
-        return F.transform(steps, lambda k: F.struct(F.lit(c).alias("size_class"), (k * c).cast("int").alias("at")))
-
-    every = F.concat(*[starts(c) for c in classes]) if classes else F.array().cast("array<struct<size_class:int,at:int>>")
-    rows = rows.select("_rid", "_key", "_s", F.explode(every).alias("_at"))
-    rows = rows.select("_rid", "_key", "_at.size_class", "_at.at", F.array_distinct(F.slice("_s", F.col("_at.at") + 1, 2 * F.col("_at.size_class"))).alias("_s"))
-    rows = rows.withColumn("band", F.explode(bands(F.col("_s")))).join(F.broadcast(lookup), ["size_class", "band"])
+    numbered = [F.monotonically_increasing_id().alias("_rid"), F.col("_key"), F.col("_s")]
+    few = len(wanted) <= literals
+    if few:
+        hit = F.transform("_s", lambda x, i: F.when(x.isin(wanted) if wanted else F.lit(False), i))
+        rows = rows.select(*numbered, F.filter(hit, lambda i: i.isNotNull()).alias("_hits")).filter(F.size("_hits") > 0)
+    else:
+        rows = rows.select(*numbered).filter(F.size("_s") > 0)
+
+    def steps(c: int) -> Column:
+        """Windows of the class by number; of those without a hit, none if hits are known."""
+        if not few:
+            return F.sequence(F.lit(0).cast("long"), F.floor((F.size("_s") - 1) / c))
+        return F.array_distinct(F.flatten(F.transform("_hits", lambda i: F.array(F.floor(i / c), F.greatest(F.floor(i / c) - 1, F.lit(0))))))
+
+    every = F.array(*[F.struct(F.lit(c).alias("size_class"), steps(c).alias("steps")) for c in classes]) if classes else F.array().cast("array<struct<size_class:int,steps:array<long>>>")
+    rows = rows.select("_rid", "_key", "_s", F.explode(every).alias("_c")).select("_rid", "_key", "_s", "_c.size_class", "_c.steps")
+    place = lambda k: (k * F.col("size_class")).cast("int")
+    window = lambda k: F.struct(place(k).alias("at"), F.array_distinct(F.slice("_s", place(k) + 1, 2 * F.col("size_class"))).alias("s"))
+    rows = rows.select("_rid", "_key", "size_class", F.explode(F.transform("steps", window)).alias("_win")).select("_rid", "_key", "size_class", "_win.at", F.col("_win.s").alias("_s"))
+    rows = rows.withColumn("band", F.explode(bands(F.col("_s")))).join(lookup, ["size_class", "band"])
     rows = rows.withColumn("containment", F.size(F.array_intersect("_s", "shingles")) / F.size("shingles")).filter(F.col("containment") >= SIMILARITY)
     best = F.struct("containment", (-F.col("at")).alias("back"), F.col("size_class"))
     found = rows.groupBy("_rid", "template").agg(F.first("_key").alias(key_col), F.max(best).alias("_best"), F.countDistinct("size_class", "at").alias("n_windows"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,26 +20,26 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 class Rule(NamedTuple):
-    """Votes good (1) or bad (-1) where its condition holds, else abstains (0)."""
+    """Votes good (1) or bad (-1) where its condition holds, else abstains (0). Rules of a family see the same failing."""
 
     name: str
+    family: str
     good: str
     bad: str
 
 
-#: Every known failing is seen by two rules at least (symbols and odd_runs, shouting and bangs, repeats and vocabulary):
-#: a rule that nothing else bears out would lose its say in the estimation.
 RULES = (
-    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols >= n_words"),
-    Rule("odd_runs", "25 * n_odd <= n_words", "5 * n_odd >= n_words"),
-    Rule("shouting", "20 * n_shouted <= n_words", "5 * n_shouted >= n_words"),
-    Rule("bangs", "50 * n_bangs <= n_words", "10 * n_bangs >= n_words"),
-    Rule("line_ends", "n_lines > 0 and 2 * n_ended >= n_lines", "n_lines >= 3 and 10 * n_ended <= n_lines"),
-    Rule("dup_lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines >= 3 * n_lines and n_lines >= 3"),
-    Rule("repeats", "10 * n_repeat_words <= n_words", "10 * n_repeat_words >= 3 * n_words"),
-    Rule("vocabulary", "n_words >= 20 and 4 * n_distinct >= n_words", "n_words >= 20 and 10 * n_distinct <= n_words"),
-    Rule("word_length", "word_chars between 3 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("symbols", "symbols", "50 * n_symbols <= n_words", "10 * n_symbols >= n_words"),
+    Rule("odd_runs", "symbols", "25 * n_odd <= n_words", "5 * n_odd >= n_words"),
+    Rule("shouting", "shouting", "20 * n_shouted <= n_words", "5 * n_shouted >= n_words"),
+    Rule("bangs", "shouting", "50 * n_bangs <= n_words", "10 * n_bangs >= n_words"),
+    Rule("line_ends", "form", "n_lines > 0 and 2 * n_ended >= n_lines", "n_lines >= 3 and 10 * n_ended <= n_lines"),
+    Rule("dup_lines", "repetition", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines >= 3 * n_lines and n_lines >= 3"),
+    Rule("repeats", "repetition", "10 * n_repeat_words <= n_words", "10 * n_repeat_words >= 3 * n_words"),
+    Rule("vocabulary", "repetition", "n_words >= 20 and 4 * n_distinct >= n_words", "n_words >= 20 and 10 * n_distinct <= n_words"),
+    Rule("word_length", "form", "word_chars between 3 * n_words and 12 * n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
 )
+FAMILIES = tuple(dict.fromkeys(r.family for r in RULES))
 
 
 def measured(df: DataFrame, text_col: str = "text", row: str = "_row") -> DataFrame:
@@ -85,8 +85,9 @@ def measured(df: DataFrame, text_col: str = "text", row: str = "_row") -> DataFr
     )
 
 
-#: The chance of a vote given the class, (class, vote), before any data.
-GUESS = {(1, 1): 0.85, (1, 0): 0.14, (1, -1): 0.01, (-1, 1): 0.66, (-1, 0): 0.09, (-1, -1): 0.25}
+#: Where the estimation starts: the share of good texts; the chance of a bad vote on a good text, and on a bad one for a
+#: rule of the family it fails and for another. It stays in as so many votes, whatever the size of the corpus.
+SHARE, MISS, OWN, OTHER, VOTES = 0.85, 0.02, 0.7, 0.05, 20.0
 
 
 def vote(rule: Rule) -> Column:
@@ -94,36 +95,70 @@ def vote(rule: Rule) -> Column:
     return F.expr(f"case when n_words = 0 then 0 when {rule.bad} then -1 when {rule.good} then 1 else 0 end")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, prior: float = 0.85, belief: float = 1.0) -> tuple[float, list[dict]]:
+class Model(NamedTuple):
+    """Classes are good and, by family, the ways to be bad: their shares, and each rule's chance to vote bad if it votes."""
+
+    share: list[float]
+    miss: list[list[float]]
+
+    def odds(self, way: int, rule: int, vote: int) -> float:
+        """What a rule's vote adds to the log odds of the way to be bad against good; abstention says nothing."""
+        bad, good = self.miss[way][rule], self.miss[0][rule]
+        return math.log(bad / good) if vote < 0 else math.log((1 - bad) / (1 - good)) if vote else 0.0
+
+    def chances(self, pattern: Sequence[int]) -> list[float]:
+        """Of each class given the votes; the first is the posterior quality."""
+        return next(self.all_chances([pattern]))
+
+    def all_chances(self, patterns: Sequence[Sequence[int]]) -> Iterator[list[float]]:
+        table = [[[self.odds(c, j, v) for v in (0, 1, -1)] for j in range(len(RULES))] for c in range(len(self.share))]
+        shares = [math.log(s / self.share[0]) for s in self.share]
+        for pattern in patterns:
+            z = [s + sum([row[v] for row, v in zip(rows, pattern, strict=True)]) for s, rows in zip(shares, table, strict=True)]
+            top = max(z)
+            e = [math.exp(x - top) for x in z]
+            whole = sum(e)
+            yield [x / whole for x in e]
+
+    def accuracy(self, rule: int) -> tuple[float, float]:
+        """The estimated chance that a rule, where it votes, votes good on a good text, and bad on a bad one."""
+        bad = sum(self.share[1:])
+        return 1 - self.miss[0][rule], sum(s * m[rule] for s, m in zip(self.share[1:], self.miss[1:], strict=True)) / bad
+
+
+def start() -> Model:
+    ways = [[OWN if r.family == f else OTHER for r in RULES] for f in FAMILIES]
+    return Model([SHARE, *[(1 - SHARE) / len(ways)] * len(ways)], [[MISS] * len(RULES), *ways])
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, votes: float = VOTES) -> Model:
     """Expectation-maximisation over the counts of vote patterns: at most 3**len(RULES) rows, however large the corpus.
 
-    Hidden classes good and bad; given the class, rules vote independently. Starts from GUESS: a bad text fails a rule
-    or two out of nine, a good one hardly any. The guess stays in as pseudo-counts, belief times the corpus: without
-    it the likeliest two classes are long and short texts. Returns the share of good texts and, for each rule, the
-    log odds that each vote adds.
+    A text is good or bad in one of as many ways as there are families of rules: rules that see the same failing depend
+    on each other, and bad texts of one kind say nothing about rules for another. Given that hidden class, the rules
+    that vote do so independently, each with a chance of its own to vote bad. Abstention is taken as independent of the
+    class: rules abstain on short texts, and were that evidence, the likeliest two classes would be short and long.
+    Begins at `start`, which also stays in as `votes` texts and votes, a fixed number that the corpus outweighs.
     """
+    first = now = start()
     n = sum(c for _, c in patterns)
-    weight = max(1.0, n * belief)
-    k = len(RULES)
-    chance = [dict(GUESS) for _ in range(k)]
-    good = prior
     for _ in range(rounds if n else 0):
-        seen = [{key: weight * p for key, p in GUESS.items()} for _ in range(k)]
-        total_good = weight * prior
-        for votes, count in patterns:
-            odds = math.log(good / (1 - good)) + sum(math.log(chance[j][1, v] / chance[j][-1, v]) for j, v in enumerate(votes))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            total_good += count * p
-            for j, v in enumerate(votes):
-                seen[j][1, v] += count * p
-                seen[j][-1, v] += count * (1 - p)
-        good = total_good / (n + weight)
-        for j in range(k):
-            for y in (1, -1):
-                all_y = sum(seen[j][y, v] for v in (-1, 0, 1))
-                for v in (-1, 0, 1):
-                    chance[j][y, v] = seen[j][y, v] / all_y
-    return good, [{v: math.log(chance[j][1, v] / chance[j][-1, v]) for v in (-1, 0, 1)} for j in range(k)]
+        total = [votes * s for s in first.share]
+        voted = [[votes] * len(RULES) for _ in total]
+        bad = [[votes * m for m in row] for row in first.miss]
+        for (pattern, count), chances in zip(patterns, now.all_chances([p for p, _ in patterns]), strict=True):
+            for c, p in enumerate(chances):
+                p *= count
+                total[c] += p
+                for j, v in enumerate(pattern):
+                    if v:
+                        voted[c][j] += p
+                        if v < 0:
+                            bad[c][j] += p
+        before, now = now, Model([t / (n + votes) for t in total], [[b / v for b, v in zip(*x, strict=True)] for x in zip(bad, voted, strict=True)])
+        if max(abs(a - b) for a, b in zip(before.share, now.share, strict=True)) < 1e-9:
+            break
+    return now
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", columns: Sequence[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -144,12 +179,14 @@ def quality_rules(df: DataFrame, text_col: str = "text", columns: Sequence[str]
     rows = cut(rows, "rules")
     votes = [vote(r).alias(f"_v{j}") for j, r in enumerate(RULES)]
     counted = rows.select(*votes).groupBy(*[f"_v{j}" for j in range(len(RULES))]).count().collect()
-    good, odds = fit([(tuple(r[:-1]), r[-1]) for r in counted])
-    score = F.lit(math.log(good / (1 - good)))
-    for r, o in zip(RULES, odds, strict=True):
-        score = score + F.when(vote(r) == 1, o[1]).when(vote(r) == -1, o[-1]).otherwise(o[0])
+    model = fit(sorted((tuple(r[:-1]), r[-1]) for r in counted))
+    against = F.lit(0.0)
+    for c in range(1, len(model.share)):
+        odds = F.lit(math.log(model.share[c] / model.share[0]))
+        for j in range(len(RULES)):
+            odds = odds + F.element_at(F.array(*[F.lit(model.odds(c, j, v)) for v in (-1, 0, 1)]), F.col(f"_v{j}") + 2)
+        against = against + F.exp(F.least(odds, F.lit(500.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-score))
-    rows = rows.withColumn("base_failed", failed).withColumn("quality_posterior", posterior)
+    rows = rows.withColumn("base_failed", failed).select("*", *votes).withColumn("quality_posterior", 1 / (1 + against))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality_posterior") >= threshold))
     return unpack(rows, fields, [*FEATURES, "base_failed", "quality_posterior", "kept"])

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from fleetops.llm.licenses import TEMPLATES, license_scan
 
@@ -26,9 +29,12 @@ def corpus():
     return out
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("literals", [10_000, 0])
+def test_brute_force(spark, literals):
+    """By MinHash bands of all windows (no literals), and with the windows left out that can't meet a template."""
     texts = corpus()
-    got = {(r.doc_id, r.template): r.containment for r in license_scan(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.template): r.containment for r in license_scan(df, literals=literals).collect()}
     want = {}
     for i, t in enumerate(texts):
         have = set(grams(t))
@@ -45,3 +51,19 @@ def test_own_templates_and_empty(spark):
     assert sorted((r.doc_id or 0, r.template, r.containment) for r in rows) == [(0, "own", 1.0), (1, "own", 1.0), (1, "own", 1.0)]
     assert license_scan(df, {}).count() == 0
     assert license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_inserted_words(spark):
+    """A clause of up to a quarter of the template in its middle, at every alignment of the windows."""
+    words = TEMPLATES["MIT"].split()
+    extra = [f"inserted{i}" for i in range(len(words) // 5)]
+    texts = [" ".join([*(f"before{i}" for i in range(at)), *words[:30], *extra, *words[30:]]) for at in range(0, 130, 3)]
+    got = {r.doc_id for r in license_scan(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], SCHEMA)).filter("template = 'MIT'").collect()}
+    assert got == set(range(len(texts)))
+
+
+def test_a_long_text_full_of_notices(spark):
+    began = time.monotonic()
+    text = " ".join([TEMPLATES["MIT-notice"]] * 60_000)
+    (r,) = license_scan(spark.createDataFrame([(1, text, "")], SCHEMA)).collect()
+    assert r.template == "MIT-notice" and r.containment == 1.0 and time.monotonic() - began < 100
