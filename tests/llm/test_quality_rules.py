@@ -114,7 +114,7 @@ def test_planted_accuracies_are_recovered():
     for j in range(len(RULES)):
         want = 1 - planted[0][j], sum(s * m[j] for s, m in zip(share[1:], planted[1:])) / 0.2
         for x, y, z in zip(want, model.accuracy(j), larger.accuracy(j)):
-            assert abs(x - y) < 0.05 and abs(y - z) < 0.01
+            assert abs(x - y) < 0.05 and abs(y - z) < 0.03
 
 
 def test_abstention_is_no_evidence():

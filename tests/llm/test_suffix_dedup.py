@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fleetops.llm import suffix_dedup as S
@@ -49,12 +50,9 @@ def corpus(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "length", "hot", "run"), [(1, 200, 10**6, 1 << 20), (2, 200, 3, 1 << 20), (3, 64, 10**6, 300), (4, 40, 1, 1 << 20)])
-def test_brute_force(spark, monkeypatch, seed, length, hot, run):
-    monkeypatch.setattr(S, "RUN", run)
-    texts = corpus(seed)
+def check(spark, texts, length, **options):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    out = {r.doc_id: r for r in S.suffix_dedup(df, length, hot=hot).collect()}
+    out = {r.doc_id: r for r in S.suffix_dedup(df, length, **options).collect()}
     assert len(out) == len(texts)
     for i, (spans, kept) in enumerate(brute(texts, length)):
         assert [(s.start, s.end) for s in out[i].spans] == spans
@@ -62,5 +60,34 @@ def test_brute_force(spark, monkeypatch, seed, length, hot, run):
         assert hashlib.sha256(out[i].kept).hexdigest() == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize(("seed", "length", "crowd", "run"), [(1, 200, 10**6, 1 << 20), (2, 200, 3, 1 << 20), (3, 64, 10**6, 300), (4, 40, 1, 1 << 20)])
+def test_brute_force(spark, monkeypatch, seed, length, crowd, run):
+    monkeypatch.setattr(S, "RUN", run)
+    check(spark, corpus(seed), length, crowd=crowd)
+
+
+@pytest.mark.parametrize("least", [2, 12])
+def test_hot_triggers_change_nothing(spark, monkeypatch, least):
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "HOT_LEAST", least)
+    passage = " ".join(f"passage{i}" for i in range(60))
+    check(spark, [*corpus(5, 20), *(f"before {i} {passage} after {i} and some more words {i * 7}" for i in range(30))], 200)
+
+
+def test_order_of_suffixes():
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"ab\0", k=rng.randrange(1, 40))) for _ in range(60)]
+    got = S.suffix_ranks(words, 40)
+    suffixes = [w[i:] for w in words for i in range(len(w))]
+    order = sorted(set(suffixes))
+    assert got.tolist() == [order.index(x) for x in suffixes]
+    follows = sorted({bytes(rng.choices(b"a\0", k=rng.randrange(9))) for _ in range(200)})
+    plain = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(follows, follows[1:])]
+    lcp = S.common(follows)
+    assert lcp.tolist() == plain
+    pairs = [(a, b) for a in range(len(lcp)) for b in range(a + 1, len(lcp) + 1)]
+    assert S.least_between(lcp, *(np.array(x) for x in zip(*pairs))).tolist() == [min(plain[a:b]) for a, b in pairs]
+
+
 def test_empty(spark):
     assert S.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
