@@ -87,15 +87,20 @@ def last_match(text: Column, pattern: str, longest: int = 120) -> Column:
 
 
 #: Fixed value: how a training log tells its progress.
-PROGRESS = r"(?i)\b(?:epoch|trial|iter(?:ation)?|step)\s*[:#=]?\s*(\d+)(?:\s*(?:/|of)\s*(\d+))?"
-
-
-def progress(text: Column, lines: int = 200) -> Column:
-    """"n/m" of the newest progress mark in the last lines, m being ? if it isn't told; null if there is none."""
-    split = F.split(text, "\n")
-    tail = F.array_join(F.slice(split, F.greatest(F.lit(1), F.size(split) - lines + 1), F.lit(lines)), "\n")
-    done, goal = (F.try_element_at(F.regexp_extract_all(tail, F.lit(PROGRESS), F.lit(g)), F.lit(-1)) for g in (1, 2))
-    return F.when(done.isNotNull(), F.concat_ws("/", done, F.when(goal == "", "?").otherwise(goal)))
+PROGRESS = r"(?iU)(?:epoch|trial|iter|step)\s*[:/#= ]\s*(\d+)\s*(?:/|of\s+)?\s*(\d+)?"
+#: Fixed value: what ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def progress(text: Column, lines: int = 200, tail_bytes: int = 256 << 10) -> Column:
+    """"n/m" of the first progress mark in the newest line that has one, among the last lines of the last tail_bytes; m is
+    ? if it isn't told. Null if there is none."""
+    tail = F.substring(text.cast("binary"), -tail_bytes, tail_bytes).cast("string")
+    split = F.split(F.regexp_replace(tail, f"(?:{LINE_END})\\z", ""), LINE_END)
+    last = F.slice(split, F.greatest(F.lit(1), F.size(split) - lines + 1), F.lit(lines))
+    line = F.try_element_at(F.filter(last, lambda x: x.rlike(PROGRESS)), F.lit(-1))
+    done, goal = (F.regexp_extract(line, PROGRESS, g) for g in (1, 2))
+    return F.when(line.isNotNull(), F.concat_ws("/", done, F.when(goal == "", "?").otherwise(goal)))
 
 
 def log_excerpt(text: Column, marker: str, around: int = 3, longest: int = 4096) -> Column:

@@ -63,14 +63,15 @@ def validate_rules(rules: DataFrame, group: str, most: int = 64) -> DataFrame:
     return out.withColumn("reasons", why).drop("_n")
 
 
-#: Variables that a job may not set.
-BANNED_ENV = ("PATH", "HOME", "SHELL", "PYTHONPATH", "CUDA_VISIBLE_DEVICES", "BASH_ENV", "ENV", "IFS")
+#: Variables that a job may not set; the loader's (LD_, DYLD_) are refused by their prefix.
+BANNED_ENV = ("BASH_ENV", "ENV", "SCHED_RECOVERY_CONTEXT")
 
 
 def refused_env(env: Column, banned: Sequence[str] = BANNED_ENV) -> Column:
-    """The entries of a map that are refused: a name that isn't one, a banned name, or one of the loader's own."""
-    bad = lambda k: ~k.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z") | k.isin(*banned) | k.rlike("^(LD_|DYLD_)")
-    return F.map_filter(env, lambda k, _: bad(k))
+    """The entries of a map that are refused: a name that isn't one, a banned name or one of the loader's own, a value
+    that is null or holds a NUL. A caller may ban more names."""
+    bad = lambda k, v: ~k.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z") | k.isin(*banned) | k.rlike("^(LD_|DYLD_)") | v.isNull() | v.contains("\0")
+    return F.map_filter(env, bad)
 
 
 def resolve_templates(df: DataFrame, text: str, variables: DataFrame, id_col: str) -> DataFrame:
@@ -197,17 +198,21 @@ def cleanup_due(cleanups: DataFrame, jobs: DataFrame, job: str, now: int, limit:
 
 #: What the end of a log tells, the first that occurs.
 LOG_CLASSES = {
-    "oom": r"(?i)out of memory|cannot allocate memory|std::bad_alloc|oom-kill",
-    "gpu_fault": r"(?i)\bxid\b|nvrm:|device-side assert|illegal memory access|uncorrectable ecc",
-    "perm": r"(?i)permission denied|eacces|operation not permitted",
+    "oom": r"CUDA out of memory|OutOfMemoryError",
+    "gpu_fault": r"(?U)\bXid\b|\bECC\b",
+    "perm": r"PermissionError|Operation not permitted|EACCES",
 }
-TAIL = 4 << 20
 
 
-def log_classify(text: Column) -> Column:
-    """oom, gpu_fault, perm or error, by the last 4 Mi characters of a log. Null and empty logs are errors too."""
-    tail = F.substring(text, -TAIL, TAIL)
-    out = None
+def end_of(text: Column, n: int) -> Column:
+    """The last n bytes of a text."""
+    return F.substring(text.cast("binary"), -n, n).cast("string")
+
+
+def log_classify(text: Column, tail_bytes: int = 4 << 20) -> Column:
+    """oom, gpu_fault, perm or error, by the last tail_bytes of a log: a failure shows at its end. Null and empty logs are
+    errors too."""
+    tail, out = end_of(text, tail_bytes), None
     for name, pattern in LOG_CLASSES.items():
         out = F.when(tail.rlike(pattern), name) if out is None else out.when(tail.rlike(pattern), name)
     return out.otherwise("error")

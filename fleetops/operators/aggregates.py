@@ -63,13 +63,12 @@ def cpu_reserved(jobs: DataFrame, frozen: Column, declared: Column, default: Col
 
 
 def storage_reserved(jobs: DataFrame, bindings: str, id_col: str) -> DataFrame:
-    """bytes and inodes by filesystem from each job's bindings (array of structs filesystem, bytes, inodes), and under a
-    null filesystem the ids, sorted, whose bindings are missing or don't name one."""
+    """bytes and inodes by filesystem from each job's bindings (array of structs filesystem, bytes, inodes). A job whose
+    bindings are missing or don't name one has a row of its own for what it wants there: a null filesystem and its id as
+    `unresolved`, which is null otherwise. So no group holds them all."""
     each = jobs.select(id_col, F.explode_outer(bindings).alias("_b")).select(id_col, "_b.*")
-    lost = F.when(F.col("filesystem").isNull(), F.col(id_col))
-    return each.groupBy("filesystem").agg(
-        F.sum("bytes").alias("bytes"), F.sum("inodes").alias("inodes"), F.sort_array(F.collect_set(lost)).alias("unresolved")
-    )
+    lost = F.when(F.col("filesystem").isNull(), F.col(id_col)).alias("unresolved")
+    return each.groupBy("filesystem", lost).agg(F.sum("bytes").alias("bytes"), F.sum("inodes").alias("inodes"))
 
 
 def storage_check(paths: DataFrame, used: DataFrame, floor_control: int, floor_task: int) -> DataFrame:

@@ -77,10 +77,13 @@ def co_runners(bridge: DataFrame, peaks: DataFrame, card: str, job: str, size: s
     return left.join(right, card).filter("job <> other").withColumn("over", F.col("measured") > F.col("declared"))
 
 
-def candidates(requests: DataFrame, cards: DataFrame, fits: Column, group: str) -> DataFrame:
-    """Every request against every card of its group, with `allowed` (null where unknown). An equi join on the group (a
+def candidates(requests: DataFrame, cards: DataFrame, fits: Column, group: str, wants: Sequence[str]) -> DataFrame:
+    """Every kind of request (its group and what it `wants`) against every card of the group, with `allowed` (null where
+    unknown) and `requests` (how many are of that kind). Requests that want the same are judged alike, so the rows grow
+    with the kinds, not with the requests; these find their verdicts by group and wants. An equi join on the group (a
     node, a pool): an unrestricted product of requests and cards isn't offered."""
-    return requests.join(cards, group).withColumn("allowed", fits)
+    kinds = requests.groupBy(group, *wants).agg(F.count("*").alias("requests"))
+    return kinds.join(cards, group).withColumn("allowed", fits)
 
 
 def attribute_pids(samples: DataFrame, topology: DataFrame, owners: DataFrame, sample: str, uuid: str, pid: str) -> DataFrame:

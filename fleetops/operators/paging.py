@@ -54,8 +54,9 @@ def tail_lines(text: Column, n: int) -> Column:
     return F.slice(lines, F.greatest(F.lit(1), F.size(lines) - n + 1), F.lit(n))
 
 
-def best_card(candidates: DataFrame, request: str, allowed: str, preferred: str, load: str, position: str, card: str) -> DataFrame:
-    """For each request, of its allowed cards the preferred first, then the least loaded, then the first in position."""
+def best_card(candidates: DataFrame, request: str | Sequence[str], allowed: str, preferred: str, load: str, position: str, card: str) -> DataFrame:
+    """For each request, or each kind of them by the columns that tell it, of its allowed cards the preferred first, then
+    the least loaded, then the first in position: `best`, and `n_allowed`."""
     key = F.struct((~F.coalesce(F.col(preferred), F.lit(False))).alias("p"), F.col(load), F.col(position))
     ok = F.coalesce(F.col(allowed), F.lit(False))
-    return candidates.groupBy(request).agg(F.min_by(F.when(ok, F.col(card)), F.when(ok, key)).alias("best"), F.count_if(ok).alias("n_allowed"))
+    return candidates.groupBy(*([request] if isinstance(request, str) else request)).agg(F.min_by(F.when(ok, F.col(card)), F.when(ok, key)).alias("best"), F.count_if(ok).alias("n_allowed"))

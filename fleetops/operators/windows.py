@@ -49,18 +49,26 @@ def stale_running(df: DataFrame, keys: Sequence[str], version: str, status: str,
 def dispatch_rank(df: DataFrame, order: Sequence[Column], within: str) -> DataFrame:
     """`rank_within` in each group and `rank_all` over all rows, both from 1, by the same order.
 
-    The order over all rows needs no single task: rows are sorted by ranges, numbered inside their partition, and
-    each partition starts after the rows of those before it. The order must end in a unique column. `rank_within` less
-    a free quota equals greedy admission only if nothing else refuses a candidate.
+    Neither needs a single task, however large a group: rows are sorted by ranges (`numbered`) of the order, and then of
+    group and order, where a group's ranks begin after its first number. The order must end in a unique column.
+    `rank_within` less a free quota equals greedy admission only if nothing else refuses a candidate.
     """
-    ranked = df.withColumn("rank_within", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
-    placed = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
+    both = numbered(numbered(df, order, "rank_all"), [F.col(within), *order], "_nth")
+    first = both.groupBy(F.col(within).alias("_of")).agg(F.min("_nth").alias("_least"))
+    out = both.join(first, F.col(within).eqNullSafe(F.col("_of")))
+    return out.withColumn("rank_within", (F.col("_nth") - F.col("_least") + 1).cast("int")).drop("_nth", "_of", "_least")
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the rows' numbers in an order, from 1: rows are sorted by ranges and numbered inside their partition, and each
+    partition starts after the rows of those before it."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = saved(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select("_part", "_first", before.alias("_base"))  # a row per partition
     out = placed.join(F.broadcast(bases), "_part")
-    return out.withColumn("rank_all", F.col("_at") - F.col("_first") + F.col("_base") + 1).drop("_part", "_at", "_first", "_base")
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_base") + 1).drop("_part", "_at", "_first", "_base")
 
 
 def verify_chain(df: DataFrame, owner: str, seq: str, id_col: str, prev_col: str, content: Column) -> DataFrame:

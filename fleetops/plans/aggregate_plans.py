@@ -117,13 +117,13 @@ def agg7(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "agg8_storage_reserved",
     """WITH b AS (SELECT l_orderkey AS id, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag END AS filesystem, l_quantity::bigint AS bytes, l_linenumber::bigint AS inodes FROM lineitem)
-SELECT filesystem, sum(bytes)::bigint AS bytes, sum(inodes)::bigint AS inodes, count(DISTINCT id) FILTER (filesystem IS NULL) AS n_unresolved FROM b GROUP BY filesystem""",
+SELECT filesystem, CASE WHEN filesystem IS NULL THEN id END AS unresolved, sum(bytes)::bigint AS bytes, sum(inodes)::bigint AS inodes FROM b GROUP BY ALL""",
 )
 def agg8(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     fs = F.when(F.col("l_linenumber") == 6, None).otherwise(F.col("l_returnflag"))
     jobs = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(fs.alias("filesystem"), F.col("l_quantity").cast("long").alias("bytes"), F.col("l_linenumber").cast("long").alias("inodes"))).alias("bindings"))
-    return A.storage_reserved(jobs, "bindings", "id").select("filesystem", "bytes", "inodes", F.size("unresolved").cast("long").alias("n_unresolved"))
+    return A.storage_reserved(jobs, "bindings", "id").select("filesystem", "unresolved", "bytes", "inodes")
 
 
 PATHS = """SELECT l_orderkey AS request, CASE WHEN l_partkey % 40 = 0 THEN NULL ELSE cast(l_suppkey % 6 AS bigint) END AS filesystem, CASE WHEN l_linenumber < 3 THEN 'control' ELSE 'task' END AS role,

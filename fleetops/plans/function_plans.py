@@ -56,10 +56,10 @@ def prj3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prj4_refused_env",
-    f"""{duck("jobs")} SELECT id, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'LD_PRELOAD' END, CASE WHEN id % 4 = 0 THEN 'PATH' END, CASE WHEN id % 5 = 0 THEN 'bad-name' END) AS refused FROM jobs""",
+    f"""{duck("jobs")} SELECT id, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'LD_PRELOAD' END, CASE WHEN id % 4 = 0 THEN 'BASH_ENV' END, CASE WHEN id % 5 = 0 THEN 'bad-name' END) AS refused FROM jobs""",
 )
 def prj4(spark: SparkSession, d: str) -> DataFrame:
-    env = F.expr("map('GOOD', '1', if(id % 3 = 0, 'LD_PRELOAD', 'A1'), 'x', if(id % 4 = 0, 'PATH', 'A2'), 'x', if(id % 5 = 0, 'bad-name', '_A3'), 'x')")
+    env = F.expr("map('PATH', '1', if(id % 3 = 0, 'LD_PRELOAD', 'A1'), 'x', if(id % 4 = 0, 'BASH_ENV', 'A2'), 'x', if(id % 5 = 0, 'bad-name', '_A3'), 'x')")
     return frame(spark, d, "jobs").select("id", joined(F.map_keys(V.refused_env(env))).alias("refused"))
 
 
@@ -186,12 +186,12 @@ def prj17(spark: SparkSession, d: str) -> DataFrame:
     return V.cleanup_due(cleanups, jobs.select("id", "status"), "id", now, 200, ["retry_after", "row_seq"]).select("id")
 
 
-LOG_SQL = "CASE doc_id % 5 WHEN 0 THEN 'CUDA out of memory, Xid 79' WHEN 1 THEN 'NVRM: Xid 79' WHEN 2 THEN 'open: EACCES' WHEN 3 THEN 'maxid' ELSE '' END"
+LOG_SQL = "CASE doc_id % 5 WHEN 0 THEN 'torch.OutOfMemoryError: CUDA, Xid 79' WHEN 1 THEN 'an ECC error' WHEN 2 THEN 'open: EACCES' WHEN 3 THEN 'maXid, xid, out of memory' ELSE '' END"
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as task logs: a line that tells the failure, and one that tells progress, amid the text."""
-    return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\nepoch 3/9\n"), F.expr(LOG_SQL), F.lit("\nstep "), (F.col("doc_id") % 100).cast("string"), F.when(F.col("doc_id") % 2 == 0, "/200").otherwise(""), F.lit("\nend")).alias("log"))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\nepoch 3/9\n"), F.expr(LOG_SQL), F.lit("\nstep: "), (F.col("doc_id") % 100).cast("string"), F.when(F.col("doc_id") % 2 == 0, "/200").otherwise(""), F.lit(" epoch 9/9\nend")).alias("log"))
 
 
 @query("prj18_log_classify", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'oom' WHEN 1 THEN 'gpu_fault' WHEN 2 THEN 'perm' ELSE 'error' END AS class FROM documents")
@@ -300,7 +300,7 @@ def sca8(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "sca9_log_excerpt",
-    f"""WITH l AS (SELECT doc_id, string_split(concat(text, chr(10), 'epoch 3/9', chr(10), {LOG_SQL}, chr(10), 'step ', doc_id % 100, CASE WHEN doc_id % 2 = 0 THEN '/200' ELSE '' END, chr(10), 'end'), chr(10)) AS a FROM documents),
+    f"""WITH l AS (SELECT doc_id, string_split(concat(text, chr(10), 'epoch 3/9', chr(10), {LOG_SQL}, chr(10), 'step: ', doc_id % 100, CASE WHEN doc_id % 2 = 0 THEN '/200' ELSE '' END, ' epoch 9/9', chr(10), 'end'), chr(10)) AS a FROM documents),
 p AS (SELECT doc_id, a, list_position(list_transform(a, lambda x: regexp_matches(x, '^epoch|EACCES')), true) AS h FROM l) SELECT doc_id, right(array_to_string(a[greatest(1, h - 2):h + 2], chr(10)), 4096) AS excerpt FROM p""",
 )
 def sca9(spark: SparkSession, d: str) -> DataFrame:

@@ -47,12 +47,12 @@ def gra2(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "gra3_blocking_paths",
     f"""{duck("jobs").replace("WITH", "WITH RECURSIVE", 1)}, {EDGES}, o AS (SELECT e.src, e.dst, j.status FROM e JOIN jobs j ON j.id = e.src WHERE j.status NOT IN ('done', 'skip')),
-w(root, node, status, hops, path) AS (SELECT id, id, NULL::varchar, 0, id::varchar FROM jobs WHERE status = 'pending' UNION ALL SELECT root, o.src, o.status, hops + 1, concat(path, '/', o.src) FROM w JOIN o ON o.dst = w.node WHERE hops < 6)
-SELECT root, node AS source, status, hops, path, hops = 6 AND node IN (SELECT dst FROM o) AS truncated FROM w WHERE hops > 0""",
+w(root, node, status, hops, path) AS (SELECT id, id, NULL::varchar, 0, id::varchar FROM jobs WHERE status = 'pending' UNION ALL SELECT root, o.src, o.status, hops + 1, concat(path, '/', o.src) FROM w JOIN o ON o.dst = w.node WHERE hops < 32)
+SELECT root, node AS source, status, concat('source_', status) AS reason, hops, path, hops = 32 AND node IN (SELECT dst FROM o) AS truncated FROM w WHERE hops > 0""",
 )
 def gra3(spark: SparkSession, d: str) -> DataFrame:
     status = frame(spark, d, "jobs").select(F.col("id").alias("node"), "status")
-    return G.blocking_paths(status.filter("status = 'pending'"), edges(spark, d), status, depth=6).withColumn("path", F.array_join("path", "/"))
+    return G.blocking_paths(status.filter("status = 'pending'"), edges(spark, d), status, depth=32).withColumn("path", F.array_join("path", "/"))
 
 
 @query(

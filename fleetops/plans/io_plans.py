@@ -56,10 +56,42 @@ def src3(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("name", "project", "priority", F.size("tasks").alias("n_tasks"), F.col("tasks")[0]["id"].alias("first_task")).agg(F.count("*").alias("n"))
 
 
-@query("src6_read_files")
+@query(
+    "src4_stream_inbox",
+    f"""{duck("batches")} SELECT concat('r', id) AS request_id, project AS binding, name AS batch FROM batches""",
+)
+def src4(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "inbox")
+    sent = frame(spark, d, "batches").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("request_id"), F.col("project").alias("binding"), F.col("name").alias("batch"))
+    sent.write.json(at)
+    return jobs.drain(S.stream_inbox(spark, at, names="part-*.json"), "inbox")
+
+
+@query(
+    "src5_read_logs",
+    """WITH l AS (SELECT doc_id % 7 AS b, doc_id % 3 AS t, doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\n$', ''), chr(10))) AS line FROM documents)
+SELECT concat('b', b) AS batch, concat('t', t) AS task, 1::bigint AS version, count(*) AS n_lines, 1::bigint AS first_line, sum(strlen(line))::bigint AS bytes FROM l GROUP BY b, t""",
+)
+def src5(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the logs of 21 tasks, a file for each writer."""
+    at = scratch(spark, "logs")
+    keys = F.concat(F.lit("b"), (F.col("doc_id") % 7).cast("string")).alias("batch"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string"), F.lit("-v1")).alias("task")
+    lines = table(spark, d, "documents").select(*keys, F.regexp_replace(F.coalesce("text", F.lit("")), "\n\\z", "").alias("value"))
+    lines.write.partitionBy("batch", "task").text(at)
+    rows = S.read_logs(spark, at, names="part-*", keys=r"batch=([^/]+)/task=([^/]+)-v(\d+)/[^/]+$")
+    return rows.groupBy("batch", "task", "version").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(
+    "src6_read_files",
+    """SELECT concat('p', page_id % 12) AS part, sum(strlen(coalesce(html, '')) + 1)::bigint AS bytes, sum(strlen(coalesce(html, '')) + 1)::bigint AS content_bytes FROM pages GROUP BY ALL""",
+)
 def src6(spark: SparkSession, d: str) -> DataFrame:
-    files = S.read_files(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+)/?$", 1).alias("name"), "length")
-    return files.groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    at = scratch(spark, "files")
+    part = F.concat(F.lit("p"), (F.col("page_id") % 12).cast("string"))
+    table(spark, d, "pages").select(part.alias("part"), F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("part").text(at)
+    files = S.read_files(spark, at, "part-*").select(F.regexp_extract("path", r"part=([^/]+)/[^/]+$", 1).alias("part"), "length", F.octet_length("content").alias("n"))
+    return files.groupBy("part").agg(F.sum("length").alias("bytes"), F.sum("n").cast("long").alias("content_bytes"))
 
 
 @query("src7_read_samples", f"""{duck("log")} SELECT concat('n', owner) AS node, (k % 8)::int AS idx, CASE WHEN k % 10 <> 0 THEN cents END AS used_mib, CASE WHEN kind <> 'error' THEN id END AS pid, ts IS NOT NULL AS timed FROM log JOIN events ON event_id = id""")
@@ -228,4 +260,4 @@ def str11(spark: SparkSession, d: str) -> DataFrame:
     frame(spark, d, "jobs").filter("status <> 'running'").withColumn("rev", F.col("gpu")).write.parquet(f"{at}/jobs")
     changes = event_stream(spark, d).select(F.col("owner").alias("batch_id"))
     jobs.stream_batch_events(changes, f"{at}/jobs", f"{at}/out", f"{at}/state", ("done", "skip", "failed", "blocked", "cancelled", "timed_out", "interrupted")).awaitTermination()
-    return S.spark_optional(spark, f"{at}/out", "batch_id long, finished long, n_failures int")
+    return S.spark_optional(spark, f"{at}/out", "batch_id long, finished long, n_failures int, day int").drop("day")

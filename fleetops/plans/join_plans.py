@@ -115,13 +115,13 @@ def jn8(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn9_candidates",
-    f"""{duck("cards")}, r AS (SELECT c_custkey AS request, c_nationkey::bigint AS node, (c_custkey % 26)::bigint AS gib FROM customer)
-SELECT request, card, CASE WHEN quarantined THEN false WHEN card % 17 = 0 THEN NULL ELSE gib * 100 <= capacity * 85 END AS allowed FROM r JOIN cards c ON c.node = r.node""",
+    f"""{duck("cards")}, r AS (SELECT c_nationkey::bigint AS node, (c_custkey % 26)::bigint AS gib, count(*) AS requests FROM customer GROUP BY ALL)
+SELECT r.node, gib, requests, card, CASE WHEN quarantined THEN false WHEN card % 17 = 0 THEN NULL ELSE gib * 100 <= capacity * 85 END AS allowed FROM r JOIN cards c ON c.node = r.node""",
 )
 def jn9(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "customer").select(F.col("c_custkey").alias("request"), F.col("c_nationkey").cast("long").alias("node"), (F.col("c_custkey") % 26).alias("gib"))
     fits = F.when(F.col("quarantined"), False).when(F.col("card") % 17 == 0, None).otherwise(F.col("gib") * 100 <= F.col("capacity") * 85)
-    return J.candidates(requests, frame(spark, d, "cards"), fits, "node").select("request", "card", "allowed")
+    return J.candidates(requests, frame(spark, d, "cards"), fits, "node", ["gib"]).select("node", "gib", "requests", "card", "allowed")
 
 
 @query(
@@ -328,9 +328,11 @@ def top2(spark: SparkSession, d: str) -> DataFrame:
     return jobs.select("id", "batch_id", "extra")
 
 
-@query("top3_anchored_page", "SELECT event_id, user_id FROM events WHERE event_id > 100 AND event_id <= 5000 AND event_type = 'error' ORDER BY event_id LIMIT 40")
+@query("top3_anchored_page", "SELECT event_id, user_id FROM events WHERE event_id > 100 AND event_id <= (SELECT max(event_id) FROM events) AND event_type = 'error' ORDER BY event_id LIMIT 40")
 def top3(spark: SparkSession, d: str) -> DataFrame:
-    return P.anchored_page(table(spark, d, "events"), "event_id", 40, 100, 5000, F.col("event_type") == "error").select("event_id", "user_id")
+    events = table(spark, d, "events")
+    upper = events.agg(F.max("event_id")).first()[0] or 0
+    return P.anchored_page(events, "event_id", 40, 100, upper, F.col("event_type") == "error").select("event_id", "user_id")
 
 
 @query(
@@ -349,8 +351,10 @@ SELECT request, arg_min(card, (CASE WHEN pref THEN 0 ELSE 1 END) * 100000000 + l
 def top5(spark: SparkSession, d: str) -> DataFrame:
     requests = table(spark, d, "customer").select(F.col("c_custkey").alias("request"), F.col("c_nationkey").cast("long").alias("node"), (F.col("c_custkey") % 26).alias("gib"))
     fits = ~F.col("quarantined") & (F.col("gib") <= F.col("capacity"))
-    c = J.candidates(requests, frame(spark, d, "cards"), fits, "node").withColumn("load", F.expr("((gib + 4) * 1000) div capacity")).withColumn("pref", F.col("card") % 4 == F.col("request") % 4)
-    return P.best_card(c, "request", "allowed", "pref", "load", "card", "card")
+    requests = requests.withColumn("likes", F.col("request") % 4)
+    kind = ["node", "gib", "likes"]
+    c = J.candidates(requests, frame(spark, d, "cards"), fits, "node", kind[1:]).withColumn("load", F.expr("((gib + 4) * 1000) div capacity")).withColumn("pref", F.col("card") % 4 == F.col("likes"))
+    return requests.join(P.best_card(c, kind, "allowed", "pref", "load", "card", "card"), kind).select("request", "best", "n_allowed")
 
 
 @query("set1_union_latest", f"""{duck("log")} SELECT owner, max(seq) AS seq FROM log WHERE kind = 'view' GROUP BY owner UNION SELECT owner, max(seq) FROM log WHERE kind IN ('view', 'click') GROUP BY owner""")

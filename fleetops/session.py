@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests); also made the session's checkpoint folder."""
+    """spark.checkpoint.dir; where it is unset, a local folder in local mode (tests), while a cluster is refused, as its
+    executors would not see each other's files. Also made the session's checkpoint folder."""
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found

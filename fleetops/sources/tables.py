@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetops.sources.schemas import BATCH_SPEC, INVENTORY, SAMPLE, SCHEMAS
 
@@ -35,21 +36,30 @@ def read_batch_specs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def stream_inbox(spark: SparkSession, path: str, schema: str = "request_id string, binding string, batch string") -> DataFrame:
-    """New submit-*.json files, each once (Spark's file source remembers those it has seen)."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", "submit-*.json").json(path)
+def stream_inbox(spark: SparkSession, path: str, schema: str = "request_id string, binding string, batch string", names: str = "submit-*.json") -> DataFrame:
+    """The requests in new files of these names, each file once (Spark's file source remembers those it has seen)."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", names).json(path)
 
 
 LOG_PATH = r"logs/([^/]+)/([^/]+)-v(\d+)\.log$"
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, names: str = "*.log", keys: str = LOG_PATH) -> DataFrame:
     """Lines of logs/<batch>/<task>-v<n>.log: batch, task, version, line_no (from 1) and text; a last line end opens no
-    line. Files elsewhere have null keys."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
-    part = lambda i: F.nullif(F.regexp_extract(F.col("_metadata.file_path"), LOG_PATH, i), F.lit(""))
-    keys = whole.select(part(1).alias("batch"), part(2).alias("task"), part(3).cast("long").alias("version"), F.regexp_replace("value", "\n$", "").alias("value"))
-    return keys.select("batch", "task", "version", F.posexplode(F.split("value", "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+    line, and an empty file has none. Files elsewhere have null keys. names and keys: other names of the files, and the
+    pattern of their path with groups for batch, task and version.
+
+    A file is read in as many parts as Spark splits it into: lines are numbered in their part, and each part goes on
+    from those before it in the file."""
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, pathGlobFilter=names)
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.col("value").alias("text"))
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
+    sizes = lines.groupBy("_file", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_file", "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    lines = lines.withColumn("_nth", F.row_number().over(Window.partitionBy("_file", "_part").orderBy("_at"))).join(sizes, ["_file", "_part"])
+    part = lambda i: F.nullif(F.regexp_extract("_file", keys, i), F.lit(""))
+    return lines.select(part(1).alias("batch"), part(2).alias("task"), part(3).cast("long").alias("version"), (F.col("_base") + F.col("_nth")).alias("line_no"), "text")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -92,11 +102,24 @@ def read_notifications(spark: SparkSession, path: str, acked: bool = False) -> D
     return (rows if acked else rows.filter(~F.col("acked"))).orderBy(F.desc("modified"), "file")
 
 
-def write_notifications(df: DataFrame, path: str, key: str = "event_id") -> None:
-    """Append events whose key isn't there yet, one JSON object a line: writing the same batch again adds nothing."""
-    known = spark_optional(df.sparkSession, path, f"{key} string")
-    fresh = df.dropDuplicates([key]).join(known.select(key), key, "left_anti")
-    fresh.write.mode("append").json(path)
+#: Up to so many partitions of events are named to the reader; a batch that touches more looks at all of them.
+MOST_PARTS = 1000
+
+
+def write_notifications(df: DataFrame, path: str, key: str = "event_id", by: str | None = None) -> None:
+    """Append events whose key isn't there yet, one JSON object a line: writing the same batch again adds nothing.
+
+    by: a column, the same for the same event (its day), that parts the folder: only the parts that a batch touches are
+    read again. One writer at a time: the look and the append aren't one step."""
+    if by is None:
+        known = spark_optional(df.sparkSession, path, f"{key} string")
+        df.dropDuplicates([key]).join(known.select(key), key, "left_anti").write.mode("append").json(path)
+        return
+    parts = [r[0] for r in df.select(by).distinct().limit(MOST_PARTS + 1).collect()]
+    known = spark_optional(df.sparkSession, path, f"{key} string, {by} {df.schema[by].dataType.simpleString()}")
+    if len(parts) <= MOST_PARTS:
+        known = known.filter(F.col(by).isin([p for p in parts if p is not None]) | F.col(by).isNull())
+    df.dropDuplicates([key]).join(known.select(key), key, "left_anti").write.mode("append").partitionBy(by).json(path)
 
 
 def spark_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -48,10 +48,16 @@ def replay(df: DataFrame, rule: Rule, key: str, at: str, seq: str) -> DataFrame:
     return dealt.mapInPandas(run, f"_key {kind}, {rule.out}").withColumnRenamed("_key", key)
 
 
-def watch(stream: DataFrame, rule: Rule, key: str, at: str, seq: str) -> DataFrame:
+def watch(stream: DataFrame, rule: Rule, key: str, at: str, seq: str, expire: int | None = None, delay: int = 0) -> DataFrame:
     """The same over a stream. A micro-batch's rows of a key are put in order; one older than a row that an earlier
-    micro-batch has dealt with comes too late, changes nothing and is told as such (late = true, other columns null)."""
+    micro-batch has dealt with comes too late, changes nothing and is told as such (late = true, other columns null).
+
+    expire: seconds of event time after which the state of a key without new rows goes, so that it doesn't grow with all
+    keys ever seen; a key that comes back begins anew. Time is the newest `at` less `delay` seconds, and rows older than
+    that are left out by Spark. Without it state stays for good."""
     narrow = _narrow(stream, key, at, seq, rule)
+    if expire is not None:
+        narrow = narrow.withColumn("_time", F.timestamp_seconds("_at")).withWatermark("_time", f"{delay} seconds")
     kind = narrow.schema["_key"].dataType.simpleString()
     names = ["_at", "_seq", *[f"_f{i}" for i in range(len(rule.fields))]]
     columns = [c.split()[0] for c in rule.out.split(", ")]
@@ -59,6 +65,9 @@ def watch(stream: DataFrame, rule: Rule, key: str, at: str, seq: str) -> DataFra
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, newest = None, (-(1 << 62), 0)
+        if held.hasTimedOut:
+            held.remove()
+            return
         if held.exists:
             *state, a, s = held.get
             state, newest = tuple(_plain(v) for v in state), (a, s)
@@ -72,9 +81,11 @@ def watch(stream: DataFrame, rule: Rule, key: str, at: str, seq: str) -> DataFra
             told += [(keys[0], *o, False) for o in out]
         if state is not None:
             held.update((*state, *newest))
+            if expire is not None:
+                held.setTimeoutTimestamp(max((newest[0] + expire) * 1000, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(told, columns=["_key", *columns, "late"])
 
-    grouped = narrow.groupBy("_key").applyInPandasWithState(run, f"_key {kind}, {rule.out}, late boolean", f"{rule.state}, newest_at long, newest_seq long", "append", GroupStateTimeout.NoTimeout)
+    grouped = narrow.groupBy("_key").applyInPandasWithState(run, f"_key {kind}, {rule.out}, late boolean", f"{rule.state}, newest_at long, newest_seq long", "append", GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout)
     return grouped.withColumnRenamed("_key", key)
 
 

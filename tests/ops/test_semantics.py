@@ -80,13 +80,21 @@ def test_producer_never_matches_null_projects_or_itself(spark):
 
 
 def test_classes_and_excerpts(spark):
-    assert one(spark, V.log_classify(F.lit("Xid 79\nCUDA out of memory"))) == "oom"
-    assert one(spark, V.log_classify(F.lit(None).cast("string"))) == "error"
+    classes = {"Xid 79\nCUDA out of memory": "oom", "torch.OutOfMemoryError: x": "oom", "out of memory": "error", "NVRM: Xid (PCI): 79": "gpu_fault", "an ECC error": "gpu_fault", "xid 1, maXid": "error", "Xidé": "error"}
+    classes |= {"PermissionError: x": "perm", "mount: Operation not permitted": "perm", "errno EACCES": "perm", "Permission denied": "error", "": "error", None: "error", "EACCES, ECC": "gpu_fault"}
+    rows = spark.createDataFrame(list(classes.items()), "log string, want string").select(V.log_classify(F.col("log")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows)
+    assert one(spark, V.log_classify(F.lit("EACCES" + "é" * 10), 20)) == "error" and one(spark, V.log_classify(F.lit("EACCES" + "é" * 10), 26)) == "perm"
     text = F.lit("\n".join(f"line {i}" for i in range(1, 31)))
     assert one(spark, X.log_excerpt(text, "line 10$")).split("\n") == [f"line {i}" for i in range(7, 14)]
     assert one(spark, X.log_excerpt(text, "line 2$")).split("\n") == [f"line {i}" for i in range(1, 6)]
     assert one(spark, X.log_excerpt(text, "none")) is None
-    assert one(spark, X.progress(F.lit("Epoch 5/30\nstep 7"))) == "7/?"
+    marks = {"Epoch 5/30\nstep 7": "7/?", "epoch 1/5 step 30/100": "1/5", "epoch: 5, loss: 0.12": "5/?", "trial 3/20\nno mark": "3/20", "iteration 4": None, "iter = 4 of 9\r\n": "4/9", "epoch5": None, "STEP#12 / 40\n\n": "12/40", "": None, None: None, "epoch 1/2\n" + "x\n" * 200: None}
+    rows = spark.createDataFrame(list(marks.items()), "log string, want string").select(X.progress(F.col("log")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in rows), [tuple(r) for r in rows]
+    env = F.create_map(*[F.lit(x) for x in ("PATH", "a", "ENV", "a", "DYLD_X", "a", "OK", "a\0b", "1x", "a", "_y", "a", "MINE", "a")])
+    assert one(spark, F.map_keys(V.refused_env(env))) == ["ENV", "DYLD_X", "OK", "1x"]
+    assert one(spark, F.map_keys(V.refused_env(env, [*V.BANNED_ENV, "MINE"]))) == ["ENV", "DYLD_X", "OK", "1x", "MINE"]
     assert one(spark, P.tail_lines(F.lit("a\nb\nc\n"), 2)) == ["b", "c"]
 
 

@@ -64,6 +64,41 @@ def test_late_rows_are_told_and_change_nothing(spark, tmp_path):
     assert [(a, late) for a, _, late in rows] == [(50, True), (100, False)]
 
 
+def test_state_expires(spark, tmp_path):
+    """A key that is silent for 100 s is forgotten once the watermark has passed; one that goes on isn't."""
+    rule, schema = folds.inbox(), "key string, at long, seq long, binding string"
+    inbox, base = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    parts = [[("a", 1000, 1, "x"), ("b", 1000, 2, "x")], [("b", 1090, 3, "x")], [("c", 1150, 4, "x")], [("c", 1160, 5, "x")], [("a", 1170, 6, "y"), ("b", 1170, 7, "y")]]
+    for n, part in enumerate(parts):
+        (inbox / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("key", "at", "seq", "binding"), r))) for r in part))
+        stream = stateful.watch(spark.readStream.schema(schema).json(str(inbox)), rule, "key", "at", "seq", expire=100, delay=10)
+        stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.key, r.at): r.outcome for r in spark.read.parquet(f"{base}/rows").collect()}
+    assert got == {("a", 1000): "accepted", ("b", 1000): "accepted", ("b", 1090): "replay", ("c", 1150): "accepted", ("c", 1160): "replay", ("a", 1170): "accepted", ("b", 1170): "conflict"}
+
+
+def test_notifications_by_day(spark, tmp_path):
+    at = str(tmp_path / "notes")
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", None)], "event_id string, day int")
+    for some in (rows.filter("day = 1"), rows, rows):
+        S.write_notifications(some, at, by="day")
+    assert sorted(r.event_id for r in S.spark_optional(spark, at, "event_id string").collect()) == ["a", "b", "c", "d"]
+
+
+def test_lines_of_a_split_log(spark, tmp_path):
+    (tmp_path / "logs" / "b").mkdir(parents=True)
+    (tmp_path / "logs" / "b" / "t-v2.log").write_text("".join(f"line {i}\n" for i in range(1, 20001)))
+    (tmp_path / "logs" / "b" / "u-v1.log").write_text("")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        rows = S.read_logs(spark, str(tmp_path / "logs"))
+        got = sorted((r.line_no, r.text) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, f"line {i}") for i in range(1, 20001)]
+
+
 def test_card_state_table():
     def walk(samples):
         card, out = CardState(), []
