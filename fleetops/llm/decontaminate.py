@@ -189,7 +189,7 @@ def retrieve(index: Index, texts: list[list[str]], least: float = 1.0, count: li
 
 
 def matches(index: Index, texts: list[str | None]) -> list[list[dict]]:
-    """For each text its verified items, each with the best passage."""
+    """For each text its verified items, each with the best passage, the first of equal ones."""
     out: list[list[dict]] = []
     batch: list[list[str]] = []
     chars = 0
@@ -203,7 +203,8 @@ def matches(index: Index, texts: list[str | None]) -> list[list[dict]]:
             q, a = (len(x & seen) / len(x) if x else 1.0 for x in (index.question[i], index.answer[i]))
             if whole >= SIMILARITY - 1e-9 and q >= PART_OVERLAP and a >= PART_OVERLAP:
                 new = {"item_id": index.ids[i], "at_word": at, "score": score, "containment": whole, "question_overlap": q, "answer_overlap": a}
-                if (t, i) not in found or (whole, score) > (found[t, i]["containment"], found[t, i]["score"]):
+                rank = lambda m: (m["containment"], round(m["score"], 9))  # noqa: E731  the order of summing decides no tie
+                if (t, i) not in found or rank(new) > rank(found[t, i]):
                     found[t, i] = new
         mine: list[list[dict]] = [[] for _ in batch]
         for (t, _), m in sorted(found.items()):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetops.llm import langid, quality_crf, token_counts
 from fleetops.llm.common import table
 from fleetops.llm.decontaminate import contamination
-from fleetops.llm.licenses import license_scan
+from fleetops.llm.licenses import TEMPLATES, license_scan
 from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
@@ -105,6 +105,25 @@ def op7_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Windows of twice a template's size class by number, from the places of its shingles; all that hold 0.8 of them.
+OP7_SQL = f"""
+WITH t(template, text) AS (VALUES {", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(TEMPLATES.items()))}),
+tw AS (SELECT template, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM t),
+ts AS (SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT template, w, unnest(range(1, len(w) - 3)) AS i FROM tw)),
+tn AS (SELECT template, count(*) AS n, pow(2, ceil(log2(1.25 * count(*))))::bigint AS c FROM ts GROUP BY template),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+ds AS (SELECT rid, doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+h AS (SELECT rid, doc_id, template, n, c, s, unnest([i // c, i // c - 1]) AS k FROM ds JOIN ts USING (s) JOIN tn USING (template)),
+x AS (SELECT rid, any_value(doc_id) AS doc_id, template, k, any_value(c) AS c, count(DISTINCT s) / any_value(n)::double AS containment FROM h WHERE k >= 0 GROUP BY rid, template, k HAVING count(DISTINCT s) / any_value(n)::double >= 0.8)
+SELECT any_value(doc_id) AS doc_id, template, max(containment) AS containment, min(CASE WHEN containment = most THEN k * c END)::int AS first_word, (2 * any_value(c) + 4)::int AS n_words, count(*) AS n_windows
+FROM (SELECT *, max(containment) OVER (PARTITION BY rid, template) AS most FROM x) GROUP BY rid, template
+"""
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of every document and the verdict of the weighed rules."""
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
@@ -117,7 +136,38 @@ def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item held by every document, with score and overlaps."""
     out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     found = out.select("doc_id", F.explode("matches").alias("m"))
-    return found.select("doc_id", "m.item_id", "m.at_word", "m.score", "m.containment", "m.question_overlap", "m.answer_overlap")
+    return found.select("doc_id", "m.item_id", "m.at_word", F.round("m.score", 6).alias("score"), "m.containment", "m.question_overlap", "m.answer_overlap")
+
+
+#: All passages (two segments each) that hold 0.8 of an item's shingles, scored, and of each document's the best.
+OP9_SQL = r"""
+WITH i0 AS (SELECT row_number() OVER () AS iid, item_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+i AS (SELECT * FROM i0 WHERE len(w) > 0),
+st AS (SELECT count(*)::double AS n, avg(len(w)) AS mean, greatest(5, max(len(w)) + max(len(w)) // 4) AS span FROM i),
+ip AS (SELECT iid, w, least(5, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM i),
+ish AS (SELECT DISTINCT iid, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM ip),
+isz AS (SELECT iid, count(*) AS n_s FROM ish GROUP BY iid),
+it AS (SELECT iid, t, count(*)::double AS f FROM (SELECT iid, unnest(w) AS t FROM i) GROUP BY ALL),
+df AS (SELECT t, count(*)::double AS df FROM it GROUP BY t),
+im AS (SELECT it.iid, it.t, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) AS impact FROM it JOIN df USING (t) JOIN i USING (iid), st),
+ia AS (SELECT iid, CASE WHEN contains(text, chr(10)) THEN regexp_extract(text, '^([\s\S]*)\n', 1) ELSE text END AS q, CASE WHEN contains(text, chr(10)) THEN regexp_extract(text, '([^\n]*)$', 1) ELSE '' END AS a FROM i),
+iq AS (SELECT DISTINCT iid, unnest(regexp_extract_all(lower(q), '[\p{L}\p{N}_]+')) AS t FROM ia),
+ian AS (SELECT DISTINCT iid, unnest(regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')) AS t FROM ia),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+ks AS (SELECT DISTINCT k FROM ish),
+dp AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k),
+hit AS (SELECT rid, iid, s, p - 1 AS pos, k FROM (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dp) JOIN ish USING (k, s)),
+pas AS (SELECT rid, iid, s, unnest([pos // span, pos // span - 1]) AS seg, pos, k, span FROM hit, st),
+con AS (SELECT rid, iid, seg, any_value(span) AS span, count(DISTINCT s) AS shared FROM pas WHERE seg >= 0 AND pos + k <= (seg + 2) * span GROUP BY rid, iid, seg),
+c AS (SELECT con.*, shared / n_s::double AS containment FROM con JOIN isz USING (iid) WHERE shared / n_s::double >= 0.8 - 1e-9),
+pt AS (SELECT DISTINCT c.rid, c.seg, unnest(w[c.seg * span + 1:(c.seg + 2) * span]) AS t FROM (SELECT DISTINCT rid, seg, span FROM c) c JOIN d USING (rid)),
+sc AS (SELECT c.rid, c.iid, c.seg, sum(impact) AS score FROM c JOIN pt USING (rid, seg) JOIN im ON im.iid = c.iid AND im.t = pt.t GROUP BY ALL),
+qo AS (SELECT c.rid, c.iid, c.seg, count(pt.t) / count(*)::double AS o FROM c JOIN iq USING (iid) LEFT JOIN pt ON pt.rid = c.rid AND pt.seg = c.seg AND pt.t = iq.t GROUP BY ALL),
+ao AS (SELECT c.rid, c.iid, c.seg, count(pt.t) / count(*)::double AS o FROM c JOIN ian USING (iid) LEFT JOIN pt ON pt.rid = c.rid AND pt.seg = c.seg AND pt.t = ian.t GROUP BY ALL),
+m AS (SELECT rid, iid, seg, span, containment, score, coalesce(qo.o, 1) AS q, coalesce(ao.o, 1) AS a FROM c JOIN sc USING (rid, iid, seg) LEFT JOIN qo USING (rid, iid, seg) LEFT JOIN ao USING (rid, iid, seg))
+SELECT doc_id, item_id, (seg * span)::bigint AS at_word, round(score, 6) AS score, containment, q AS question_overlap, a AS answer_overlap
+FROM m JOIN d USING (rid) JOIN i USING (iid) WHERE q >= 0.5 AND a >= 0.5 QUALIFY row_number() OVER (PARTITION BY rid, iid ORDER BY containment DESC, round(score, 9) DESC, seg) = 1
+"""
 
 
 def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +196,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL, "op7_license_minhash": OP7_SQL, "op9_bm25_decontamination": OP9_SQL}

@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+from fleetops.llm import mixing
 from fleetops.llm.mixing import mix, thresholds
 from fleetops.llm.sharding import shard, write_shards
 from pyspark.sql import functions as F
@@ -45,6 +46,14 @@ def test_mix_large_rates_and_edges(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_sources_are_joined_with_salts(spark, monkeypatch):
+    df = spark.createDataFrame([*rows(900), (None, None, None, 1, 1)], SCHEMA)
+    tell = lambda: sorted(((r.doc_id or -1, r.copies, r.copy_no, r.mix_key) for r in mix(df, total=2500).collect()))
+    want = tell()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert tell() == want and len(want) > 2000
+
+
 def test_shard_deals_rows_evenly(spark):
     df = spark.createDataFrame([*rows(1001), (None, None, None, 0, 0), (5, "text 5", "hot", 99, 99), (7, "long " * 9000, "x", 0, 0)], SCHEMA)
     out = shard(df, 24, bucket_mb=1)

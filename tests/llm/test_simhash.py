@@ -75,6 +75,12 @@ def test_near_dedup_edges(spark):
     assert {r.fingerprint for r in out if not r.text} == {"0" * 16}
 
 
+def test_a_very_long_text(spark):
+    text = " ".join(f"word{i % 9973}" for i in range(400_000))
+    out = near_dedup(spark.createDataFrame([(2, text, ""), (1, text.upper(), ""), (3, "another text", "")], SCHEMA)).collect()
+    assert {r.doc_id: (r.component_id, r.fingerprint == format(plain(text), "016x")) for r in out} == {1: (1, True), 2: (1, True), 3: (3, False)}
+
+
 def test_empty(spark):
     assert near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
