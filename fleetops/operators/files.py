@@ -13,26 +13,26 @@ from fleetops.functions.scalars import canonical_json, digest, json_equal
 MOST_BYTES = 1 << 20
 
 
-def check_files(rules: DataFrame, files: DataFrame) -> DataFrame:
+def check_files(rules: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds `code` and `passed` to rules: missing_file, too_small, content_too_large, invalid_json, missing_json_key,
     json_value_mismatch, regex_no_match or passed; the first failure in this order.
 
     rules: any keys, path, min_bytes, check (json), has_key (dotted path), json_equals (map of dotted path to JSON text),
     regex (Java). files: path, length, content (text or binary). Content is looked at only if a rule asks for it and the
-    file isn't over MOST_BYTES.
+    file isn't over most_bytes.
     """
     out = rules.join(files.select("path", F.col("length").alias("_length"), F.col("content").cast("string").alias("_content")), "path", "left")
     parse = (F.col("check") == "json") | F.col("has_key").isNotNull() | (F.size("json_equals") > 0)
     parse = F.coalesce(parse, F.lit(False))
     reads = parse | F.col("regex").isNotNull()
-    text = F.when(F.col("_length") <= MOST_BYTES, F.col("_content"))
+    text = F.when(F.col("_length") <= most_bytes, F.col("_content"))
     doc = F.try_parse_json(text)
     at = lambda path: F.concat(F.lit("$['"), F.array_join(F.split(path, "\\."), "']['"), F.lit("']"))
     whole = F.aggregate(F.map_entries(F.coalesce("json_equals", F.create_map().cast("map<string,string>"))), F.lit(True), lambda ok, e: ok & F.coalesce(_equal_at(text, at(e["key"]), e["value"]), F.lit(False)))
     code = (
         F.when(F.col("_length").isNull(), "missing_file")
         .when(F.col("_length") < F.coalesce("min_bytes", F.lit(0)), "too_small")
-        .when(reads & (F.col("_length") > MOST_BYTES), "content_too_large")
+        .when(reads & (F.col("_length") > most_bytes), "content_too_large")
         .when(parse & doc.isNull(), "invalid_json")
         .when(F.col("has_key").isNotNull() & ~_found(doc, at(F.col("has_key"))), "missing_json_key")
         .when((F.size("json_equals") > 0) & ~whole, "json_value_mismatch")
