@@ -56,11 +56,16 @@ def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
     return len(gone)
 
 
+#: Groups of a sample, as many as may be broadcast: a count for each.
+FEW = 10_000
+
+
 def sample(df: DataFrame, group: str, order: str, per_group: int) -> DataFrame:
     """Up to per_group rows of each group, the least by the random long `order`, with their number `nth`; rows equal in
     both count once. What can't be among them is left out by a threshold before anything is sorted: few rows of a
-    group meet in one task, however many it has."""
-    seen = df.groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(order, 0.02).alias("_seen"))
+    group meet in one task, however many it has. The counts of the groups are broadcast if they are FEW at most."""
+    seen = saved(df.groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(order, 0.02).alias("_seen")))
+    seen = F.broadcast(seen) if seen.count() <= FEW else seen
     enough = 1.2 * per_group + 8 * per_group**0.5 + 32
     share = F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))
     few = df.join(seen, F.col(group) == F.col("_group")).filter(share * F.col("_seen") < enough).select(*df.columns)
