@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetops.llm.common import pack, unpack
+from fleetops.llm.common import pack, saved, unpack
 
 #: A Poisson mean above this is drawn as a sum of draws with equal means below it: exp(-mean) stays far from underflow.
 STEP = 32
@@ -73,10 +73,10 @@ def mix(
     """
     per = rates(df, weights, alpha, total, source_col)
     per = per.withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_rate") / STEP)).cast("int"))
-    per = per.select("_source", "_draws", thresholds(F.col("_rate") / F.col("_draws")).alias("_cdf"))
+    per = saved(per.select("_source", "_draws", thresholds(F.col("_rate") / F.col("_draws")).alias("_cdf")))
     bare = lambda c: F.coalesce(F.col("_row")[c].cast("string"), F.lit(""))
     rows = pack(df).withColumn("_source", F.col("_row")[source_col]).withColumn("_id", F.concat_ws("\x1f", F.lit(str(seed)), bare(key_col), F.md5(bare(text_col))))
-    if per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if per.count() <= BROADCAST_SOURCES:
         on, right = F.col("_source").eqNullSafe(F.col("_to")), F.broadcast(per.withColumnRenamed("_source", "_to"))
     else:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
