@@ -10,7 +10,7 @@ from fleetops.llm.common import below, cut, release, table
 from fleetops.llm.decontaminate import shingles, words
 from fleetops.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_quality_rules import brute
-from tests.llm.test_simhash import plain, roots
+from tests.llm.test_near_copies import components
 from tests.oracle import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -33,13 +33,8 @@ def test_stage_by_stage(spark):
     labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
     assert not ids["quality rules"] & failed
     assert all(d in ids["quality rules"] for d, q in labels.items() if q == 1 and d not in failed)
-    # near duplicates: the smallest document of each component stays
-    fp = {d: plain(text[d]) for d in ids["quality rules"]}
-    root = roots(sorted(set(fp.values())), lambda a, b: (a ^ b).bit_count() <= 2)
-    keep = {}
-    for d in sorted(fp):
-        keep.setdefault(root[fp[d]], d)
-    assert ids["near duplicates"] == set(keep.values())
+    # near duplicates: the smallest document of each component stays, by comparing all pairs of sets of five-word shingles
+    assert ids["near duplicates"] == set(components({d: text[d] for d in ids["quality rules"]}).values())
     # decontamination
     items = [shingles(words(r.text)) for r in table(spark, SF, "benchmark").collect()]
     dirty = {d for d in ids["near duplicates"] if any(len(s & shingles(words(text[d]))) >= 0.8 * len(s) - 1e-9 for s in items)}
