@@ -183,6 +183,22 @@ def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: All windows of 200 bytes as hex digits, cut out of two neighbouring pieces of 200 bytes, known by two hashes.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT rid, q, y[q] || coalesce(y[q + 1], '') AS two FROM (SELECT rid, y, unnest(range(1, len(y) + 1)) AS q FROM (SELECT rid, regexp_extract_all(x, '.{1,400}') AS y FROM d))),
+w AS (SELECT rid, 200 * (q - 1) + o AS i, substr(two, 2 * o - 1, 400) AS s FROM (SELECT *, unnest(range(1, 201)) AS o FROM c) WHERE strlen(two) >= 2 * o + 398),
+h AS (SELECT rid, i, hash(s) AS h, hash(left(s, 200)) AS k FROM w),
+r AS (SELECT rid, i FROM h SEMI JOIN (SELECT h, k FROM h GROUP BY h, k HAVING count(*) > 1) t ON h.h = t.h AND h.k = t.k),
+g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT rid, min(i) AS a, max(i) + 199 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM g) GROUP BY rid, run),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a + 1) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM s GROUP BY rid),
+p AS (SELECT d.rid, doc_id, x, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(list_concat([0], ends), [0]) AS lo, coalesce(list_concat(starts, [strlen(x) // 2 + 1]), [strlen(x) // 2 + 1]) AS hi FROM d LEFT JOIN k ON k.rid = d.rid)
+SELECT doc_id, (strlen(x) // 2)::bigint AS n_bytes, n_removed::bigint AS n_removed, n_spans::bigint AS n_spans,
+  sha256(from_hex(array_to_string(list_transform(range(1, len(lo) + 1), lambda j: substr(x, 2 * lo[j] + 1, 2 * (hi[j] - lo[j] - 1))), ''))) AS kept_sha256 FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_simhash": op2_simhash,
@@ -196,4 +212,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL, "op7_license_minhash": OP7_SQL, "op9_bm25_decontamination": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL, "op7_license_minhash": OP7_SQL, "op9_bm25_decontamination": OP9_SQL, "op10_prefix_free_parsing": OP10_SQL}
