@@ -115,7 +115,7 @@ def runs(at: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
 
 
 PARSED = pa.schema(
-    [("t", pa.int64()), ("u", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("g", pa.int64()), ("e", pa.int64()), ("f", pa.int64()), ("c", pa.int32()), ("hot", pa.bool_())]
+    [("t", pa.int64()), ("u", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("d", pa.int32()), ("g", pa.int64()), ("e", pa.int64()), ("f", pa.int64()), ("c", pa.int32()), ("hot", pa.bool_()), ("x", pa.int64())]
 )
 
 
@@ -123,7 +123,7 @@ def parser(length: int, hot: Broadcast | None = None):
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per phrase: text, first window, number of windows, distance of the trigger, trigger, name. Of equal
         phrases in a lot one counts for two (c), the others are settled (c = 0); these and the phrases of hot triggers
-        go on under a trigger of their own, so that neither a text in many copies nor a common passage meets in one
+        (x) go on under a trigger of their own, so that neither a text in many copies nor a common passage meets in one
         task."""
         known = hot.value if hot is not None else np.zeros(0, np.int64)
         for batch in batches:
@@ -140,7 +140,7 @@ def parser(length: int, hot: Broadcast | None = None):
                 is_hot = np.isin(p["trigger"], known) & (c > 0)
                 g = np.where((c > 0) & ~is_hot, p["trigger"], own.view(np.int64))
                 k = which[p["text"]]
-                columns = (t[k], u[k], p["lo"] + low[p["text"]], p["n"].astype(np.int32), p["d"].astype(np.int32), g, p["name"][:, 0], p["name"][:, 1], c, is_hot)
+                columns = (t[k], u[k], p["lo"] + low[p["text"]], p["n"].astype(np.int32), p["d"].astype(np.int32), g, p["name"][:, 0], p["name"][:, 1], c, is_hot, np.where(is_hot, p["trigger"], 0))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=PARSED)
 
     return parse
@@ -277,23 +277,55 @@ def sorter(length: int, lot: int = 6 << 20):
     return resolve
 
 
-HASHED = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("lo", pa.int64()), ("open", pa.bool_())])
+HASHED = pa.schema([("h", pa.int64()), ("i", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("open", pa.bool_()), ("known", pa.bool_())])
 
 
-def hasher(length: int):
+def alike(one: bytes, d: int, other: bytes, e: int) -> tuple[int, int]:
+    """The run of bytes of one that equals other, laid so that the places d and e meet, around d: begin and end."""
+    shift = min(d, e)
+    a, b = np.frombuffer(one, np.uint8)[d - shift :], np.frombuffer(other, np.uint8)[e - shift :]
+    size = min(len(a), len(b))
+    differ = np.flatnonzero(a[:size] != b[:size])
+    before, after = differ[differ < shift], differ[differ >= shift]
+    return d - shift + (int(before[-1]) + 1 if len(before) else 0), d - shift + (int(after[0]) if len(after) else size)
+
+
+def hasher(length: int, centres: Broadcast):
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per window, with 128 bits of hash, for phrases of triggers that no one task can put in order."""
+        """For phrases of triggers that no one task can put in order: which windows equal the trigger's commonest phrase,
+        as runs (known), and a row with 128 bits of hash for each other window. Whoever shares a window with that phrase
+        finds it here, so these windows needn't be hashed."""
+        common = centres.value
         for batch in batches:
             rows = batch.to_pylist()
-            if rows:
-                counts = np.array([r["n"] for r in rows], np.int64)
-                data = np.frombuffer(b"".join(r["context"] for r in rows), np.uint8)
+            pieces = []  # row, first window and number of windows to hash
+            runs = []
+            for k, r in enumerate(rows):
+                n, found = r["n"], None
+                if r["g"] in common:
+                    e, context = common[r["g"]]
+                    lo, hi = alike(r["context"], r["d"], context, e)
+                    lo, hi = max(lo, 0), min(n, hi - length + 1)
+                    found = (lo, hi) if lo < hi and hi + length - 1 >= r["d"] + GRAM else None
+                if found:
+                    if r["open"]:
+                        runs.append((None, None, r["t"], r["u"], r["lo"] + found[0], found[1] - found[0], True, True))
+                    pieces += [(k, a, b) for a, b in ((0, found[0]), (found[1], n)) if a < b]
+                else:
+                    pieces.append((k, 0, n))
+            if runs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*runs, strict=True), HASHED, strict=True)], schema=HASHED)
+            if pieces:
+                counts = np.array([b - a for _, a, b in pieces], np.int64)
+                data = np.frombuffer(b"".join(rows[k]["context"][a : b + length - 1] for k, a, b in pieces), np.uint8)
                 sizes = counts + length - 1
                 inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = np.repeat(np.cumsum(sizes) - sizes, counts) + inner
                 h, i = (rolling(data, length, base)[at].view(np.int64) for base in BASES)
-                t, u, lo = (np.repeat(np.array([r[c] for r in rows], np.int64), counts) for c in ("t", "u", "lo"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, i, t, u, lo + inner, np.repeat([r["open"] for r in rows], counts))], schema=HASHED)
+                t, u, lo = (np.repeat(np.array([rows[k][c] for k, _, _ in pieces], np.int64), counts) for c in ("t", "u", "lo"))
+                lo += inner + np.repeat(np.array([a for _, a, _ in pieces], np.int64), counts)
+                is_open = np.repeat([rows[k]["open"] for k, _, _ in pieces], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, i, t, u, lo, np.ones(len(h), np.int32), is_open, np.zeros(len(h), bool))], schema=HASHED)
 
     return spell
 
@@ -353,8 +385,9 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", crowd
     a row per phrase (about 70 bytes of text), the texts for two joins, and the phrases in doubt.
 
     Texts are known by 128 bits of hash: equal texts share their rows. The phrases of a trigger with much of the corpus
-    (a passage in many texts) are counted by name before they are shuffled, and their windows in doubt go by 128 bits
-    of hash through a shuffle of their own; so do those of a trigger with more than `crowd` phrases.
+    (a passage in many texts) are counted by name before they are shuffled; those in doubt are laid beside the
+    commonest, and their other windows go by 128 bits of hash through a shuffle of their own. So do the windows of a
+    trigger with more than `crowd` phrases.
 
     Null texts are empty; texts under `length` bytes keep all. Outputs replace input columns of the same names. An
     empty input gives an empty result.
@@ -370,16 +403,16 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", crowd
     settled = (F.col("c") == 0) | (F.col("total") > 1)
     wanted = (F.col("c") > 0) & F.col("mixed") & (F.col("nth") == 1)
     flagged = parsed.withColumn("settled", settled).withColumn("wanted", wanted).filter("settled or wanted or hot")
-    keep = ["t", "u", "lo", "n", "d", "settled", "wanted", "hot", *[F.when(F.col("hot"), F.col(c)).alias(c) for c in ("e", "f", "c")]]
+    keep = ["t", "u", "lo", "n", "d", "settled", "wanted", "hot", *[F.when(F.col("hot"), F.col(c)).alias(c) for c in ("e", "f", "c", "x")]]
     flagged = cut(flagged.select(*keep, F.when(F.col("wanted"), F.col("g")).alias("g"), (F.col("members") > crowd).alias("crowd")), "phrases")
 
     ask = flagged.filter("wanted").select("t", "u", F.struct("g", "lo", "n", "d", (~F.col("settled")).alias("open"), "crowd").alias("w"))
     starts = flagged.filter("settled").select("t", "u", "lo", "n")
     if len(hot.value):
         mine = flagged.filter("hot")
-        names = mine.groupBy("e", "f").agg(F.sum("c").alias("total"), F.min(F.struct("t", "u", "lo", "n", "d")).alias("one"))
+        names = mine.groupBy("e", "f", "x").agg(F.sum("c").alias("total"), F.min(F.struct("t", "u", "lo", "n", "d")).alias("one"))
         names = cut(names, "names")
-        again = F.struct(F.lit(0).cast("long").alias("g"), "one.lo", "one.n", "one.d", (F.col("total") == 1).alias("open"), F.lit(True).alias("crowd"))
+        again = F.struct(F.col("x").alias("g"), "one.lo", "one.n", "one.d", (F.col("total") == 1).alias("open"), F.lit(True).alias("crowd"))
         ask = ask.unionByName(names.select("one.t", "one.u", again.alias("w")))
         starts = starts.unionByName(mine.join(names.filter("total > 1").select("e", "f"), ["e", "f"]).select("t", "u", "lo", "n"))
     ask = ask.groupBy("t", "u").agg(F.collect_set("w").alias("wanted"))
@@ -388,9 +421,16 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", crowd
     crowded = len(hot.value) > 0 or flagged.filter("wanted and crowd").limit(1).count() > 0
     if crowded:
         found = cut(found, "contexts")
-        spelled = cut(found.filter("crowd").mapInArrow(hasher(length), ddl(HASHED)), "windows")
-        twice = spelled.groupBy("h", "i").agg(F.count("*").alias("times")).filter("times > 1").select("h", "i")
-        starts = starts.unionByName(spelled.filter("open").join(twice, ["h", "i"]).select("t", "u", "lo", F.lit(1).alias("n")))
+        centres = {}
+        if len(hot.value):  # a phrase for each hot trigger at most
+            most = names.filter("total > 1").groupBy("x").agg(F.max_by("one", F.struct("total", "e", "f")).alias("one"))
+            most = most.select(F.col("x").alias("g"), "one.t", "one.u", "one.lo")
+            centres = {r.g: (r.d, bytes(r.context)) for r in found.join(most, ["g", "t", "u", "lo"]).select("g", "d", "context").collect()}
+        shared = df.sparkSession.sparkContext.broadcast(centres)
+        spelled = cut(found.filter("crowd").mapInArrow(hasher(length, shared), ddl(HASHED)), "windows")
+        twice = spelled.filter("not known").groupBy("h", "i").agg(F.count("*").alias("times")).filter("times > 1").select("h", "i")
+        starts = starts.unionByName(spelled.filter("known").select("t", "u", "lo", "n"))
+        starts = starts.unionByName(spelled.filter("open and not known").join(twice, ["h", "i"]).select("t", "u", "lo", "n"))
     ordered = found.filter("not crowd").repartition("g").sortWithinPartitions("g").mapInArrow(sorter(length), ddl(REPEATS))
     starts = starts.unionByName(ordered).groupBy("t", "u").agg(F.collect_set(F.struct("lo", "n")).alias("starts"))
     out = rows.join(cut(starts, "starts"), ["t", "u"], "left").withColumn("_out", remover(length)(raw, "starts"))

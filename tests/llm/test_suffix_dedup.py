@@ -71,7 +71,18 @@ def test_hot_triggers_change_nothing(spark, monkeypatch, least):
     monkeypatch.setattr(S, "SAMPLE", 1)
     monkeypatch.setattr(S, "HOT_LEAST", least)
     passage = " ".join(f"passage{i}" for i in range(60))
-    check(spark, [*corpus(5, 20), *(f"before {i} {passage} after {i} and some more words {i * 7}" for i in range(30))], 200)
+    texts = [f"before {i} {passage} after {i} and some more words {i * 7}" for i in range(30)]
+    for i in range(30):  # near copies, some with the same change
+        at = (i * 37 % 400) // 3 * 3
+        texts.append(f"x{i % 7} " + passage[:at] + "#" * (i % 3) + passage[at + i % 3 :] + " the end")
+    check(spark, [*corpus(5, 20), *texts, *texts[::5]], 200)
+
+
+def test_runs_alike():
+    assert S.alike(b"xxabcdyy", 3, b"abcdz", 1) == (2, 6)
+    assert S.alike(b"abcd", 1, b"abcd", 1) == (0, 4)
+    assert S.alike(b"abcd", 2, b"cd", 0) == (2, 4)
+    assert S.alike(b"abxd", 2, b"abcd", 2) == (0, 2)
 
 
 def test_order_of_suffixes():
