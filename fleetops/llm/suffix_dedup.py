@@ -23,7 +23,7 @@ RUN = 1 << 20
 #: Bits of a place in a lot. The same number always, so that the same hashes are compared wherever a window lies.
 PLACE = 21
 #: A trigger with more phrases than this is resolved by rows in a shuffle, not in one task's memory. The result is the same.
-CROWD = 25_000
+CROWD = 5_000
 #: Triggers with a share of the phrases of more than 1/LISTED (so there are no more of them) are found in one text of
 #: SAMPLE, where they must occur HOT_LEAST times, and dealt by phrase from the start. The result is the same.
 SAMPLE, LISTED, HOT_LEAST = 64, 5000, 8
@@ -243,7 +243,7 @@ def repeated(parts: list[bytes], counts: np.ndarray, reach: np.ndarray, length:
 REPEATS = pa.schema([("t", pa.int64()), ("u", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 
 
-def sorter(length: int, lot: int = 6 << 20):
+def sorter(length: int, lot: int = 1 << 20):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which windows of open phrases occur again. Rows come in order of their trigger, and equal windows have equal
         triggers: so the corpus is put in order (`repeated`) lot by lot, cut between triggers."""
@@ -296,8 +296,7 @@ def hasher(length: int, centres: Broadcast):
         as runs (known), and a row with 128 bits of hash for each other window. Whoever shares a window with that phrase
         finds it here, so these windows needn't be hashed."""
         common = centres.value
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in (b.slice(at, 1000).to_pylist() for b in batches for at in range(0, b.num_rows, 1000)):
             pieces = []  # row, first window and number of windows to hash
             runs = []
             for k, r in enumerate(rows):
