@@ -426,7 +426,7 @@ def suffix_dedup(df: DataFrame, length: int = 200, text_col: str = "text", crowd
             most = most.select(F.col("x").alias("g"), "one.t", "one.u", "one.lo")
             centres = {r.g: (r.d, bytes(r.context)) for r in found.join(most, ["g", "t", "u", "lo"]).select("g", "d", "context").collect()}
         shared = df.sparkSession.sparkContext.broadcast(centres)
-        spelled = cut(found.filter("crowd").mapInArrow(hasher(length, shared), ddl(HASHED)), "windows")
+        spelled = cut(found.filter("crowd").repartition("t", "u", "lo").mapInArrow(hasher(length, shared), ddl(HASHED)), "windows")
         twice = spelled.filter("not known").groupBy("h", "i").agg(F.count("*").alias("times")).filter("times > 1").select("h", "i")
         starts = starts.unionByName(spelled.filter("known").select("t", "u", "lo", "n"))
         starts = starts.unionByName(spelled.filter("open and not known").join(twice, ["h", "i"]).select("t", "u", "lo", "n"))
