@@ -71,13 +71,17 @@ def op4_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: CRC-32 by its table of 256 entries; then the order of the rows' hashes, bucket by bucket.
+#: CRC-32 by its table of 256 entries; a row's place in its bucket by row number and the bucket's swaps.
 OP4_SQL = """
 WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
 p AS (SELECT doc_id, text, coalesce(strlen(text), 0) AS len, md5('42|' || coalesce(md5(doc_id::varchar), 'n') || coalesce(md5(text), 'n') || coalesce(md5(lang), 'n') || coalesce(md5(source), 'n') || coalesce(md5(n_chars::varchar), 'n')) AS row_h FROM documents),
-s AS (SELECT *, len + 64 AS size, row_number() OVER (PARTITION BY row_h) - 1 AS k, sum(len + 64) OVER (PARTITION BY row_h) AS together, count(*) OVER () AS n, greatest(1, ceil(sum(len + 64) OVER () / 16777216.0)::bigint) AS buckets FROM p),
-h AS (SELECT *, CASE WHEN together > 16777216 AND together > size THEN md5(row_h || '|' || (k // greatest(1, 16777216 // size))::varchar) ELSE row_h END AS h FROM s),
-o AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(h, 1, 15))::bigint % buckets, h) - 1 AS pos FROM h),
+s AS (SELECT *, md5(row_h || '|' || (row_number() OVER (PARTITION BY row_h) - 1)::varchar) AS h, count(*) OVER () AS n, greatest(1, ceil(sum(len + 64) OVER () / 16777216.0)::bigint, ceil(count(*) OVER () / 2000.0)::bigint) AS buckets FROM p),
+b AS (SELECT *, ('0x' || substr(h, 1, 15))::bigint % buckets AS bucket FROM s),
+i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h) AS i FROM b),
+c AS (SELECT bucket, count(*) AS m, coalesce(sum(count(*)) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM b GROUP BY bucket),
+y AS (SELECT bucket, before, list_reduce(list_prepend(range(m), list_transform(range(m - 1, 0, -1), lambda i: [i, ('0x' || substr(md5('42|' || bucket::varchar || '|' || i::varchar), 1, 15))::bigint % (i + 1)])),
+  lambda a, x: CASE WHEN x[1] = x[2] THEN a ELSE a[:x[2]] || [a[x[1] + 1]] || a[x[2] + 2:x[1]] || [a[x[2] + 1]] || a[x[1] + 2:] END) AS places FROM c),
+o AS (SELECT doc_id, text, len, n, before + places[i] AS pos FROM i JOIN y USING (bucket)),
 q AS (SELECT *, (pos * 24 // n)::int AS shard FROM o),
 bytes AS (SELECT text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::bigint) AS b FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
 crc AS (SELECT text, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, tab)
