@@ -15,6 +15,7 @@ from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
 from fleetops.llm.sharding import shard
 from fleetops.llm.simhash import near_dedup
+from fleetops.llm.spelling import spelling_variants, vocabulary
 from fleetops.llm.suffix_dedup import suffix_dedup
 
 
@@ -203,6 +204,29 @@ SELECT doc_id, (strlen(x) // 2)::bigint AS n_bytes, n_removed::bigint AS n_remov
 """
 
 
+def op12_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots; one run of 97 counts with a planted mistake."""
+    return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), least=5, times=3, every=97))
+
+
+#: CRC-32 by its table; near words by what is left without one code point, at the same place or as another word.
+OP12_SQL = """
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT coalesce(doc_id::varchar, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+r AS (SELECT id, w, count(*) AS c FROM d WHERE length(w) >= 5 GROUP BY id, w),
+b AS (SELECT w, c, list_transform(regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda x: ('0x' || x)::bigint) AS b FROM r),
+h AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, tab),
+m AS (SELECT c, CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w FROM h),
+v AS MATERIALIZED (SELECT w, sum(c)::bigint AS n FROM m WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+g AS MATERIALIZED (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS k FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM v)),
+p AS (SELECT a.w, b.w AS o FROM g AS a JOIN g AS b ON a.k = b.k AND a.i = b.i AND a.w <> b.w UNION SELECT g.w, v.w FROM g JOIN v ON v.w = g.k UNION SELECT v.w, g.w FROM g JOIN v ON v.w = g.k),
+f AS MATERIALIZED (SELECT w, n, n_near, CASE WHEN best.n >= 2 * n THEN best.w END AS form, CASE WHEN best.n >= 2 * n THEN best.n END AS form_n
+  FROM v LEFT JOIN (SELECT p.w AS of, count(*) AS n_near, arg_min({'w': v.w, 'n': v.n}, (-v.n, v.w)) AS best FROM p JOIN v ON v.w = p.o GROUP BY p.w) ON of = w),
+up AS (SELECT w, w AS root, form AS next FROM f UNION ALL SELECT up.w, f.w, f.form FROM up JOIN f ON f.w = up.next)
+SELECT f.w AS word, form, root, n, coalesce(n_near, 0)::bigint AS n_near, form_n FROM f JOIN up ON up.w = f.w WHERE up.next IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_simhash": op2_simhash,
@@ -214,6 +238,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
+    "op12_reduced_alphabet": op12_reduced_alphabet,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op4_two_pass_shuffle": OP4_SQL, "op7_license_minhash": OP7_SQL, "op9_bm25_decontamination": OP9_SQL, "op10_prefix_free_parsing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": OP3_SQL,
+    "op4_two_pass_shuffle": OP4_SQL,
+    "op7_license_minhash": OP7_SQL,
+    "op9_bm25_decontamination": OP9_SQL,
+    "op10_prefix_free_parsing": OP10_SQL,
+    "op12_reduced_alphabet": OP12_SQL,
+}
