@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetops.llm import langid, quality_crf, token_counts
 from fleetops.llm.common import table
 from fleetops.llm.decontaminate import contamination
+from fleetops.llm.divergence import divergence
 from fleetops.llm.licenses import TEMPLATES, license_scan
 from fleetops.llm.mixing import mix
 from fleetops.llm.quality_rules import quality_rules
@@ -204,6 +205,27 @@ SELECT doc_id, (strlen(x) // 2)::bigint AS n_bytes, n_removed::bigint AS n_remov
 """
 
 
+def op11_pointer_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart the sources of each language are, and the ten terms that mark each of them."""
+    return divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::hugeint AS n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(t.n)::hugeint AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(term)::hugeint AS v, coalesce(sum(n), 0)::hugeint AS total FROM (SELECT DISTINCT lang FROM g) LEFT JOIN k USING (lang) GROUP BY lang),
+s AS (SELECT g.lang, g.source, v.v, v.total AS lang_total, coalesce(sum(c.n), 0)::hugeint AS total FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (s.total + 2 * v) AS p, 1 + 1000000000 * (k.n + 2) // (lang_total + 2 * v) AS q FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+a AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(a.value, 0)::bigint AS value FROM g JOIN g AS o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::bigint AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::int AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def op12_reduced_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents with their near words, forms and roots; one run of 97 counts with a planted mistake."""
     return spelling_variants(vocabulary(table(spark, sf_dir, "documents"), least=5, times=3, every=97))
@@ -238,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision": op8_weak_supervision,
     "op9_bm25_decontamination": op9_bm25_decontamination,
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
+    "op11_pointer_sort": op11_pointer_sort,
     "op12_reduced_alphabet": op12_reduced_alphabet,
 }
 
@@ -247,5 +270,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_minhash": OP7_SQL,
     "op9_bm25_decontamination": OP9_SQL,
     "op10_prefix_free_parsing": OP10_SQL,
+    "op11_pointer_sort": OP11_SQL,
     "op12_reduced_alphabet": OP12_SQL,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetops.llm.common import below, pack, unpack
+from fleetops.llm.common import below, pack, saved, unpack
 
 
 def identity(fields: list[Column], seed: int) -> Column:
@@ -61,10 +61,11 @@ def shard(df: DataFrame, n_shards: int = 24, seed: int = 42, bucket_mb: int = 16
     rows = rows.select("_row", "_h", F.lit(0).cast("long").alias("_k")) if total[2] < 2 else ordinals(rows, total[2])
     digits = F.md5(F.concat("_h", F.lit("|"), F.col("_k").cast("string")))
     rows = rows.select("_row", digits.alias("_h"), F.pmod(number(digits), F.lit(buckets)).alias("_bucket"))
-    first = below(rows.groupBy("_bucket").agg(F.count("*").alias("n")), "_bucket", ["n"])
+    first = below(saved(rows.groupBy("_bucket").agg(F.count("*").alias("n"))), "_bucket", ["n"])
     draw = lambda i: F.pmod(number(F.md5(F.concat(F.lit(f"{seed}|"), F.col("_bucket").cast("string"), F.lit("|"), i.cast("string")))), i + 1).cast("int")
-    first = first.select("_bucket", "n_below", fisher_yates(F.col("n").cast("int"), draw).alias("_places"))
-    dealt = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_bucket").orderBy("_h")) - 1).join(first, "_bucket")
+    first = first.repartition("_bucket").select("_bucket", "n_below", fisher_yates(F.col("n").cast("int"), draw).alias("_places"))
+    dealt = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_bucket").orderBy("_h")) - 1)
+    dealt = dealt.join(first.hint("merge"), "_bucket")  # each task shuffles the numbers of the buckets that it holds
     dealt = dealt.select("_row", (F.col("n_below") + F.get("_places", F.col("_i"))).cast("long").alias("_at"))
     dealt = dealt.withColumn("shard", F.expr(f"cast(_at * {n_shards} div {max(n, 1)} as int)"))
     slot = F.expr(f"_at - (shard * {n}L + {n_shards - 1}) div {n_shards}")
