@@ -62,8 +62,8 @@ def vocabulary(docs: DataFrame, least: int = 5, times: int = 3, every: int | Non
 
 
 def reduced(points: np.ndarray, symbols: int) -> np.ndarray:
-    """Code points to symbols from 1."""
-    return ((points.astype(np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(11)) % np.uint64(symbols) + np.uint64(1)
+    """Code points to symbols from 1: the remainder, so that letters that stand together in the alphabet differ."""
+    return points.astype(np.uint64) % np.uint64(symbols) + np.uint64(1)
 
 
 def neighbourhood(digits: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,8 +86,8 @@ def neighbourhood(digits: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndar
     return head[-1], without.T, other
 
 
-def keys(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """_id, word to _id, _key, _own: the keys of each reduced word (_own) and of its neighbourhood, each once.
+def keys(words: DataFrame, symbols: int = SYMBOLS, around: bool = True) -> DataFrame:
+    """_id, word to _id, _key, _own: the keys of each reduced word (_own) and, if around, of its neighbourhood, each once.
 
     A reduced word one edit away is longer by a symbol, shorter, or differs in one place. Of two neighbours each lies in
     the neighbourhood of the other, so it is enough to spell out the half of it that is shorter or holds the larger
@@ -104,7 +104,7 @@ def keys(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
                     ids = np.array([i for i, _ in own[a : a + lot]], np.int64)
                     points = np.frombuffer("".join(w for _, w in own[a : a + lot]).encode("utf-32-le"), np.uint32)
                     itself, without, other = neighbourhood(reduced(points, symbols).reshape(len(ids), length), symbols)
-                    near = np.sort(np.concatenate([without, other.reshape(len(ids), -1)], axis=1), axis=1)
+                    near = np.sort(np.concatenate([without, other.reshape(len(ids), -1)], axis=1)[:, : None if around else 0], axis=1)
                     first = np.ones(near.shape, bool)
                     first[:, 1:] = near[:, 1:] != near[:, :-1]
                     first &= near != 0
@@ -124,9 +124,8 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     fetched and compared, so neither the symbols nor chance in the keys decides anything. Words of any length go along,
     as keys are computed from prefix and suffix sums and not spelled out. A key's words are joined, never gathered."""
     named = saved(words.select(F.monotonically_increasing_id().alias("_id"), "word", "n"))
-    spelled = saved(keys(named, symbols))
-    own = spelled.filter("_own").select("_key", F.col("_id").alias("_other"))
-    met = spelled.join(own, "_key").filter("_id <> _other and (not _own or _id < _other)").select("_id", "_other")
+    own = keys(named, symbols, around=False).select("_key", F.col("_id").alias("_other"))
+    met = keys(named, symbols).join(own, "_key").filter("_id <> _other and (not _own or _id < _other)").select("_id", "_other")
     met = met.join(named, "_id").select("_other", "word", "n")
     met = met.join(named.select(F.col("_id").alias("_other"), F.col("word").alias("other"), F.col("n").alias("other_n")), "_other")
     met = met.filter(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
