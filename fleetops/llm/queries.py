@@ -18,6 +18,7 @@ from fleetops.llm.sharding import shard
 from fleetops.llm.simhash import near_dedup
 from fleetops.llm.spelling import spelling_variants, vocabulary
 from fleetops.llm.suffix_dedup import suffix_dedup
+from fleetops.llm.tree_weighting import score
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +250,15 @@ SELECT f.w AS word, form, root, n, coalesce(n_near, 0)::bigint AS n_near, form_n
 """
 
 
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by context-tree weighting, and by add-one counts of tokens; learned from
+    documents outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    found = score(docs, ~held_out, ["doc_id"])
+    return found.select("doc_id", (~F.col("_trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_simhash": op2_simhash,
@@ -262,6 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_free_parsing": op10_prefix_free_parsing,
     "op11_pointer_sort": op11_pointer_sort,
     "op12_reduced_alphabet": op12_reduced_alphabet,
+    "op13_context_tree": op13_context_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
