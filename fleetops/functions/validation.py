@@ -64,29 +64,34 @@ def validate_rules(rules: DataFrame, group: str, most: int = 64) -> DataFrame:
 
 
 #: Variables that a job may not set; the loader's (LD_, DYLD_) are refused by their prefix.
-BANNED_ENV = ("BASH_ENV", "ENV", "SCHED_RECOVERY_CONTEXT")
+BANNED_ENV = ("BASH_ENV", "ENV")
 
 
 def refused_env(env: Column, banned: Sequence[str] = BANNED_ENV) -> Column:
     """The entries of a map that are refused: a name that isn't one, a banned name or one of the loader's own, a value
-    that is null or holds a NUL. A caller may ban more names."""
+    that is null or holds a NUL. A scheduler that hands its own context to jobs in a variable bans that name as well."""
     bad = lambda k, v: ~k.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z") | k.isin(*banned) | k.rlike("^(LD_|DYLD_)") | v.isNull() | v.contains("\0")
     return F.map_filter(env, bad)
 
 
 def resolve_templates(df: DataFrame, text: str, variables: DataFrame, id_col: str) -> DataFrame:
-    """Adds `resolved` and `unresolved` (names, sorted): each {NAME} of the text is replaced by its value.
+    """Adds `resolved` and `unresolved` (names, sorted): each {NAME} of the text is replaced by its value, once: braces
+    that a value brings along stay as they are. A name without a value stays, too; a null text stays null.
 
     variables: name, value. Names are looked up by a join on those that occur, so the table may be of any size."""
-    names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\{([A-Za-z0-9_:.-]+)\}"), F.lit(1)))
+    marks = r"\{([A-Za-z0-9_:.-]+)\}"
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(marks), F.lit(1)))
     used = df.select(F.col(id_col).alias("_id"), F.explode(names).alias("name")).distinct()
     looked = used.join(variables.select("name", "value"), "name", "left").groupBy("_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value")))).alias("_known"),
+        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value"))).alias("_known"),
         F.sort_array(F.collect_list(F.when(F.col("value").isNull(), F.col("name")))).alias("unresolved"),
     )
     out = df.join(looked, F.col(id_col) == F.col("_id"), "left")
-    filled = F.aggregate(F.coalesce("_known", F.array().cast("array<struct<name:string,value:string>>")), F.col(text), lambda t, v: F.replace(t, F.concat(F.lit("{"), v["name"], F.lit("}")), v["value"]))
-    return out.withColumn("resolved", filled).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>"))).drop("_id", "_known")
+    known = F.map_from_entries(F.coalesce("_known", F.array().cast("array<struct<name:string,value:string>>")))
+    between = F.split(F.col(text), marks, -1)
+    asked = F.regexp_extract_all(F.col(text), F.lit(marks), F.lit(1))
+    filled = F.zip_with(between, asked, lambda b, name: F.concat(b, F.when(name.isNull(), "").otherwise(F.coalesce(known[name], F.concat(F.lit("{"), name, F.lit("}"))))))
+    return out.withColumn("resolved", F.array_join(filled, "")).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>"))).drop("_id", "_known")
 
 
 def wait_reason(status: Column, gpu: Column, quota: Column, running: Column, enabled: Column, batch: Column, draining: Column, cpu_over: Column, memory_over: Column, published: Column) -> Column:

@@ -56,20 +56,21 @@ def prj3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prj4_refused_env",
-    f"""{duck("jobs")} SELECT id, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'LD_PRELOAD' END, CASE WHEN id % 4 = 0 THEN 'BASH_ENV' END, CASE WHEN id % 5 = 0 THEN 'bad-name' END) AS refused FROM jobs""",
+    f"""{duck("jobs")} SELECT id, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'LD_PRELOAD' END, CASE WHEN id % 4 = 0 THEN 'BASH_ENV' END, CASE WHEN id % 5 = 0 THEN 'bad-name' END, CASE WHEN id % 7 = 0 THEN 'FLEET_CONTEXT' END) AS refused FROM jobs""",
 )
 def prj4(spark: SparkSession, d: str) -> DataFrame:
-    env = F.expr("map('PATH', '1', if(id % 3 = 0, 'LD_PRELOAD', 'A1'), 'x', if(id % 4 = 0, 'BASH_ENV', 'A2'), 'x', if(id % 5 = 0, 'bad-name', '_A3'), 'x')")
-    return frame(spark, d, "jobs").select("id", joined(F.map_keys(V.refused_env(env))).alias("refused"))
+    env = F.expr("map('PATH', '1', if(id % 3 = 0, 'LD_PRELOAD', 'A1'), 'x', if(id % 4 = 0, 'BASH_ENV', 'A2'), 'x', if(id % 5 = 0, 'bad-name', '_A3'), 'x', if(id % 7 = 0, 'FLEET_CONTEXT', '_A4'), 'x')")
+    refused = V.refused_env(env, [*V.BANNED_ENV, "FLEET_CONTEXT"])
+    return frame(spark, d, "jobs").select("id", joined(F.map_keys(refused)).alias("refused"))
 
 
 @query(
     "prj5_resolve_templates",
-    f"""{duck("jobs")} SELECT id, concat('run ', CASE WHEN gpu < 5 THEN concat('/srv/', gpu) ELSE concat('{{G', gpu, '}}') END, '/', '/data', '/', '/data') AS resolved, CASE WHEN gpu < 5 THEN '' ELSE concat('G', gpu) END AS unresolved FROM jobs""",
+    f"""{duck("jobs")} SELECT id, concat('run ', CASE WHEN gpu < 5 THEN concat('/srv/{{ROOT}}', gpu) ELSE concat('{{G', gpu, '}}') END, '/', '/data', '/', '/data') AS resolved, CASE WHEN gpu < 5 THEN '' ELSE concat('G', gpu) END AS unresolved FROM jobs""",
 )
 def prj5(spark: SparkSession, d: str) -> DataFrame:
     jobs = frame(spark, d, "jobs")
-    names = jobs.filter("gpu < 5").select(F.concat(F.lit("G"), F.col("gpu").cast("string")).alias("name"), F.concat(F.lit("/srv/"), F.col("gpu").cast("string")).alias("value")).distinct()
+    names = jobs.filter("gpu < 5").select(F.concat(F.lit("G"), F.col("gpu").cast("string")).alias("name"), F.concat(F.lit("/srv/{ROOT}"), F.col("gpu").cast("string")).alias("value")).distinct()
     names = names.unionByName(spark.createDataFrame([("ROOT", "/data")], "name string, value string"))
     jobs = jobs.select("id", F.concat(F.lit("run {G"), F.col("gpu").cast("string"), F.lit("}/{ROOT}/{ROOT}")).alias("command"))
     return V.resolve_templates(jobs, "command", names, "id").select("id", "resolved", joined("unresolved").alias("unresolved"))

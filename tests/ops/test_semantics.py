@@ -213,3 +213,11 @@ def test_specs_of_a_hot_project_go_to_many_files(spark, tmp_path):
     write_specs(spark.range(5000).selectExpr("'hot' as project", "cast(id as string) as name"), str(tmp_path / "specs"), 100)
     sizes = [r.n for r in spark.read.text(str(tmp_path / "specs"), wholetext=True).selectExpr("json_array_length(value) as n").collect()]
     assert len(sizes) == 50 and sum(sizes) == 5000 and max(sizes) < 200
+
+
+def test_values_of_templates_are_not_resolved_again(spark):
+    names = spark.createDataFrame([("A", "[{B}]"), ("B", "[{A}]"), ("E", ""), ("N", None)], "name string, value string")
+    texts = [(1, "{B} {A}", "[{A}] [{B}]", []), (2, "{B}{B}x{{A}}{none}", "[{A}][{A}]x{[{B}]}{none}", ["none"]), (3, None, None, []), (4, "", "", []), (5, "{E}{N}{}", "{N}{}", ["N"]), (6, "a{E}", "a", []), (7, "$1 \\ {A}", "$1 \\ [{B}]", [])]
+    df = spark.createDataFrame(texts, "id int, text string, want string, names array<string>")
+    for r in V.resolve_templates(df, "text", names, "id").collect():
+        assert (r.resolved, r.unresolved) == (r.want, r.names)
