@@ -189,28 +189,31 @@ def str2(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "freeze", folds.freeze(85), "owner", used=F.col("cents"), capacity=F.lit(30000))
 
 
+#: Silence counts up to the newest row, which is where a stream's time stands when it has read all.
 @query(
     "str3_stream_timeouts",
-    f"""{BASE}, g AS (SELECT *, sum((kind = 'view')::int) OVER (PARTITION BY owner ORDER BY moment, id) AS s FROM log), h AS (SELECT *, first_value(moment) OVER (PARTITION BY owner, s ORDER BY moment, id) AS start, sum((kind = 'purchase')::int) OVER (PARTITION BY owner, s ORDER BY moment, id) - (kind = 'purchase')::int AS ended FROM g WHERE s > 0),
-i AS (SELECT *, row_number() OVER (PARTITION BY owner, s ORDER BY moment, id) AS n FROM h WHERE kind <> 'view' AND ended = 0 AND moment - start > 40000) SELECT owner, start + 40000 AS moment, moment - start AS ran FROM i WHERE n = 1""",
+    f"""{BASE}, n AS (SELECT max(moment) AS now FROM log), g AS (SELECT owner, kind, moment, lead(moment) OVER (PARTITION BY owner ORDER BY moment, id) AS next FROM log WHERE kind IN ('view', 'purchase'))
+SELECT owner, moment + 40000 AS moment, 40000::bigint AS ran FROM g, n WHERE kind = 'view' AND moment + 40000 < coalesce(next, now)""",
 )
 def str3(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "view", "start").when(F.col("kind") == "purchase", "end").otherwise("alive")
     return run(spark, d, "timeouts", folds.timeouts(), "owner", kind=kind, limit=F.lit(40000))
 
 
-@query("str4_stream_heartbeat_gap", f"""{BASE}, g AS (SELECT *, lag(moment) OVER (PARTITION BY owner ORDER BY moment, id) AS beat FROM log) SELECT owner, beat + 20000 AS moment, moment - beat AS gap FROM g WHERE moment - beat > 20000""")
+@query(
+    "str4_stream_heartbeat_gap",
+    f"""{BASE}, n AS (SELECT max(moment) AS now FROM log), g AS (SELECT owner, moment AS beat, lead(moment) OVER (PARTITION BY owner ORDER BY moment, id) AS next FROM log) SELECT owner, beat + 20000 AS moment, 20000::bigint AS gap FROM g, n WHERE beat + 20000 < coalesce(next, now)""",
+)
 def str4(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d, "beats", folds.heartbeat_gap(20000, 0), "owner")
+    return run(spark, d, "beats", folds.heartbeat_gap(20000, None), "owner")
 
 
 @query(
     "str5_stream_no_progress",
-    f"""{duck("log").replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT owner, seq, moment, CASE WHEN k < 70 THEN 'same' ELSE k::varchar END AS d FROM log),
-w(owner, seq, d, since, told, n, moment, out) AS (SELECT DISTINCT owner, 0::bigint, NULL::varchar, 0::bigint, 0::bigint, 0, 0::bigint, false FROM s UNION ALL
-  SELECT owner, seq, d, CASE WHEN fresh THEN moment ELSE since END, CASE WHEN fresh OR due THEN moment ELSE told END, CASE WHEN fresh THEN 0 WHEN due THEN n + 1 ELSE n END, moment, due
-  FROM (SELECT s.owner, s.seq, s.d, w.since, w.told, w.n, s.moment, s.d IS DISTINCT FROM w.d AS fresh, s.d IS NOT DISTINCT FROM w.d AND s.moment - w.told >= 10000 AND w.n < 3 AS due FROM w JOIN s ON s.owner = w.owner AND s.seq = w.seq + 1))
-SELECT owner, moment, moment - since AS stalled, n AS notice FROM w WHERE out""",
+    f"""{BASE}, t AS (SELECT max(moment) AS now FROM log), s AS (SELECT owner, id, moment, CASE WHEN k < 70 THEN 'same' ELSE k::varchar END AS d FROM log),
+f AS (SELECT owner, id, moment FROM (SELECT *, lag(d) OVER (PARTITION BY owner ORDER BY moment, id) AS was FROM s) WHERE d IS DISTINCT FROM was),
+i AS (SELECT owner, moment AS since, lead(moment) OVER (PARTITION BY owner ORDER BY moment, id) AS next FROM f)
+SELECT owner, since + n * 10000 AS moment, n * 10000 AS stalled, n::int AS notice FROM i, t, generate_series(1, 3) AS x(n) WHERE since + n * 10000 < coalesce(next, now)""",
 )
 def str5(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "progress", folds.no_progress(10000, 3), "owner", digest=F.when(F.col("k") < 70, "same").otherwise(F.col("k").cast("string")))

@@ -2,6 +2,10 @@
 
 A state is a tuple as in its schema; None before the first row of a key. A row is a tuple of the fields that the rule
 names. Batch replay and streams run the same steps.
+
+A rule about silence has a time at which it falls `due` if no row comes until then, and what happens then (`fire`). It is
+fired before a later row is taken, and without one when the time has passed: in a replay up to its `now`, in a stream when
+the watermark has gone by. A row at the very time is still in time.
 """
 
 from __future__ import annotations
@@ -17,6 +21,17 @@ class Rule(NamedTuple):
     state: str
     out: str
     step: Callable[[tuple | None, int, tuple], tuple[tuple, list[tuple]]]
+    due: Callable[[tuple], int | None] | None = None
+    fire: Callable[[tuple, int], tuple[tuple, list[tuple]]] | None = None
+
+
+def passed(rule: Rule, state: tuple | None, until: int) -> tuple[tuple | None, list[tuple]]:
+    """Fire what has fallen due before `until`, one after another."""
+    told: list[tuple] = []
+    while rule.due and state is not None and (at := rule.due(state)) is not None and at < until:
+        state, out = rule.fire(state, at)
+        told += out
+    return state, told
 
 
 def card_state() -> Rule:
@@ -42,45 +57,58 @@ def freeze(percent: int = 85) -> Rule:
 
 
 def timeouts() -> Rule:
-    """A row when a job's end, or its next sign of life, comes later than its limit after its start; once for a start."""
+    """A row when a job that has started hasn't ended when its limit has passed; once for a start, which may be repeated. A
+    limit that is null or not above zero is none."""
 
     def step(state: tuple | None, at: int, row: tuple) -> tuple[tuple, list[tuple]]:
         kind, limit = row
         if kind == "start":
-            return (at, int(limit), False), []
-        start, most, told = state or (-1, 0, True)
-        over = start >= 0 and not told and at - start > most
-        return ((-1, 0, True) if kind == "end" else (start, most, told or over)), ([(start + most, at - start)] if over else [])
+            return (at, int(limit) if limit and limit > 0 else 0, False), []
+        return (-1, 0, True) if kind == "end" or state is None else state, []
+
+    def due(state: tuple) -> int | None:
+        start, most, told = state
+        return None if told or most <= 0 else start + most
+
+    def fire(state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        return (*state[:2], True), [(at, at - state[0])]
 
-    return Rule(("kind", "limit"), "start long, most long, told boolean", "at long, ran long", step)
+    return Rule(("kind", "limit"), "start long, most long, told boolean", "at long, ran long", step, due, fire)
 
 
-def heartbeat_gap(most: int = 90, every: int = 600) -> Rule:
-    """A row when two beats lie further apart than `most`, told when the gap ran out; one in `every` seconds at most."""
+def heartbeat_gap(most: int = 90, every: int | None = 600) -> Rule:
+    """A row when no beat has come for `most` seconds, and again each `every` seconds as long as none comes; two rows lie so
+    far apart over several gaps, too. every None: one row for each gap."""
 
     def step(state: tuple | None, at: int, row: tuple) -> tuple[tuple, list[tuple]]:
-        beat, told = state or (at, -(1 << 60))
-        due = beat + most
-        if at - beat > most and due - told >= every:
-            return (at, due), [(due, at - beat)]
-        return (at, told), []
+        return (at, state[1] if state else -(1 << 60), False), []
 
-    return Rule((), "beat long, told long", "at long, gap long", step)
+    def due(state: tuple) -> int | None:
+        beat, told, again = state
+        return beat + most if every is None and not again else None if every is None else max(beat + most, told + every)
+
+    def fire(state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        return (state[0], at, True), [(at, at - state[0])]
+
+    return Rule((), "beat long, told long, again boolean", "at long, gap long", step, due, fire)
 
 
 def no_progress(after: int = 600, most: int = 3) -> Rule:
-    """A row when a checkpoint's digest hasn't changed for `after` seconds, again each so many, `most` times in a row."""
+    """A row when a checkpoint's digest hasn't changed for `after` seconds, again each so many, `most` times in a row; rows
+    that bring the same digest are no progress, nor is a null one after another."""
 
     def step(state: tuple | None, at: int, row: tuple) -> tuple[tuple, list[tuple]]:
         digest = row[0] or ""
-        if state is None or state[0] != digest:
-            return (digest, at, at, 0), []
-        _, since, told, n = state
-        if at - told >= after and n < most:
-            return (digest, since, at, n + 1), [(at, at - since, n + 1)]
-        return state, []
+        return (digest, at, at, 0) if state is None or state[0] != digest else state, []
+
+    def due(state: tuple) -> int | None:
+        return state[2] + after if state[3] < most else None
+
+    def fire(state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        digest, since, _, n = state
+        return (digest, since, at, n + 1), [(at, at - since, n + 1)]
 
-    return Rule(("digest",), "digest string, since long, told long, n int", "at long, stalled long, notice int", step)
+    return Rule(("digest",), "digest string, since long, told long, n int", "at long, stalled long, notice int", step, due, fire)
 
 
 def inbox() -> Rule:

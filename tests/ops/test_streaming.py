@@ -21,6 +21,36 @@ RULES = {
 }
 
 
+def late_ends(rows, now):
+    for k, r in enumerate(rows):
+        if r["kind"] == "start":
+            end = next((x["at"] for x in rows[k + 1 :] if x["kind"] != "alive"), now)
+            if end > r["at"] + 40:
+                yield r["at"] + 40, 40
+
+
+def gaps(rows, now):
+    told = -1000
+    for r, x in zip(rows, [*rows[1:], {"at": now}]):
+        for second in range(r["at"] + 20, x["at"]):
+            if second - told >= 60:
+                told = second
+                yield second, second - r["at"]
+
+
+def stalls(rows, now):
+    was = None
+    for k, r in enumerate(rows):
+        if (r["digest"] or "") == was:
+            continue
+        was = r["digest"] or ""
+        end = next((x["at"] for x in rows[k:] if (x["digest"] or "") != was), now)
+        yield from ((r["at"] + 30 * n, 30 * n, n) for n in (1, 2) if r["at"] + 30 * n < end)
+
+
+BY_DEFINITION = {"timeouts": late_ends, "beats": gaps, "progress": stalls}
+
+
 @pytest.mark.parametrize("name", RULES)
 def test_stream_equals_replay_equals_loop(spark, tmp_path, name):
     rule, make, fields = RULES[name]
@@ -30,22 +60,30 @@ def test_stream_equals_replay_equals_loop(spark, tmp_path, name):
         at += rng.randrange(0, 25)
         rows.append({"key": rng.choice("abc"), "at": at, "seq": i, **make(rng)})
     want = []
-    for key in "abc":
+    rows += [{"key": k, "at": a, "seq": 300 + a, **make(rng)} for k, a in (("dead", 5), ("d", at), ("a", at + 30))]
+    rows = sorted(rows, key=lambda r: r["at"])
+    now = rows[-1]["at"]
+    for key in ("a", "b", "c", "d", "dead"):
+        own = [r for r in rows if r["key"] == key]
+        if rule.due:
+            want += [(key, *o) for o in BY_DEFINITION[name](own, now)]
+            continue
         state = None
-        for r in rows:
-            if r["key"] == key:
-                state, out = rule.step(state, r["at"], tuple(r[f] for f in rule.fields))
-                want += [(key, *o) for o in out]
+        for r in own:
+            state, out = rule.step(state, r["at"], tuple(r[f] for f in rule.fields))
+            want += [(key, *o) for o in out]
     schema = "key string, at long, seq long" + (", " + fields if fields else "")
     tell = lambda df: sorted(tuple(r) for r in df.collect())
     shuffled = rng.sample(rows, len(rows))
-    assert tell(stateful.replay(spark.createDataFrame(shuffled, schema), rule, "key", "at", "seq")) == sorted(want)
+    assert tell(stateful.replay(spark.createDataFrame(shuffled, schema), rule, "key", "at", "seq", now=now)) == sorted(want)
+    if rule.due:  # without a time to look back from, silence after the last row tells nothing
+        assert len(tell(stateful.replay(spark.createDataFrame(shuffled, schema), rule, "key", "at", "seq"))) < len(want)
 
     inbox, base = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()
     got = []
     for n in range(3):  # three arrivals, each by a new run of the same stream: it goes on from its checkpoint
-        part = rows[n * 80 : (n + 1) * 80]
+        part = rows[n * 81 : (n + 1) * 81]
         (inbox / f"{n}.json").write_text("\n".join(json.dumps(r) for r in rng.sample(part, len(part))))
         watched = stateful.watch(spark.readStream.schema(schema).json(str(inbox)), rule, "key", "at", "seq")
         watched.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
@@ -149,3 +187,20 @@ def test_corrupt_specs_and_optional_tables(spark, tmp_path):
     assert sorted((r.name or "", r._corrupt is None) for r in rows) == [("", False), ("n", True)]
     assert S.read_optional(spark, str(tmp_path / "no"), "jobs").count() == 0
     assert spark.range(1).select(S.normal_pci(F.lit("0000:3B:00.0")).alias("x")).first().x == "00000000:3b:00.0"
+
+
+@pytest.mark.parametrize("expire", [None, 500])
+def test_a_silent_key_tells(spark, tmp_path, expire):
+    """An owner that falls silent tells when the watermark passes its limit, over restarts, though it has no new rows."""
+    rule, schema = folds.heartbeat_gap(90, 600), "key string, at long, seq long"
+    inbox, base = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    seen = []
+    for n, part in enumerate([[("dead", 30, 0), ("live", 30, 1)], [("live", 100, 2)], [("live", 125, 3)], [("live", 214, 4)], [("live", 300, 5), ("live", 380, 6)], [("live", 800, 7)]]):
+        (inbox / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("key", "at", "seq"), r))) for r in part))
+        stateful.watch(spark.readStream.schema(schema).json(str(inbox)), rule, "key", "at", "seq", expire=expire, delay=1).writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted((r.key, r.at, r.gap) for r in spark.read.parquet(f"{base}/rows").collect()))
+    # at 125 less a second the limit of the dead one, 120, has passed
+    assert seen[:3] == [[], [], [("dead", 120, 90)]] and seen[4] == seen[3] == seen[2]
+    told_again = [("dead", 720, 690)] if expire is None else []  # an expired key tells no more
+    assert seen[5] == sorted([("dead", 120, 90), ("live", 470, 90), *told_again])
