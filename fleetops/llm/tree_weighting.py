@@ -15,9 +15,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetops.llm.common import cut, saved
 
@@ -33,22 +34,58 @@ LOT = 200_000
 END = 0xFF
 
 
+#: Log probabilities are whole numbers of these parts of one, so that their sums don't depend on the order.
+GRAIN = 1 << 24
+
+
 def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings of depth + 1 bytes that end at each byte of each text and at its END, as numbers, and where each text's
-    strings begin. The last byte is the lowest, above it stands the byte before and so on: contexts that agree in their
-    latest bytes are neighbours."""
+    strings begin. The last byte is the lowest, above it stands the byte before and so on, from the top down: contexts that
+    agree in their latest bytes are neighbours."""
     gap = bytes([END]) * depth
-    raw = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+    whole = gap + gap.join(texts) + gap
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + depth)  # of the first END after each text
-    asked = np.ones(len(raw), bool)
-    asked[:depth] = False
-    asked[(ends[:, None] + np.arange(1, depth)).ravel()] = False
-    at = np.flatnonzero(asked)
-    out = raw[at].astype(np.int64)
-    for k in range(1, depth + 1):
-        out |= raw[at - k].astype(np.int64) << (8 * (depth + 1 - k))
-    return out, np.cumsum(sizes + 1) - sizes - 1
+    asked = np.ones(len(whole) - depth, bool)
+    asked[(ends[:, None] + np.arange(1, depth)).ravel() - depth] = False
+    before = np.ndarray(len(whole) - depth, "<u8", whole + bytes(8), strides=(1,)) & np.uint64((1 << 8 * depth) - 1)
+    out = before.view(np.int64) << 8 | np.frombuffer(whole, np.uint8)[depth:]
+    return out[asked], np.cumsum(sizes + 1) - sizes - 1
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, and how often it occurs."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+class Lookup:
+    """Whole numbers by key, in an open hash table of twice the keys' number; for keys that are all in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        owner = np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self.start(keys)
+        while len(left):
+            free = owner[at] < 0
+            owner[at[free]] = left[free]
+            left, at = (x[owner[at] != left] for x in (left, at))
+            at = at + 1 & (1 << self.bits) - 1
+        self.keys, self.values = np.append(keys, -1)[owner], np.append(values, 0)[owner]
+
+    def start(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.start(keys)
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
 
 
 def tallied(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,60 +180,64 @@ def lots(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[list[np.ndar
         yield [np.concatenate(c) for c in zip(*held)]
 
 
-def gather(docs: DataFrame, text_col: str, trained: Column, columns: list[str], depth: int, size: int) -> DataFrame:
-    """One table: the texts, lower-cased, dealt into slices as they come, and what each slice holds. Rows with `text` are
-    documents, rows with `key` its different strings, rows with `token` its different tokens; `n` counts those of
-    documents to learn from and is 0 for what only others hold."""
+def placed(docs: DataFrame, size: int) -> DataFrame:
+    """row, text, learn and `slice`: rows that stand together in a file, so many that their texts hold about `size` bytes. Each read of the
+    files deals them alike. A frame that isn't read from files is written first."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")]
+    try:
+        named = docs.select("*", *place)
+    except AnalysisException:
+        named = cut(docs, "documents").select("*", *place)
+    mean = docs.agg(F.avg(F.octet_length("text") + 1)).first()[0] or 1
+    return named.withColumn("slice", F.xxhash64("file", F.floor(F.col("nth") / max(1, int(size / mean))))).drop("file", "nth")
 
-    def told(slice_no: int, row_kind: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
-        m = len(next(iter(columns.values())))
-        kinds = {"row": row_kind, "text": pa.binary(), "key": pa.int64(), "token": pa.binary(), "n": pa.int64()}
-        return pa.record_batch([pa.array(np.full(m, slice_no))] + [columns[c] if c in columns else pa.nulls(m, k) for c, k in kinds.items()], ["slice", *kinds])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row_kind, slice_no, held, words, filled = None, TaskContext.get().partitionId() << 32, [], Counter(), 0
+def contents(docs: DataFrame, depth: int) -> DataFrame:
+    """What each slice holds: its different strings (`key`) and its different tokens (`token`); `n` counts those of texts to
+    learn from and is 0 for what only others hold. A slice that several tasks read has rows from each of them."""
 
-        def summed() -> list[tuple[np.ndarray, np.ndarray]]:
-            return [tallied(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))] if held else []
+    def told(slice_no: int, held: list[tuple[np.ndarray, np.ndarray]], words: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+        names = ["slice", "key", "token", "n"]
+        for keys, n in summed(held):
+            yield pa.record_batch([pa.array(np.full(len(keys), slice_no)), pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(n)], names)
+        m = len(words)
+        yield pa.record_batch([pa.array(np.full(m, slice_no)), pa.nulls(m, pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names)
 
-        def contents() -> Iterator[pa.RecordBatch]:
-            for keys, n in summed():
-                yield told(slice_no, row_kind, key=pa.array(keys), n=pa.array(n))
-            if words:
-                yield told(slice_no, row_kind, token=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [tallied(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))] if held else []
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, words = None, [], Counter()
         for batch in batches:
-            row_kind = batch.column(0).type
-            a = 0
+            slices, a = batch.column(0).to_numpy(), 0
             while a < len(batch):
+                if slices[a] != now:
+                    if now is not None:
+                        yield from told(now, held, words)
+                    now, held, words = slices[a], [], Counter()
                 texts, b, some = [], a, 0
-                while b < len(batch) and (b == a or some < CHUNK):
-                    texts.append(batch.column(1)[b].as_py().encode().lower())  # A-Z only
+                while b < len(batch) and slices[b] == now and (b == a or some < CHUNK):
+                    texts.append(batch.column(1)[b].as_py().lower())  # of bytes, so A-Z only
                     some += len(texts[-1]) + 1
                     b += 1
                 learn = batch.column(2)[a:b].to_pylist()
                 for known in (True, False):
                     own = [t for t, x in zip(texts, learn) if x == known]
                     for c in range(0, len(own), 4096):
-                        keys, _ = strings(own[c : c + 4096], depth)
-                        held.append(tallied(keys, np.full(len(keys), int(known))))
+                        keys, n = counted(strings(own[c : c + 4096], depth)[0])
+                        held.append((keys, n * int(known)))
                     for t in own:
                         if known:
                             words.update(tokens(t))
                         else:
                             words.update(dict.fromkeys(tokens(t), 0))
-                yield told(slice_no, row_kind, row=batch.column(0).slice(a, b - a), text=pa.array(texts, pa.binary()))
                 if sum(len(k) for k, _ in held) > 4_000_000:
-                    held = summed()
-                filled, a = filled + some, b
-                if filled >= size:
-                    yield from contents()
-                    slice_no, held, words, filled = slice_no + 1, [], Counter(), 0
-        yield from contents()
+                    held = summed(held)
+                a = b
+        if now is not None:
+            yield from told(now, held, words)
 
-    rows = docs.select(F.struct(*columns, trained.alias("_trained")).alias("row"), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(trained, F.lit(False)))
-    kind = rows.schema["row"].dataType.simpleString()
-    return cut(rows.mapInArrow(run, f"slice long, row {kind}, text binary, key long, token binary, n long"), "slices")
+    return cut(docs.select("slice", "text", "learn").mapInArrow(run, "slice long, key long, token binary, n long"), "slices")
 
 
 def nodes(strings: DataFrame, depth: int) -> DataFrame:
@@ -248,7 +289,8 @@ def mixtures(strings: DataFrame, depth: int) -> DataFrame:
 
 
 def log_probabilities(strings: DataFrame, depth: int) -> DataFrame:
-    """key, n (each key once) to key, `log10`: of the last byte's probability after the bytes before it.
+    """key, n (each key once) to key, `parts`: the logarithm of the last byte's probability after the bytes before it, in
+    parts of one over GRAIN.
 
     Strings are dealt by their two latest bytes of context and sorted, so a subtree's strings come one after another and
     only those of one context of three bytes are held together. What lies above is a table of fixed size."""
@@ -278,7 +320,7 @@ def log_probabilities(strings: DataFrame, depth: int) -> DataFrame:
                 base, rest, stop = table[:, np.searchsorted(code, (keys >> up) << 8 | 1 << bit | prefix)]
                 ones = base + rest * np.where(levels[-1].total[here[-1]] > 0, ones, stop)
                 out += np.log10(np.where(keys >> (7 - bit) & 1, ones, 1 - ones))
-            yield pa.record_batch([pa.array(keys), pa.array(out)], ["key", "log10"])
+            yield pa.record_batch([pa.array(keys), pa.array(np.rint(out * GRAIN).astype(np.int32))], ["key", "parts"])
             still = code >> 8 >= keys[-1] >> up
             code, table = code[still], table[:, still]
 
@@ -287,7 +329,7 @@ def log_probabilities(strings: DataFrame, depth: int) -> DataFrame:
     rows = above.select(F.shiftleft("context2", up).alias("key"), zero.alias("n"), "node", "base", "rest", "stop")
     rows = rows.unionByName(dealt.select("key", "n", zero.alias("node"), none.alias("base"), none.alias("rest"), none.alias("stop")))
     rows = rows.repartition(F.shiftright("key", up)).sortWithinPartitions(F.shiftright("key", up), F.col("node") == 0, "key")
-    return rows.mapInArrow(run, "key long, log10 double")
+    return rows.mapInArrow(run, "key long, parts int")
 
 
 def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str = "text", depth: int = DEPTH, size: int = SLICE) -> DataFrame:
@@ -298,28 +340,28 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
     6) bytes; bits_per_byte: the code length for each byte, the end included. base_score: that of its tokens, white space
     aside, by add-one counts: (c + 1) / (N + V + 1), with one end for each text. n_known: tokens with c > 0.
 
-    Texts are dealt into slices of about `size` bytes as they are read. The different strings and tokens of a slice are
-    counted, meet the model in a join, and come back to their slice, where the texts are scored; so what travels follows
-    the different strings, not the bytes, and nothing of the model is broadcast or held whole.
+    Texts are taken in slices of about `size` bytes, as they stand in their files. The different strings and tokens of a
+    slice are counted, meet the model in a shuffle by string, and come back to their slice, where the texts are scored; so
+    what travels beside the texts follows the different strings, and nothing of the model is broadcast or held whole.
 
-    Null and empty texts are scored as empty: their end alone. A very long text is a slice by itself. Repeated rows count
+    Null and empty texts are scored as empty: their end alone. A very long text makes its slice larger. Repeated rows count
     and are scored as often as they occur; `trained` null counts as false. With nothing to learn from each bit has the
     probability one half and every token 1 / (0 + 0 + 1). An empty table gives no rows. Further columns aren't looked at."""
     if not 3 <= depth <= 6:
         raise ValueError("depth: 3 to 6")
-    slices = gather(docs, text_col, trained, columns, depth, size)
-    asked = slices.filter("key is not null").select("slice", "key", "n")
+    row = F.struct(*columns, trained.alias("_trained")).alias("row")
+    rows = placed(docs.select(row, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(trained, F.lit(False)).alias("learn")), size)
+    held = contents(rows, depth)
+    asked = held.filter("key is not null")
     model = log_probabilities(asked.groupBy("key").agg(F.sum("n").alias("n")), depth)
     found = asked.select("slice", "key").join(model, "key")
-    words = slices.filter("token is not null").select("slice", "token", "n")
-    counts = saved(words.groupBy("token").agg(F.sum("n").alias("n")))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    known = words.select("slice", "token").join(counts.filter("n > 0"), "token")
-    row_kind = slices.schema["row"].dataType.simpleString()
-    less = float(np.log10(total + kinds + 1))
+    alike = Window.partitionBy("token")
+    words = held.filter("token is not null").select("slice", "token", F.sum("n").over(alike).alias("n"), F.row_number().over(alike.orderBy("slice")).alias("nth"))
+    words = words.select("slice", "token", "n", (F.col("nth") == 1).alias("one_of"))
+    row_kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, logs, count = None, [], [], {}
+        now, keys, parts, count, lookup, kinds = None, [], [], {}, None, 0
         for batch in batches:
             of, kind = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
             edges = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
@@ -327,38 +369,45 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                 if a == b:
                     continue
                 if of[a] != now:
-                    now, keys, logs, count = of[a], [], [], {}
+                    now, keys, parts, count, lookup, kinds = of[a], [], [], {}, None, 0
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     keys.append(part.column("key").to_numpy())
-                    logs.append(part.column("log10").to_numpy())
+                    parts.append(part.column("parts").to_numpy())
                 elif kind[a] == 1:
-                    count.update(zip(part.column("token").to_pylist(), part.column("n").to_pylist()))
+                    n = part.column("n").to_numpy()
+                    kinds += int((part.column("one_of").to_numpy(zero_copy_only=False) & (n > 0)).sum())
+                    other = part.filter(pa.array(n != 1))  # tokens that aren't kept occur once
+                    count.update(zip(other.column("token").to_pylist(), other.column("n").to_pylist()))
                 else:
-                    if len(keys) != 1:
-                        keys, logs = [np.concatenate(keys)], [np.concatenate(logs)]
-                    yield from scored(part, keys[0], logs[0], count)
+                    if lookup is None:
+                        lookup, keys, parts = Lookup(np.concatenate(keys), np.concatenate(parts)), [], []
+                    yield from scored(part, lookup, count, kinds)
+                    kinds = 0
 
-    def scored(part: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray, count: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    def scored(part: pa.RecordBatch, lookup: Lookup, count: dict[bytes, int], kinds: int) -> Iterator[pa.RecordBatch]:
         a, text = 0, part.column("text")
         while a < len(part):
             texts, b, some = [], a, 0
             while b < len(part) and (b == a or some < CHUNK) and b - a < 4096:
-                texts.append(text[b].as_py())
+                texts.append(text[b].as_py().lower())
                 some += len(texts[-1])
                 b += 1
             at, first = strings(texts, depth)
-            sums = np.add.reduceat(logs[np.searchsorted(keys, at)], first)
-            words = [[count.get(w, 0) for w in tokens(t)] for t in texts]
-            base = [float(np.log10(np.array(c, np.float64) + 1).sum() - len(c) * less) for c in words]
+            sums = np.add.reduceat(lookup.find(at).astype(np.int64), first)
+            words = [np.array([count.get(w, 1) for w in tokens(t)], np.float64) for t in texts]
             sizes = np.array([len(t) for t in texts])
-            told = [sizes, np.array([len(c) for c in words]), np.array([sum(x > 0 for x in c) for c in words]), np.full(len(texts), total), np.array(base), sums, -sums * np.log2(10) / (sizes + 1)]
-            yield pa.record_batch([part.column("row").slice(a, b - a), *map(pa.array, told)], ["row", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            told = [sizes, np.array([len(c) for c in words]), np.array([(c > 0).sum() for c in words]), np.array([np.log10(c + 1).sum() for c in words]), sums / GRAIN, np.array([kinds if a + k == 0 else 0 for k in range(b - a)])]
+            yield pa.record_batch([part.column("row").slice(a, b - a), *map(pa.array, told)], ["row", "n_bytes", "n_tokens", "n_known", "counts", "score", "kinds"])
             a = b
 
-    out = ["slice", "kind", "key", "log10", "token", "n", "row", "text"]
-    parts = [found.withColumn("kind", F.lit(0)), known.withColumn("kind", F.lit(1)), slices.filter("text is not null").select("slice", "row", "text").withColumn("kind", F.lit(2))]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*out)
-    rows = rows.repartition("slice").sortWithinPartitions("slice", "kind", "key")
-    done = rows.mapInArrow(run, f"row {row_kind}, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
-    return done.select("row.*", *[c for c in done.columns if c != "row"])
+    out = ["slice", "kind", "key", "parts", "token", "n", "one_of", "row", "text"]
+    dealt = [found.withColumn("kind", F.lit(0)), words.withColumn("kind", F.lit(1)), rows.drop("learn").withColumn("kind", F.lit(2))]
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt).select(*out)
+    dealt = dealt.repartition("slice").sortWithinPartitions("slice", "kind")
+    done = saved(dealt.mapInArrow(run, f"row {row_kind}, n_bytes long, n_tokens long, n_known long, counts double, score double, kinds long"))
+    total = held.filter("token is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kinds = done.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    base = F.col("counts") - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
+    bits = -F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)
+    return done.select("row.*", "n_bytes", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
