@@ -82,7 +82,8 @@ def duration_seconds(start: Column, end: Column, form: str = "yyyy-MM-dd HH:mm:s
 
 
 def last_match(text: Column, pattern: str, longest: int = 120) -> Column:
-    """The last match of a (Java) pattern, cut at `longest` characters; null if there is none."""
+    """The last match of the caller's own (Java) pattern, cut at `longest` characters; null if there is none. Patterns that
+    come with the data go through `patterns.pattern_result`, which refuses bad ones and stops slow ones."""
     return F.substring(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(-1)), 1, longest)
 
 

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetops.functions.patterns import pattern_result
 from fleetops.functions.scalars import canonical_json, digest, json_equal
 
 #: Content rules aren't applied to larger files, so that executors never hold one.
 MOST_BYTES = 1 << 20
 
 
-def check_files(rules: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+def check_files(rules: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES, seconds: float = 0.25) -> DataFrame:
     """Adds `code` and `passed` to rules: missing_file, too_small, content_too_large, invalid_json, missing_json_key,
-    json_value_mismatch, regex_no_match or passed; the first failure in this order.
+    json_value_mismatch, invalid_regex, regex_timeout, regex_no_match or passed; the first failure in this order.
 
     rules: any keys, path, min_bytes, check (json), has_key (dotted path), json_equals (map of dotted path to JSON text),
-    regex (Java). files: path, length, content (text or binary). Content is looked at only if a rule asks for it and the
-    file isn't over most_bytes.
+    regex (Python). files: path, length, content (text or binary). Content is looked at only if a rule asks for it and the
+    file isn't over most_bytes. A pattern that can't be used, or takes more than `seconds`, fails its own row only.
     """
     out = rules.join(files.select("path", F.col("length").alias("_length"), F.col("content").cast("string").alias("_content")), "path", "left")
     parse = (F.col("check") == "json") | F.col("has_key").isNotNull() | (F.size("json_equals") > 0)
@@ -29,6 +30,7 @@ def check_files(rules: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES
     doc = F.try_parse_json(text)
     at = lambda path: F.concat(F.lit("$['"), F.array_join(F.split(path, "\\."), "']['"), F.lit("']"))
     whole = F.aggregate(F.map_entries(F.coalesce("json_equals", F.create_map().cast("map<string,string>"))), F.lit(True), lambda ok, e: ok & F.coalesce(_equal_at(text, at(e["key"]), e["value"]), F.lit(False)))
+    out = out.withColumn("_regex", pattern_result(text, F.when(F.col("_length") <= most_bytes, F.col("regex")), seconds)["reason"])
     code = (
         F.when(F.col("_length").isNull(), "missing_file")
         .when(F.col("_length") < F.coalesce("min_bytes", F.lit(0)), "too_small")
@@ -36,10 +38,10 @@ def check_files(rules: DataFrame, files: DataFrame, most_bytes: int = MOST_BYTES
         .when(parse & doc.isNull(), "invalid_json")
         .when(F.col("has_key").isNotNull() & ~_found(doc, at(F.col("has_key"))), "missing_json_key")
         .when((F.size("json_equals") > 0) & ~whole, "json_value_mismatch")
-        .when(F.col("regex").isNotNull() & ~F.rlike(text, F.col("regex")), "regex_no_match")
+        .when(F.col("_regex") != "passed", F.col("_regex"))
         .otherwise("passed")
     )
-    return out.withColumn("code", code).withColumn("passed", F.col("code") == "passed").drop("_length", "_content")
+    return out.withColumn("code", code).withColumn("passed", F.col("code") == "passed").drop("_length", "_content", "_regex")
 
 
 def _found(doc: Column, path: Column) -> Column:

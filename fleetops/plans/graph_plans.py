@@ -88,13 +88,13 @@ def gra6(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Events' JSON as output files: some torn, some without the key, some missing; sizes as rules ask.
-RULES_SQL = """SELECT event_id AS job, concat('f', event_id) AS path, CASE WHEN event_id % 13 = 0 THEN 100000 END AS min_bytes, CASE WHEN event_id % 2 = 0 THEN 'json' END AS "check", CASE WHEN event_id % 3 = 0 THEN 'k' END AS has_key, event_id % 5 = 0 AS eq, CASE WHEN event_id % 7 = 0 THEN '[5-9]' END AS regex FROM events"""
+RULES_SQL = """SELECT event_id AS job, concat('f', event_id) AS path, CASE WHEN event_id % 13 = 0 THEN 100000 END AS min_bytes, CASE WHEN event_id % 2 = 0 THEN 'json' END AS "check", CASE WHEN event_id % 3 = 0 THEN 'k' END AS has_key, event_id % 5 = 0 AS eq, CASE WHEN event_id % 77 = 1 THEN '(unclosed' WHEN event_id % 7 = 0 THEN '[5-9]' END AS regex FROM events"""
 
 
 def file_rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, d, "events")
     equals = F.when(F.col("event_id") % 5 == 0, F.create_map(F.lit("k"), F.lit("7.0")))
-    rules = events.selectExpr("event_id as job", "'out' as name", "concat('f', event_id) as path", "if(event_id % 13 = 0, 100000, null) as min_bytes", "if(event_id % 2 = 0, 'json', null) as check", "if(event_id % 3 = 0, 'k', null) as has_key", "if(event_id % 7 = 0, '[5-9]', null) as regex", "event_id").withColumn("json_equals", equals).drop("event_id")
+    rules = events.selectExpr("event_id as job", "'out' as name", "concat('f', event_id) as path", "if(event_id % 13 = 0, 100000, null) as min_bytes", "if(event_id % 2 = 0, 'json', null) as check", "if(event_id % 3 = 0, 'k', null) as has_key", "case when event_id % 77 = 1 then '(unclosed' when event_id % 7 = 0 then '[5-9]' end as regex", "event_id").withColumn("json_equals", equals).drop("event_id")
     content = F.expr("case when event_id % 17 = 0 then '{torn' when event_id % 19 = 0 then '{\"k\":null}' when event_id % 23 = 0 then '{\"other\":1}' else props end")
     files = events.filter("event_id % 11 <> 0").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
     return rules, files
@@ -103,7 +103,7 @@ def file_rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 CODES = """r AS (SELECT *, event_id AS i, json_extract_string(props, '$.k')::int AS k FROM events),
 s AS (SELECT i, event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 AS parse, CASE WHEN i % 17 = 0 THEN '{torn' WHEN i % 19 = 0 THEN '{"k":null}' WHEN i % 23 = 0 THEN '{"other":1}' ELSE props END AS content, k FROM r),
 c AS (SELECT i AS job, CASE WHEN i % 11 = 0 THEN 'missing_file' WHEN i % 13 = 0 THEN 'too_small' WHEN parse AND i % 17 = 0 THEN 'invalid_json' WHEN i % 3 = 0 AND i % 23 = 0 AND i % 19 <> 0 THEN 'missing_json_key'
- WHEN i % 5 = 0 AND (i % 19 = 0 OR i % 23 = 0 OR k <> 7) THEN 'json_value_mismatch' WHEN i % 7 = 0 AND NOT regexp_matches(content, '[5-9]') THEN 'regex_no_match' ELSE 'passed' END AS code FROM s)"""
+ WHEN i % 5 = 0 AND (i % 19 = 0 OR i % 23 = 0 OR k <> 7) THEN 'json_value_mismatch' WHEN i % 77 = 1 THEN 'invalid_regex' WHEN i % 7 = 0 AND NOT regexp_matches(content, '[5-9]') THEN 'regex_no_match' ELSE 'passed' END AS code FROM s)"""
 
 
 @query("art1_check_files", f"WITH {CODES} SELECT job, code FROM c")

@@ -1,12 +1,15 @@
 """The rules that a careless version gets wrong, on hand-made rows."""
 
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetops.functions import scalars as X
 from fleetops.functions import validation as V
+from fleetops.functions.patterns import pattern_result
 from fleetops.operators import aggregates as A
 from fleetops.operators import files as C
 from fleetops.operators import graph as G
@@ -221,3 +224,18 @@ def test_values_of_templates_are_not_resolved_again(spark):
     df = spark.createDataFrame(texts, "id int, text string, want string, names array<string>")
     for r in V.resolve_templates(df, "text", names, "id").collect():
         assert (r.resolved, r.unresolved) == (r.want, r.names)
+
+
+def test_patterns_are_refused_or_stopped(spark):
+    slow = "a" * 31
+    cases = [("(unclosed", "x", "invalid_regex", None), ("", "x", "invalid_regex", None), ("a\0", "a", "invalid_regex", None), ("a" * 4097, "a", "invalid_regex", None), ("(a+)+$", "a" * 4095 + "!", "regex_timeout", None),
+             (r"\d+", "1 22 333 x", "passed", "333"), ("x", "y", "regex_no_match", None), ("x", None, "regex_no_match", None), ("(", None, "invalid_regex", None), (None, "x", None, None), ("b*", "ab", "passed", ""), ("(?s).+", "z" * 500, "passed", "z" * 120)]
+    df = spark.createDataFrame(cases, "pattern string, text string, reason string, match string").coalesce(1)
+    began = time.monotonic()
+    for r in df.withColumn("got", pattern_result(F.col("text"), F.col("pattern"))).collect():
+        assert (r.got and r.got.reason, r.got and r.got.match) == (r.reason, r.match), r.pattern
+    assert time.monotonic() - began < 20
+    rules = df.select(F.lit("f").alias("path"), F.lit(0).alias("min_bytes"), F.lit(None).cast("string").alias("check"), F.lit(None).cast("string").alias("has_key"), F.lit(None).cast("map<string,string>").alias("json_equals"), F.col("pattern").alias("regex"))
+    files = spark.createDataFrame([("f", 32, slow + "!")], "path string, length long, content string")
+    codes = Counter(r.code for r in C.check_files(rules, files).collect())
+    assert codes["invalid_regex"] == 5 and codes["passed"] == 3 and codes.total() == 12
