@@ -1,4 +1,5 @@
-"""Table maintenance: every operator yields the new version of a table, none changes one in place."""
+"""Table maintenance: every operator yields the new version of a table, none changes one in place. `commit_*` put such a
+version into effect (see `sources.versions`), whole and once, however many writers there are."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.operators.windows import keep_last_ttl, latest
+from fleetops.sources.versions import Version, change
 
 
 def upsert_latest(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -33,6 +35,26 @@ def receipt_append(target: DataFrame, rows: DataFrame, key: str, binding: str) -
     return out.withColumn("outcome", outcome).drop("_old", "_split")
 
 
+def commit_upsert(path: str, schema: str, updates: DataFrame, keys: Sequence[str], order: Sequence[str], writer: str | None = None, batch: int = 0) -> Version:
+    """Commit `upsert_latest`. A writer's batch that is in already changes nothing."""
+    return change(updates.sparkSession, path, schema, lambda now: upsert_latest(now, updates, keys, order), True, writer, batch)
+
+
+def commit_missing(path: str, schema: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], writer: str | None = None, batch: int = 0) -> Version:
+    """Commit the rows that `insert_missing` adds; what is there isn't written again."""
+
+    def fresh(now: DataFrame) -> DataFrame:
+        return insert_missing(now.filter("false"), rows.join(now.select(*keys).distinct(), list(keys), "left_anti"), keys, order)
+
+    return change(rows.sparkSession, path, schema, fresh, False, writer, batch)
+
+
+def commit_receipts(path: str, schema: str, rows: DataFrame, key: str, binding: str, writer: str | None = None, batch: int = 0) -> Version:
+    """Commit the rows that `receipt_append` calls new, each key once."""
+    new = lambda now: receipt_append(now, rows, key, binding).filter("outcome = 'new'").drop("outcome").dropDuplicates([key])
+    return change(rows.sparkSession, path, schema, new, False, writer, batch)
+
+
 def compact_outputs(df: DataFrame, large: Sequence[str], done: Column, ts: str, order: Sequence[str], n: int, oldest: int, group: Sequence[str]) -> DataFrame:
     """Null the large columns of done rows that retention wouldn't keep; keys and all other rows stay."""
     flagged = keep_last_ttl(df, ts, order, n, oldest, group=group)

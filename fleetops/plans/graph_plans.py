@@ -11,6 +11,8 @@ from fleetops.operators import graph as G
 from fleetops.operators import maintain as M
 from fleetops.plans.frames import duck, frame, table
 from fleetops.plans.registry import query
+from fleetops.session import scratch
+from fleetops.sources import versions
 
 EDGES = "e AS (SELECT lag(id) OVER (PARTITION BY batch_id ORDER BY submitted, row_seq) AS src, id AS dst, batch_id FROM jobs)"
 
@@ -168,13 +170,21 @@ def art6(spark: SparkSession, d: str) -> DataFrame:
 def mnt1(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
     updates = orders.filter("o_orderkey % 11 = 0").withColumn("o_orderstatus", F.lit("X")).unionByName(orders.filter("o_orderkey % 50 = 0").select(F.col("o_orderkey") + 10000000, F.lit("N"), F.lit(2)).toDF("o_orderkey", "o_orderstatus", "version"))
-    return M.upsert_latest(orders, updates, ["o_orderkey"], ["version"]).select("o_orderkey", "o_orderstatus")
+    at, schema = scratch(spark, "upsert"), ", ".join(f"{n} {t}" for n, t in orders.dtypes)
+    versions.append(orders, at)
+    M.commit_upsert(at, schema, updates, ["o_orderkey"], ["version"], writer="w", batch=1)
+    M.commit_upsert(at, schema, orders.limit(0), ["o_orderkey"], ["version"], writer="w", batch=1)  # in already
+    return versions.read_version(spark, at, schema).select("o_orderkey", "o_orderstatus")
 
 
 @query("mnt2_insert_missing", "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def mnt2(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return M.insert_missing(orders.filter("o_orderkey % 13 <> 0"), orders.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"], ["o_orderkey"])
+    at, schema = scratch(spark, "insert"), ", ".join(f"{n} {t}" for n, t in orders.dtypes)
+    versions.append(orders.filter("o_orderkey % 13 <> 0"), at)
+    for _ in range(2):
+        M.commit_missing(at, schema, orders.withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"], ["o_orderkey"])
+    return versions.read_version(spark, at, schema)
 
 
 @query("mnt3_receipt_append", "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'conflict' ELSE 'new' END WHEN o_orderkey % 11 = 0 THEN 'conflict' ELSE 'replay' END AS outcome, count(*) AS n FROM orders GROUP BY ALL")

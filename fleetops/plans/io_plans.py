@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +9,12 @@ from fleetops.operators import paging as P
 from fleetops.plans.frames import CARD_STATES, SPARK_DAY, duck, frame, table
 from fleetops.plans.registry import query
 from fleetops.plans.window_plans import SAMPLES
-from fleetops.session import shared_dir
+from fleetops.session import scratch
 from fleetops.sources import tables as S
+from fleetops.sources import versions
 from fleetops.streaming import folds, jobs, stateful
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 @query("src1_read_table", f"""{duck("jobs")} SELECT id::varchar AS id, batch_id::varchar AS batch_id, task_id, version, status, project, NULL::int AS rc, row_seq FROM jobs""")
 def src1(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "tables")
@@ -128,11 +123,21 @@ def src9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk1_write_notifications", f"""{duck("jobs")} SELECT concat('b', batch_id) AS event_id, count(*) AS jobs FROM jobs GROUP BY batch_id""")
 def snk1(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "out")
+    events = frame(spark, d, "jobs").groupBy(F.concat(F.lit("b"), F.col("batch_id").cast("string")).alias("event_id")).agg(F.count("*").alias("jobs"))
+    S.append_events(events.filter("jobs < 10"), at, writer="w", batch=0)
+    S.append_events(events, at)
+    S.append_events(events.withColumn("jobs", F.lit(0).cast("long")), at)  # delivered again: nothing new
+    return versions.read_version(spark, at, "event_id string, jobs long")
+
+
+@query("snk1_json_notifications", f"""{duck("jobs")} SELECT concat('b', batch_id) AS event_id, count(*) AS jobs FROM jobs GROUP BY batch_id""")
+def snk1_json(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "out")
     events = frame(spark, d, "jobs").groupBy(F.concat(F.lit("b"), F.col("batch_id").cast("string")).alias("event_id")).agg(F.count("*").alias("jobs"))
     S.write_notifications(events.filter("jobs < 10"), at)
     S.write_notifications(events, at)
-    S.write_notifications(events, at)  # delivered again: nothing new
+    S.write_notifications(events, at)
     return spark.read.schema("event_id string, jobs long").json(at)
 
 
@@ -154,6 +159,17 @@ def snk3(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(at).groupBy("status").agg(F.count("*").alias("n"), F.sum("request").alias("request"))
 
 
+@query("snk3_compacted_versions", f"""{duck("jobs")} SELECT id, status, request FROM jobs""")
+def snk3_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Appended in eight commits, then compacted."""
+    at, schema = scratch(spark, "table"), "id long, status string, request long"
+    rows = frame(spark, d, "jobs").select("id", "status", "request")
+    for k in range(8):
+        versions.append(rows.filter(F.col("id") % 8 == k), at, writer="w", batch=k)
+    versions.compact(spark, at, schema, sort_by=["id"])
+    return versions.read_version(spark, at, schema)
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of its files."""
     rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -260,7 +276,7 @@ SELECT j.batch_id, max(finished) AS finished, count(*) FILTER (status IN ('faile
 )
 def str11(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "settled")
-    frame(spark, d, "jobs").filter("status <> 'running'").withColumn("rev", F.col("gpu")).write.parquet(f"{at}/jobs")
+    jobs.write_jobs(frame(spark, d, "jobs").filter("status <> 'running'").withColumn("rev", F.col("gpu")), f"{at}/jobs", "batch_id", 16)
     changes = event_stream(spark, d).select(F.col("owner").alias("batch_id"))
-    jobs.stream_batch_events(changes, f"{at}/jobs", f"{at}/out", f"{at}/state", ("done", "skip", "failed", "blocked", "cancelled", "timed_out", "interrupted")).awaitTermination()
-    return S.spark_optional(spark, f"{at}/out", "batch_id long, finished long, n_failures int, day int").drop("day")
+    jobs.stream_batch_events(changes, f"{at}/jobs", f"{at}/out", f"{at}/state", ("done", "skip", "failed", "blocked", "cancelled", "timed_out", "interrupted"), 16).awaitTermination()
+    return versions.read_version(spark, f"{at}/out", jobs.EVENTS).select(F.col("batch_id").cast("long"), "finished", "n_failures")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,8 @@ def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: what was computed is in shared files and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

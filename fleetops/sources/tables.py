@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetops.sources.schemas import BATCH_SPEC, INVENTORY, SAMPLE, SCHEMAS
+from fleetops.sources.versions import Version, change
 
 
 def read_table(spark: SparkSession, folder: str, name: str, form: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def write_notifications(df: DataFrame, path: str, key: str = "event_id", by: str
     """Append events whose key isn't there yet, one JSON object a line: writing the same batch again adds nothing.
 
     by: a column, the same for the same event (its day), that parts the folder: only the parts that a batch touches are
-    read again. One writer at a time: the look and the append aren't one step."""
+    read again. One writer at a time: the look and the append aren't one step. `append_events` has no such limit."""
     if by is None:
         known = spark_optional(df.sparkSession, path, f"{key} string")
         df.dropDuplicates([key]).join(known.select(key), key, "left_anti").write.mode("append").json(path)
@@ -122,6 +123,14 @@ def write_notifications(df: DataFrame, path: str, key: str = "event_id", by: str
     df.dropDuplicates([key]).join(known.select(key), key, "left_anti").write.mode("append").partitionBy(by).json(path)
 
 
+def append_events(df: DataFrame, path: str, key: str = "event_id", writer: str | None = None, batch: int = 0) -> Version:
+    """The same into a table under versions: look and append are one commit, so of writers that race, and of a micro-batch
+    that runs twice, each event is there once. Null keys are left out."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    fresh = df.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return change(df.sparkSession, path, schema, lambda now: fresh.join(now.select(key), key, "left_anti").select(*df.columns), False, writer, batch)
+
+
 def spark_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).json(path)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetops.operators.aggregates import batch_event
 from fleetops.session import shared_dir
-from fleetops.sources.tables import write_notifications
+from fleetops.sources.tables import append_events
+
+#: What `stream_batch_events` writes.
+EVENTS = "event_id string, batch_id string, started long, finished long, minutes long, counts string, n_failures int"
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
@@ -20,21 +24,30 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def stream_batch_events(changes: DataFrame, jobs_path: str, out: str, checkpoint: str, terminal: tuple[str, ...]):
+def write_jobs(jobs: DataFrame, path: str, batch: str, buckets: int) -> None:
+    """The job table, parted by `bucket`, a hash of the batch: who asks for some batches reads their buckets only."""
+    jobs.withColumn("bucket", bucket(batch, buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def bucket(batch: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(batch), F.lit(buckets)).cast("int")
+
+
+def stream_batch_events(changes: DataFrame, jobs_path: str, out: str, checkpoint: str, terminal: tuple[str, ...], buckets: int):
     """Start a stream that writes one notification for each batch that a change has ended.
 
-    changes: batch_id. Each micro-batch keeps the jobs of the batches it touches only, and events are keyed by batch
-    and last end, so a micro-batch that runs twice writes nothing new. Events lie by the day of that end, and only the
-    days that a micro-batch touches are read again. The job table is scanned by each micro-batch, keys and status
-    first; with a long trigger interval that is once for many changes."""
+    changes: batch_id. jobs_path: by `write_jobs` with as many buckets; each micro-batch reads those of the batches that it
+    touches. Events are keyed by batch and last end and go into a table under versions (`read_version`, EVENTS), together
+    with the number of the micro-batch: one that runs twice, or beside another writer, writes nothing twice."""
 
-    def settle(rows: DataFrame, _: int) -> None:
+    def settle(rows: DataFrame, number: int) -> None:
         spark: SparkSession = rows.sparkSession
-        touched = rows.select("batch_id").distinct()
-        jobs = spark.read.parquet(jobs_path).join(touched, "batch_id", "left_semi")
+        touched = rows.select("batch_id", bucket("batch_id", buckets).alias("bucket")).distinct()
+        wanted = [r[0] for r in touched.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        jobs = spark.read.parquet(jobs_path).filter(F.col("bucket").isin(wanted)).join(touched.select("batch_id"), "batch_id", "left_semi")
         open_ = jobs.filter(~jobs.status.isin(*terminal)).select("batch_id").distinct()
         event = batch_event(jobs.join(open_, "batch_id", "left_anti"), "batch_id", "status", "submitted", "finished", "rev", "row_seq", "id")
-        event = event.selectExpr("concat_ws('-', batch_id, coalesce(finished, 0)) as event_id", "batch_id", "started", "finished", "minutes", "to_json(counts) as counts", "size(failures) as n_failures", "cast(coalesce(finished, 0) div 86400 as int) as day")
-        write_notifications(event, out, by="day")
+        event = event.selectExpr("concat_ws('-', batch_id, coalesce(finished, 0)) as event_id", "cast(batch_id as string) as batch_id", "started", "finished", "minutes", "to_json(counts) as counts", "size(failures) as n_failures")
+        append_events(event, out, writer=checkpoint, batch=number)
 
     return changes.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
