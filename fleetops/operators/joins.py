@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetops.operators.scans import running
 from fleetops.operators.windows import latest
 
 
@@ -108,7 +109,8 @@ def latest_producer(consumers: DataFrame, jobs: DataFrame, project: str, task: s
     a consumer must then not have finished itself by that time.
 
     Without as_of the two newest of each key are enough (one may be the consumer itself), so the join is with at most
-    two rows a key. With it, consumers and producers are merged in time order and looked up by a window."""
+    two rows a key. With it, consumers and producers are merged in time order and the last producer is carried along, over
+    ranges of a hot key too (`running`)."""
     good = jobs.filter(F.col(project).isNotNull() & F.col(fingerprint).isNotNull())
     if as_of is None:
         w = Window.partitionBy(project, task).orderBy(F.desc_nulls_last(finished), F.desc(row_seq))
@@ -119,9 +121,9 @@ def latest_producer(consumers: DataFrame, jobs: DataFrame, project: str, task: s
         return out.withColumn("producer", best["id"]).withColumn("producer_fingerprint", best["f"]).drop("_two")
     made = good.select(F.col(project).alias("_p"), F.col(task).alias("_t"), F.col(finished).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(id_col).alias("id"), F.col(fingerprint).alias("f")).alias("_made"), F.lit(None).cast(consumers.select(F.struct(*consumers.columns).alias("s")).schema["s"].dataType).alias("_row"), F.col(row_seq).alias("_seq"))
     asked = consumers.select(F.col(project).alias("_p"), F.col(task).alias("_t"), F.col(as_of).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(made.schema["_made"].dataType).alias("_made"), F.struct(*consumers.columns).alias("_row"), F.lit(None).cast("long").alias("_seq"))
-    w = Window.partitionBy("_p", "_t").orderBy("_at", "_side", "_seq")
-    last = F.last("_made", ignorenulls=True).over(w)
-    out = made.unionByName(asked).withColumn("_last", last).filter("_side = 1")
+    newest = F.when(F.col("_side") == 0, F.struct("_at", "_side", "_seq", "_made"))
+    out = running(made.unionByName(asked), ["_p", "_t"], ["_at", "_side", "_seq"], maxima={"_last": newest}).filter("_side = 1")
+    out = out.withColumn("_last", F.col("_last._made"))
     known = F.col("_p").isNotNull()
     return out.select("_row.*", F.when(known, F.col("_last.id")).alias("producer"), F.when(known, F.col("_last.f")).alias("producer_fingerprint"))
 

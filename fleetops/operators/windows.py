@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fleetops.operators.card_state import CardState, advance
+from fleetops.operators.scans import running
 from fleetops.session import saved
 
 
@@ -76,11 +77,10 @@ def verify_chain(df: DataFrame, owner: str, seq: str, id_col: str, prev_col: str
 
     In order of seq (ties by id): it must count 1..n (gap), the previous id must be the previous row's (link; null for
     the first), and the id must be the SHA-256 of content (digest). The first failing row counts, and of its failures
-    the first named above. An owner is verified in one sorted pass, so its log may spill but is never collected.
+    the first named above. A long log is verified in ranges that carry on from one another (`running`).
     """
-    w = Window.partitionBy(owner).orderBy(seq, id_col)
-    nth, before = F.row_number().over(w), F.lag(id_col).over(w)
-    rows = df.select(owner, seq, F.col(id_col).alias("_id"), F.col(prev_col).alias("_prev"), content.alias("_content"), nth.alias("_nth"), before.alias("_before"))
+    rows = df.select(owner, seq, F.col(id_col).alias("_id"), F.col(prev_col).alias("_prev"), content.alias("_content"))
+    rows = running(rows, [owner], [seq, "_id"], sums={"_nth": F.lit(1)}, before={"_before": F.col("_id")})
     reason = (
         F.when(~F.col(seq).eqNullSafe(F.col("_nth")), "gap")
         .when(~F.col("_prev").eqNullSafe(F.col("_before")), "link")
@@ -94,28 +94,28 @@ def verify_chain(df: DataFrame, owner: str, seq: str, id_col: str, prev_col: str
 def legal_transitions(df: DataFrame, owner: str, seq: str, kind: str, edges: DataFrame, once: Sequence[str] = ()) -> DataFrame:
     """Illegal rows with a reason: `transition` (no edge from the previous kind; null before the first), or `repeated`
     (a kind of `once` that occurred before). edges: before, after - a small table, joined by Spark's choice."""
-    w = Window.partitionBy(owner).orderBy(seq)
-    rows = df.withColumn("before", F.lag(kind).over(w)).withColumn("_times", F.count("*").over(Window.partitionBy(owner, kind).orderBy(seq)))
+    rows = running(df, [owner], [seq], before={"before": F.col(kind)})
+    firsts = df.filter(F.col(kind).isin(*once)).groupBy(F.col(owner).alias("_o"), F.col(kind).alias("_k")).agg(F.min(seq).alias("_first"))
+    rows = rows.join(firsts, F.col(owner).eqNullSafe(F.col("_o")) & (F.col(kind) == F.col("_k")), "left")
     known = edges.select(F.col("before").alias("_b"), F.col("after").alias("_a")).distinct().withColumn("_ok", F.lit(True))
     rows = rows.join(known, F.col("before").eqNullSafe(F.col("_b")) & (F.col(kind) == F.col("_a")), "left")
-    reason = F.when(F.col("_ok").isNull(), "transition").when(F.col(kind).isin(*once) & (F.col("_times") > 1), "repeated")
-    return rows.withColumn("reason", reason).filter("reason is not null").drop("_b", "_a", "_ok", "_times")
+    reason = F.when(F.col("_ok").isNull(), "transition").when(F.col(seq) > F.col("_first"), "repeated")
+    return rows.withColumn("reason", reason).filter("reason is not null").drop("_b", "_a", "_ok", "_o", "_k", "_first")
 
 
 def collapse_repeats(df: DataFrame, owner: str, order: Sequence[str], same: Sequence[str]) -> DataFrame:
     """Drop a row that equals its immediate predecessor in `same` (nulls equal); equal rows further apart stay."""
-    w = Window.partitionBy(owner).orderBy(*order)
-    prior = F.lag(F.struct(*same)).over(w)
-    return df.withColumn("_prior", prior).filter(F.col("_prior").isNull() | ~F.struct(*same).eqNullSafe(F.col("_prior"))).drop("_prior")
+    rows = running(df, [owner], order, before={"_prior": F.struct(*same)})
+    return rows.filter(F.col("_prior").isNull() | ~F.struct(*same).eqNullSafe(F.col("_prior"))).drop("_prior")
 
 
 def streaks(df: DataFrame, key: str, order: Sequence[str], hit: Column, n: int) -> DataFrame:
-    """Rows at which a run of hits reaches exactly n; a miss or null resets the run. Adds `run` (= n)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    rows = rows.withColumn("_island", F.sum((~F.col("_hit")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.sum(F.col("_hit").cast("int")).over(Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("run", run).filter(F.col("_hit") & (F.col("run") == n)).drop("_hit", "_island")
+    """Rows at which a run of hits reaches exactly n; a miss or null resets the run. Adds `run` (= n): the row's number less
+    that of the last miss."""
+    rows = running(df.withColumn("_hit", F.coalesce(hit, F.lit(False))), [key], order, sums={"_nth": F.lit(1)})
+    rows = running(rows, [key], order, maxima={"_miss": F.when(~F.col("_hit"), F.col("_nth"))})
+    rows = rows.withColumn("run", F.col("_nth") - F.coalesce("_miss", F.lit(0)))
+    return rows.filter(F.col("_hit") & (F.col("run") == n)).drop("_hit", "_nth", "_miss")
 
 
 def keep_last_ttl(df: DataFrame, ts: str, order: Sequence[str], n: int, oldest: int, exempt: DataFrame | None = None, key: str | None = None, group: Sequence[str] = ()) -> DataFrame:
@@ -194,11 +194,9 @@ def latest_first(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
 
 def revision_counter(df: DataFrame, key: str, order: Sequence[str], watched: Sequence[str]) -> DataFrame:
     """Adds `revision`: how many rows up to this one differ from the one before in a watched column (nulls equal)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prior = F.lag(F.struct(*watched)).over(w)
-    changed = F.when(prior.isNull(), 0).when(F.struct(*watched).eqNullSafe(prior), 0).otherwise(1)
-    out = df.withColumn("_changed", changed)
-    return out.withColumn("revision", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+    rows = running(df, [key], order, before={"_prior": F.struct(*watched)})
+    changed = F.when(F.col("_prior").isNull() | F.struct(*watched).eqNullSafe(F.col("_prior")), 0).otherwise(1)
+    return running(rows, [key], order, sums={"revision": changed}).drop("_prior")
 
 
 def retry_lineage(df: DataFrame, root: str, order: Sequence[str], queued: str) -> DataFrame:

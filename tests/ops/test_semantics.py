@@ -1,5 +1,6 @@
 """The rules that a careless version gets wrong, on hand-made rows."""
 
+import hashlib
 import random
 import time
 from collections import Counter
@@ -17,6 +18,7 @@ from fleetops.operators import joins as J
 from fleetops.operators import maintain as M
 from fleetops.operators import paging as P
 from fleetops.operators import windows as W
+from fleetops.operators.scans import running
 
 
 def col(df, name):
@@ -209,6 +211,19 @@ def test_digest_counts_duplicates_not_order(spark):
     d = lambda r: A.multiset_digest(spark.createDataFrame(r, "a long, b string"), ["a", "b"]).first()
     assert d(rows) == d(rows[::-1]) and d(rows) != d(rows[1:]) and d(rows) != d([(9, "9"), *rows[1:]])
 
+    def plain(rows):
+        lanes = [0] * 8
+        for a, b in rows:
+            h = "".join(hashlib.sha256(f'{k}|{{"a":{a},"b":"{b}"}}'.encode()).hexdigest() for k in range(2))
+            lanes = [(x + int(h[16 * k : 16 * k + 16], 16)) % (1 << 64) for k, x in enumerate(lanes)]
+        return "".join(f"{x:016x}" for x in lanes)
+
+    assert tuple(d(rows)) == (50, plain(rows)) and tuple(d(rows[:0])) == (0, "0" * 128)
+    more = [(5, "x"), (5, "x")]
+    both = spark.createDataFrame([(d(rows).digest, d(more).digest)], "a string, b string")
+    assert both.select(A.digest_sum(F.col("a"), F.col("b"))).first()[0] == d(rows + more).digest
+    assert both.select(A.digest_sum(A.digest_sum(F.col("a"), F.col("b")), F.col("b"), take=True)).first()[0] == d(rows).digest
+
 
 def test_specs_of_a_hot_project_go_to_many_files(spark, tmp_path):
     from fleetops.plans.io_plans import write_specs
@@ -239,3 +254,26 @@ def test_patterns_are_refused_or_stopped(spark):
     files = spark.createDataFrame([("f", 32, slow + "!")], "path string, length long, content string")
     codes = Counter(r.code for r in C.check_files(rules, files).collect())
     assert codes["invalid_regex"] == 5 and codes["passed"] == 3 and codes.total() == 12
+
+
+def test_running_values_of_a_hot_owner(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(3000)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "owner string, i int, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running(df, ["owner"], ["i"], sums={"s": F.col("v"), "n": F.lit(1)}, maxima={"m": F.col("v"), "first": F.struct((-F.col("i")).alias("x"))}, before={"was": F.col("v"), "at": F.col("i")})
+        placed = df.repartitionByRange("owner", "i").groupBy(F.spark_partition_id()).count().collect()
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(placed) == 4 and max(r["count"] for r in placed) < 3000 / 4 * 1.3  # half of the rows are the hot owner's
+    want = {}
+    for owner in {r[0] for r in rows}:
+        s, m, was, at, n = 0, None, None, None, 0
+        for _, i, v in (r for r in rows if r[0] == owner):
+            s, m, n = s + (v or 0), m if v is None else v if m is None else max(m, v), n + 1
+            first = i if n == 1 else first
+            want[i] = (owner, v, s, n, m, -first, was, at)
+            was, at = v, i
+    assert {r.i: (r.owner, r.v, r.s, r.n, r.m, r["first"].x, r.was, r.at) for r in found} == want
