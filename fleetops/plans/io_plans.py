@@ -243,10 +243,18 @@ def str6(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "inbox", folds.inbox(), "k", binding=F.col("kind"))
 
 
-@query("str7_stream_log_probes", f"""{BASE}, f AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY moment, id) AS n FROM log WHERE kind IN ('error', 'purchase') AND k > 50) SELECT owner, moment, CASE kind WHEN 'error' THEN 'failed' ELSE 'ready' END AS verdict FROM f WHERE n = 1""")
+#: Each event writes its kind and a digit; two of the marks reach from one event's text into the next one's.
+FAILED, READY = ("7err", "4purchase4"), ("5view8", "3cl")
+
+
+@query(
+    "str7_stream_log_probes",
+    f"""{BASE}, t AS (SELECT owner, moment, id, string_agg(concat(kind, k % 10), '') OVER (PARTITION BY owner ORDER BY moment, id) AS text FROM log), f AS (SELECT *, {" OR ".join(f"contains(text, '{p}')" for p in FAILED)} AS failed, {" OR ".join(f"contains(text, '{p}')" for p in READY)} AS ready FROM t)
+SELECT owner, moment, CASE WHEN failed THEN 'failed' ELSE 'ready' END AS verdict FROM f WHERE failed OR ready QUALIFY row_number() OVER (PARTITION BY owner ORDER BY moment, id) = 1""",
+)
 def str7(spark: SparkSession, d: str) -> DataFrame:
-    mark = lambda kind: (F.col("kind") == kind) & (F.col("k") > 50)
-    return run(spark, d, "probes", folds.log_probes(), "owner", failed=mark("error"), ready=mark("purchase"))
+    text = F.concat(F.col("kind"), (F.col("k") % 10).cast("string"))
+    return run(spark, d, "probes", folds.log_probes(FAILED, READY), "owner", text=text, start=F.lit(None).cast("long"))
 
 
 @query(

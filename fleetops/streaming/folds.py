@@ -10,10 +10,11 @@ the watermark has gone by. A row at the very time is still in time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from fleetops.operators.card_state import CardState, advance
+from fleetops.streaming.automaton import Marks
 
 
 class Rule(NamedTuple):
@@ -123,17 +124,29 @@ def inbox() -> Rule:
     return Rule(("binding",), "binding string", "at long, outcome string", step)
 
 
-def log_probes() -> Rule:
-    """The first verdict of a job's log: failed or ready. A row may hold both marks of an increment; failed wins."""
+def log_probes(failed: Sequence[str], ready: Sequence[str]) -> Rule:
+    """The first verdict of a job's log, which comes in pieces: failed or ready, by the patterns that it holds; of two in
+    one piece failed wins.
+
+    A row has a piece's text and the byte at which it starts (null: where the last one ended). A pattern may begin in one
+    piece and end in a later one. A piece that starts elsewhere, as the log was cut short or a part of it was left out, is
+    looked at by itself. Line ends count as \\n, however they are written."""
+    marks = Marks({p: "ready" for p in ready} | {p: "failed" for p in failed})
 
     def step(state: tuple | None, at: int, row: tuple) -> tuple[tuple, list[tuple]]:
-        failed, ready = row
-        if state and state[0]:
+        text, start = row[0] or "", row[1]
+        verdict, node, cr, end = state or ("", 0, False, 0)
+        if verdict:
             return state, []
-        verdict = "failed" if failed else "ready" if ready else ""
-        return (verdict,), ([(at, verdict)] if verdict else [])
-
-    return Rule(("failed", "ready"), "verdict string", "at long, verdict string", step)
+        if start is not None and start != end:
+            node, cr, end = 0, False, int(start)
+        lines = (text[1:] if cr and text[:1] == "\n" else text).replace("\r\n", "\n").replace("\r", "\n")
+        node, found = marks.feed(node, lines)
+        verdict = "failed" if "failed" in found else "ready" if found else ""
+        state = (verdict, node, text.endswith("\r") if text else cr, end + len(text.encode()))
+        return state, ([(at, verdict)] if verdict else [])
+
+    return Rule(("text", "start"), "verdict string, node int, cr boolean, end long", "at long, verdict string", step)
 
 
 def latch(every: int = 3600) -> Rule:

@@ -8,6 +8,7 @@ from fleetops.operators import windows as W
 from fleetops.operators.card_state import CardState, advance
 from fleetops.sources import tables as S
 from fleetops.streaming import folds, jobs, stateful
+from fleetops.streaming.automaton import Marks
 
 RULES = {
     "cards": (folds.card_state(), lambda r: {"sample": r.choice(["clean", "clean", "util", "pid", "failed"])}, "sample string"),
@@ -16,7 +17,7 @@ RULES = {
     "beats": (folds.heartbeat_gap(20, 60), lambda r: {}, ""),
     "progress": (folds.no_progress(30, 2), lambda r: {"digest": r.choice(["a", "a", "a", "b", None])}, "digest string"),
     "inbox": (folds.inbox(), lambda r: {"binding": r.choice("ab")}, "binding string"),
-    "probes": (folds.log_probes(), lambda r: {"failed": r.random() < 0.05, "ready": r.random() < 0.05}, "failed boolean, ready boolean"),
+    "probes": (folds.log_probes(["abba", "b\nb"], ["aab\nc"]), lambda r: {"text": "".join(r.choice("abc\n\r") for _ in range(2)), "start": None}, "text string, start long"),
     "latch": (folds.latch(50), lambda r: {"valid": r.random() < 0.9}, "valid boolean"),
 }
 
@@ -204,3 +205,34 @@ def test_a_silent_key_tells(spark, tmp_path, expire):
     assert seen[:3] == [[], [], [("dead", 120, 90)]] and seen[4] == seen[3] == seen[2]
     told_again = [("dead", 720, 690)] if expire is None else []  # an expired key tells no more
     assert seen[5] == sorted([("dead", 120, 90), ("live", 470, 90), *told_again])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_marks_in_pieces_of_a_log(seed):
+    """Against a look at the whole log, or what is left of it, after each piece."""
+    rng = random.Random(seed)
+    failed, ready = ["abab", "b\nb", "ccc"], ["ab\na", "bca", "a\n\nb"]
+    rule = folds.log_probes(failed, ready)
+    state, log, end, got, want = None, "", 0, [], []
+    for at in range(60):
+        piece = "".join(rng.choice(["a", "b", "c", "\r", "\n", "é"]) for _ in range(rng.randint(0, 3)))
+        start = rng.choice([None] * 12 + [end, 0, end + 5])
+        if start is not None and start != end:
+            log, end = "", start
+        log, end = log + piece, end + len(piece.encode())
+        state, out = rule.step(state, at, (piece, start))
+        got += out
+        lines = log.replace("\r\n", "\n").replace("\r", "\n")
+        hit = "failed" if any(p in lines for p in failed) else "ready" if any(p in lines for p in ready) else None
+        if hit and not want:
+            want = [(at, hit)]
+    assert got == want
+
+
+def test_patterns_inside_patterns():
+    marks = Marks({"he": "1", "she": "2", "hers": "3", "his": "4"})
+    assert marks.feed(0, "ushers")[1] == {"1", "2", "3"} and marks.feed(0, "shis")[1] == {"4"}
+    node, found = marks.feed(0, "xsh")
+    assert not found and marks.feed(node, "e")[1] == {"1", "2"}
+    with pytest.raises(ValueError, match="empty"):
+        Marks({"": "x"})
