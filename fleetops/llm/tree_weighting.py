@@ -25,7 +25,7 @@ from fleetops.llm.common import cut, saved
 #: Bytes of context.
 DEPTH = 5
 #: Texts of a slice, in bytes: the strings that they hold are asked for together, and kept while the slice is scored.
-SLICE = 64 << 20
+SLICE = 32 << 20
 #: Bytes that are gone through at once.
 CHUNK = 2 << 20
 #: Strings whose weights are worked out at once, in whole contexts of three bytes.
@@ -63,18 +63,21 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Whole numbers by key, in an open hash table of twice the keys' number; for keys that are all in it."""
+    """Whole numbers by key, in an open hash table that is half empty at least; for keys that are all in it. A key that
+    comes twice has the same value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        owner = np.full(1 << self.bits, -1, np.int64)
-        left, at = np.arange(len(keys)), self.start(keys)
+        keys, first = np.unique(keys, return_index=True)
+        values = values[first]
+        self.bits = max(4, int(2 * len(keys) - 1).bit_length())
+        owner = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self.start(keys)
         while len(left):
             free = owner[at] < 0
             owner[at[free]] = left[free]
             left, at = (x[owner[at] != left] for x in (left, at))
             at = at + 1 & (1 << self.bits) - 1
-        self.keys, self.values = np.append(keys, -1)[owner], np.append(values, 0)[owner]
+        self.keys, self.values = np.append(keys, -1)[owner], np.append(values, values[:1])[owner]
 
     def start(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
@@ -357,7 +360,6 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
     found = asked.select("slice", "key").join(model, "key")
     alike = Window.partitionBy("token")
     words = held.filter("token is not null").select("slice", "token", F.sum("n").over(alike).alias("n"), F.row_number().over(alike.orderBy("slice")).alias("nth"))
-    words = words.select("slice", "token", "n", (F.col("nth") == 1).alias("one_of"))
     row_kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,12 +375,12 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     keys.append(part.column("key").to_numpy())
-                    parts.append(part.column("parts").to_numpy())
-                elif kind[a] == 1:
-                    n = part.column("n").to_numpy()
-                    kinds += int((part.column("one_of").to_numpy(zero_copy_only=False) & (n > 0)).sum())
+                    parts.append(part.column("value").to_numpy().astype(np.int32))
+                elif kind[a] < 3:
+                    n = part.column("value").to_numpy()
+                    kinds += int((n > 0).sum()) * (kind[a] == 2)
                     other = part.filter(pa.array(n != 1))  # tokens that aren't kept occur once
-                    count.update(zip(other.column("token").to_pylist(), other.column("n").to_pylist()))
+                    count.update(zip(other.column("bytes").to_pylist(), other.column("value").to_pylist()))
                 else:
                     if lookup is None:
                         lookup, keys, parts = Lookup(np.concatenate(keys), np.concatenate(parts)), [], []
@@ -386,7 +388,7 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                     kinds = 0
 
     def scored(part: pa.RecordBatch, lookup: Lookup, count: dict[bytes, int], kinds: int) -> Iterator[pa.RecordBatch]:
-        a, text = 0, part.column("text")
+        a, text = 0, part.column("bytes")
         while a < len(part):
             texts, b, some = [], a, 0
             while b < len(part) and (b == a or some < CHUNK) and b - a < 4096:
@@ -401,9 +403,14 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
             yield pa.record_batch([part.column("row").slice(a, b - a), *map(pa.array, told)], ["row", "n_bytes", "n_tokens", "n_known", "counts", "score", "kinds"])
             a = b
 
-    out = ["slice", "kind", "key", "parts", "token", "n", "one_of", "row", "text"]
-    dealt = [found.withColumn("kind", F.lit(0)), words.withColumn("kind", F.lit(1)), rows.drop("learn").withColumn("kind", F.lit(2))]
-    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt).select(*out)
+    # kinds of rows: strings, tokens that another slice has shown, tokens, texts
+    kind = F.when(F.col("nth") == 1, 2).otherwise(1)
+    dealt = [
+        found.select("slice", F.lit(0).alias("kind"), "key", F.col("parts").cast("long").alias("value")),
+        words.select("slice", kind.alias("kind"), F.col("n").alias("value"), F.col("token").alias("bytes")),
+        rows.select("slice", F.lit(3).alias("kind"), F.col("text").alias("bytes"), "row"),
+    ]
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt).select("slice", "kind", "key", "value", "bytes", "row")
     dealt = dealt.repartition("slice").sortWithinPartitions("slice", "kind")
     done = saved(dealt.mapInArrow(run, f"row {row_kind}, n_bytes long, n_tokens long, n_known long, counts double, score double, kinds long"))
     total = held.filter("token is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
