@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,29 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: What `cut` has written in this process and `release` may delete.
-WRITTEN: list[str] = []
+#: Where `cut` notes the tables that it writes: a list for each run, by thread.
+NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(names: list[str]) -> Iterator[list[str]]:
+    """What `cut` writes meanwhile, in this thread, is added to names, for `release`."""
+    token = NOTED.set(names)
+    try:
+        yield names
+    finally:
+        NOTED.reset(token)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetops-{tag}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    if (names := NOTED.get()) is not None:
+        names.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, last: int = 0) -> int:
-    """Delete what `cut` has written, from its table number `since` on and but for the `last` ones, once the frames that
-    read them are no longer needed; returns how many tables."""
-    context = spark.sparkContext
-    gone = WRITTEN[since : len(WRITTEN) - last]
-    del WRITTEN[since : len(WRITTEN) - last]
-    for name in gone:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
+def release(spark: SparkSession, names: list[str]) -> int:
+    """Delete tables that `cut` has written, once the frames that read them are no longer needed; returns how many."""
+    context, gone = spark.sparkContext, len(names)
+    while names:
+        path = context._jvm.org.apache.hadoop.fs.Path(names.pop())
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return len(gone)
+    return gone
 
 
 #: Groups of a sample, as many as may be broadcast: a count for each.

@@ -78,10 +78,11 @@ def test_sums_below(spark):
     assert below(df.filter(F.lit(False)), "k", ["v"]).count() == 0
 
 
-def test_cuts_can_be_released(spark, monkeypatch):
-    monkeypatch.setattr(common, "WRITTEN", [])
-    kept = cut(spark.range(5), "kept")
-    assert kept.count() == 5 and release(spark) == 1
+def test_cuts_can_be_released(spark):
+    with common.noted([]) as names:
+        kept = cut(spark.range(5), "kept")
+    other = cut(spark.range(6), "other")
+    assert kept.count() == 5 and release(spark, names) == 1 and release(spark, names) == 0 and other.count() == 6
     spark.catalog.clearCache()
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FAILED_READ_FILE"):
         kept.count()
