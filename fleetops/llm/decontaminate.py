@@ -260,8 +260,8 @@ def contamination(
     with a match; the parts' matches are joined at the end. Scores and passages rest on the statistics of all items, so
     the parts change no result.
 
-    Null and empty texts match nothing, items without a word are never matched; repeated items match each. An input
-    column named `matches` gives way. An empty table of items gives empty arrays.
+    Null and empty texts match nothing, items without a word are never matched; repeated items match each. A very long
+    text is gone through passage by passage to its end; of passages that tie the first counts. An input column named `matches` gives way. An empty table of items gives empty arrays.
     """
     size = items.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()[0]
     parts = -(-size // index_bytes) or 1

@@ -80,7 +80,8 @@ def probabilities(net: Net, x: np.ndarray, lot: int = 32) -> np.ndarray:
         one = x[a : a + lot].astype(np.intp)
         two = one[:, :-1] * 256 + one[:, 1:]
         parts.append(np.concatenate([pooled(one, two, len(t), ts) for t, ts in zip(net.tables, tables, strict=True)], axis=1))
-    return softmax(np.maximum(np.concatenate(parts) + net.bias, 0) @ net.dense + net.dense_bias)
+    # summed window by window: a matrix product's last bits depend on how many windows it has
+    return softmax(np.einsum("wf,fl->wl", np.maximum(np.concatenate(parts) + net.bias, 0), net.dense) + net.dense_bias)
 
 
 def train(samples: list[tuple[str, str]], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 42) -> Net | None:
@@ -193,7 +194,8 @@ def predictor(net: Broadcast):
 def identify(df: DataFrame, net: Net | None, text_col: str = "text") -> DataFrame:
     """Adds `lang_pred` (a learned language, or `und` for a null text or one without a letter) and `score` (0 to 1;
     0 for `und`). Every byte of a text is in a window. Input columns of these names give way; an empty input gives an
-    empty result; without a network (nothing learned) all are `und`."""
+    empty result; without a network (nothing learned) all are `und`. Of languages that tie the first in order is taken;
+    repeated rows get the same answer, as does a row in any batch; a very long text is read window by window."""
     shared = df.sparkSession.sparkContext.broadcast(net and tuple(net))
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")]
     found = df.select(*keep, predictor(shared)(F.col(text_col)).alias("_found"))

@@ -270,8 +270,9 @@ def classify(df: DataFrame, model: Crf, text_col: str = "text", lines: bool = Fa
     """Adds `score` (0 to 1, higher: better) and `predicted` (1 if score >= 0.5), and with lines=True `line_scores`, the
     marginal probability of good for each line with a word.
 
-    A null, empty or blank text counts as one empty line and gets a score like any other. Input columns of these names
-    give way; an empty input gives an empty result.
+    A null, empty or blank text counts as one empty line and gets a score like any other. A very long text is read whole,
+    its lines at once; repeated rows get the same score. Input columns of these names give way; an empty input gives an
+    empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple(model))
     outs = ["score", "predicted", *(["line_scores"] if lines else [])]

@@ -170,7 +170,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", columns: Sequence[str]
     posterior of at least threshold. columns: the input columns to carry through (all by default; without the text
     the intermediate table is small). Outputs replace input columns of the same names.
 
-    A null text is as an empty one: no words, base_failed. An empty input gives an empty result.
+    A null text is as an empty one: no words, base_failed. A very long text is counted whole, in one row's arrays. Repeated
+    rows count as often as they occur and get the same verdict; a posterior of just threshold is kept. An empty input gives
+    an empty result.
     """
     fields = list(df.columns if columns is None else columns)
     rows = measured(pack(df), text_col)

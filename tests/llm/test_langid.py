@@ -80,3 +80,12 @@ def test_whole_texts_are_learned_from(spark, monkeypatch):
 
 def test_nothing_labelled(spark):
     assert langid.fit(spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string").filter(F.col("doc_id") > 0)) is None
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    tables = [rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    n = langid.FILTERS * len(tables)
+    net = langid.Net(["a", "b", "c"], tables, rng.normal(size=n).astype(np.float32), rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    texts = ["".join(map(chr, rng.integers(97, 123, rng.integers(1, 900)))) for _ in range(120)]
+    assert langid.predict(net, texts) == [langid.predict(net, [t])[0] for t in texts]
