@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetops.operators.windows import latest
-from fleetops.session import saved
+from fleetops.session import saved, written
 
 
 def build_edges(batches: DataFrame, tasks: DataFrame, names: DataFrame, exact: DataFrame) -> DataFrame:
@@ -64,6 +64,72 @@ def has_cycle(edges: DataFrame) -> bool:
     return bool(cyclic_edges(edges).limit(1).count())
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of all nodes that lie on cycles: the strongly connected components.
+
+    Forward and backward colouring: each node takes the smallest node that reaches it as its colour; what reaches that node
+    back over its own colour is a component. Components go, the rest is trimmed, and so on: as many rounds as components
+    lie behind one another in such an order at worst. Colours run along pointers that are doubled beside the edges, so a
+    long ring takes the logarithm of its length."""
+    left, parts = cyclic_edges(edges), []
+    alone = left.filter("src = dst").select("src").distinct()
+    while left.limit(1).count():
+        nodes = left.select(F.col("src").alias("n")).union(left.select("dst")).distinct()
+        colour = _spread(left, nodes.withColumn("mark", F.col("n")))
+        inside = left.join(colour.select(F.col("n").alias("src"), F.col("mark").alias("_a")), "src").join(colour.select(F.col("n").alias("dst"), F.col("mark").alias("_b")), "dst").filter("_a = _b")
+        back = _spread(saved(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), colour.select("n", F.when(F.col("n") == F.col("mark"), F.col("n")).alias("mark")))
+        found = saved(back.filter("mark is not null").select(F.col("n").alias("node"), F.col("mark").alias("component")))
+        parts.append(found)
+        gone = found.select(F.col("node").alias("src"))
+        rest = saved(left.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = cyclic_edges(rest) if rest.limit(1).count() else rest
+    if not parts:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    all_of = _all(parts)
+    several = all_of.groupBy("component").agg(F.count("*").alias("_n")).filter("_n > 1").select("component")
+    return all_of.join(several.unionByName(alone.select(F.col("src").alias("component"))).distinct(), "component", "left_semi").select("node", "component")
+
+
+def _spread(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """n, mark: the smallest mark of all nodes that reach n, its own included; null if none has one. Beside the edges, each
+    node looks to one that reaches it over a growing number of edges."""
+    look = edges.groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("look"))
+    now = saved(marks.join(look, "n", "left"))
+    while True:
+        known = now.select(F.col("n").alias("src"), F.col("mark").alias("_m"))
+        near = edges.join(known, "src").groupBy(F.col("dst").alias("n")).agg(F.min("_m").alias("_near"))
+        far = now.select(F.col("n").alias("look"), F.col("mark").alias("_far"), F.col("look").alias("_next"))
+        step = now.join(near, "n", "left").join(far, "look", "left")
+        best = F.least("mark", "_near", "_far")
+        step = saved(step.select("n", best.alias("mark"), F.coalesce("_next", "look").alias("look"), (~best.eqNullSafe(F.col("mark"))).alias("moved")))
+        if not step.filter("moved").limit(1).count():
+            return step.select("n", "mark")
+        now = step.drop("moved")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """component, place (from 0), node: one cycle of each component, in order, from its smallest node on; each node needs
+    nothing but the next one to need it, and the first one needs the last.
+
+    Each node points to its smallest successor in the component. Pointers are doubled until each node has looked as many
+    steps ahead as there are nodes: where it stands then lies on a cycle, and it knows the smallest node on its way and how
+    far off that is. Of several cycles of a component the one with the smallest node is shown."""
+    member = written(components(edges))
+    a, b = (member.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("src", "dst"))
+    inside = edges.select("src", "dst").dropna().distinct().join(a, "src").join(b, "dst").filter("_src = _dst")
+    first = inside.groupBy(F.col("src").alias("n")).agg(F.min("dst").alias("to"), F.first("_src").alias("component"))
+    far, n, reach = written(first.select("n", "to", "component", F.col("to").alias("least"), F.lit(1).cast("long").alias("steps"))), member.count(), 1
+    while reach < n:
+        on = far.select(F.col("n").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"), (F.col("steps") + reach).alias("_steps"))
+        later = F.col("_least") < F.col("least")
+        step = far.join(on, "to").select("n", F.col("_to").alias("to"), "component", F.least("least", "_least").alias("least"), F.when(later, F.col("_steps")).otherwise(F.col("steps")).alias("steps"))
+        far, reach = written(step), 2 * reach
+    ring = far.join(far.select(F.col("to").alias("n")).distinct(), "n", "left_semi")
+    shown = ring.groupBy("component", "least").agg(F.count("*").alias("size")).groupBy("component").agg(F.min(F.struct("least", "size")).alias("of"))
+    ring = ring.join(shown, "component").filter(F.col("least") == F.col("of.least"))
+    return ring.select("component", ((F.col("of.size") - F.col("steps")) % F.col("of.size")).alias("place"), F.col("n").alias("node"))
+
+
 def blocking_paths(roots: DataFrame, edges: DataFrame, status: DataFrame, success: tuple[str, ...] = ("done", "skip"), depth: int = 32) -> DataFrame:
     """root, source, status, reason (source_ and the status, binding_mismatch without one), hops and path for each unmet node
     upstream of each root, each once, by the shortest and then the smallest path. A met node isn't passed. `truncated` marks nodes at the depth limit that need unmet ones still.

@@ -41,9 +41,27 @@ def gra1(spark: SparkSession, d: str) -> DataFrame:
 SELECT src, dst FROM e WHERE src IS NOT NULL AND batch_id IN (SELECT batch_id FROM c) UNION SELECT last, first FROM c""",
 )
 def gra2(spark: SparkSession, d: str) -> DataFrame:
+    return G.cyclic_edges(rings(spark, d))
+
+
+def rings(spark: SparkSession, d: str) -> DataFrame:
+    """The chains of jobs, of which one in ten goes round."""
     ends = F.struct("submitted", "row_seq")
     back = frame(spark, d, "jobs").groupBy("batch_id").agg(F.max_by("id", ends).alias("src"), F.min_by("id", ends).alias("dst")).filter("batch_id % 10 = 0 and src <> dst")
-    return G.cyclic_edges(edges(spark, d).select("src", "dst").unionByName(back.select("src", "dst")))
+    return edges(spark, d).select("src", "dst").unionByName(back.select("src", "dst"))
+
+
+RINGS = "n AS (SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY submitted, row_seq) AS i, count(*) OVER (PARTITION BY batch_id) AS n FROM jobs WHERE batch_id % 10 = 0), m AS (SELECT batch_id, min(id) AS component, arg_min(i, id) AS first FROM n GROUP BY batch_id)"
+
+
+@query("gra2_components", f"""{duck("jobs")}, {RINGS} SELECT id AS node, component FROM n JOIN m USING (batch_id) WHERE n > 1""")
+def gra2_components(spark: SparkSession, d: str) -> DataFrame:
+    return G.components(rings(spark, d))
+
+
+@query("gra2_cycles", f"""{duck("jobs")}, {RINGS} SELECT component, (i - first + n) % n AS place, id AS node FROM n JOIN m USING (batch_id) WHERE n > 1""")
+def gra2_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return G.cycles(rings(spark, d))
 
 
 @query(

@@ -28,6 +28,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same by a Parquet table in the shared folder: for loops in which the optimizer would carry what it has inferred
+    of a checkpointed frame's columns from round to round."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

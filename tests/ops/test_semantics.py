@@ -277,3 +277,32 @@ def test_running_values_of_a_hot_owner(spark):
             want[i] = (owner, v, s, n, m, -first, was, at)
             was, at = v, i
     assert {r.i: (r.owner, r.v, r.s, r.n, r.m, r["first"].x, r.was, r.at) for r in found} == want
+
+
+def strongly_connected(edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    for _ in nodes:
+        reach = {n: r | {y for x in r for y in reach[x]} for n, r in reach.items()}
+    return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes if n in reach[n]}
+
+
+def test_components_and_cycles(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(36)] + [(100 + i, 100 + (i + 1) % 20) for i in range(20)] + [(119, 150), (150, 151), (151, 152), (152, 151), (160, 160), (160, 161)]
+    df = spark.createDataFrame([*edges, (None, 3), (3, None), edges[0]], "src long, dst long")
+    want = strongly_connected(set(edges))
+    assert {r.node: r.component for r in G.components(df).collect()} == want
+    shown = {}
+    for r in G.cycles(df).collect():
+        shown.setdefault(r.component, {})[r.place] = r.node
+    assert set(shown) == set(want.values())
+    for component, places in shown.items():
+        way = [places[k] for k in range(len(places))]
+        assert way[0] == min(way) and len(set(way)) == len(way) and all(want[x] == component for x in way)
+        assert all(e in edges for e in zip(way, way[1:] + way[:1]))
+
+
+def test_no_cycles(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
+    assert G.components(df).count() == 0 and G.cycles(df).count() == 0
