@@ -34,3 +34,11 @@ def advance(card: CardState, sample: str) -> tuple[CardState, bool]:
     if sample == "clean":
         return (CardState() if card.run + 1 >= CLEAN_RUN else CardState(UNMANAGED, card.run + 1)), card.run + 1 >= CLEAN_RUN
     return CardState(UNMANAGED), False
+
+
+def reachable() -> list[CardState]:
+    """All states that samples lead to, the first one first."""
+    found = [CardState()]
+    for card in found:
+        found += [c for c in dict.fromkeys(advance(card, s)[0] for s in ("clean", "util", "pid", "failed")) if c not in found]
+    return found

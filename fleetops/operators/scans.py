@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fleetops.session import saved
@@ -40,3 +42,56 @@ def running(df: DataFrame, owner: Sequence[str], order: Sequence[str], sums: Map
     out = [(F.col(f"_ls_{n}") + F.coalesce(f"_cs_{n}", F.lit(0))).alias(n) for n in sums] + [F.greatest(f"_lm_{n}", f"_cm_{n}").alias(n) for n in maxima]
     last = F.coalesce("_lh", "_ch")
     return rows.select(*df.columns, *out, *[last[n].alias(n) for n in before])
+
+
+def stepped(df: DataFrame, owner: str, order: Sequence[str], symbol: str, states: Sequence, step: Callable[[object, object], object], out: str = "state") -> DataFrame:
+    """Adds `out`: the number in `states` of the state after each row, for each owner from the first state on, in order. The
+    states are all there are: a step from one of them gives one of them again.
+
+    A hot owner isn't one task here either. What a range of rows does to an owner is a map from states to states; a range
+    gives one for its first and one for its last owner, as only these go on beyond it. Maps of ranges are put one behind
+    the other, and each range is gone through once more from the state it starts with. Rows pass in batches, sorted; a step
+    is a look into a table of those seen before. A null owner is one of its own. The order must end in a unique column."""
+    number = {s: i for i, s in enumerate(states)}
+    schema = T.StructType(list(df.schema.fields))
+    placed = df.withColumn("_owner", F.col(owner).cast("string")).repartitionByRange(owner, *order).sortWithinPartitions(owner, *order)
+    placed = saved(placed.withColumn("_range", F.spark_partition_id()))
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, found, part, same = {}, [], None, tuple(range(len(states)))
+        for batch in batches:
+            for k, s, part in zip(batch["_owner"].tolist(), batch["_symbol"].tolist(), batch["_range"].tolist(), strict=True):
+                if not found or found[-1][0] != k:
+                    found = [*found[:1], (k, same)]  # the first one and the one at hand
+                now = found[-1][1]
+                if (now, s) not in known:
+                    known[now, s] = tuple(number[step(states[i], s)] for i in now)
+                found[-1] = (k, known[now, s])
+        yield pd.DataFrame([(k, part, list(m)) for k, m in found], columns=["_of", "_r", "map"])
+
+    def carry(parts: pd.DataFrame) -> pd.DataFrame:
+        rows, now = [], 0
+        for k, r, m in parts.sort_values("_r").itertuples(index=False):
+            rows.append((k, r, now))
+            now = int(m[now])
+        return pd.DataFrame(rows, columns=["_of", "_r", "_start"])
+
+    ends = placed.select("_owner", F.col(symbol).alias("_symbol"), "_range").mapInPandas(maps, "_of string, _r int, map array<int>")
+    starts = ends.groupBy("_of").applyInPandas(carry, "_of string, _r int, _start int").filter("_start > 0")
+    rows = placed.join(F.broadcast(starts), (F.col("_range") == F.col("_r")) & F.col("_owner").eqNullSafe(F.col("_of")), "left")
+    rows = rows.select(*df.columns, "_owner", F.coalesce("_start", F.lit(0)).alias("_start"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, last, now = {}, None, 0
+        for batch in batches:
+            found = []
+            for k, s, start in zip(batch["_owner"].tolist(), batch[symbol].tolist(), batch["_start"].tolist(), strict=True):
+                if (k,) != last:
+                    last, now = (k,), start
+                if (now, s) not in known:
+                    known[now, s] = number[step(states[now], s)]
+                now = known[now, s]
+                found.append(now)
+            yield batch.drop(columns=["_owner", "_start"]).assign(**{out: pd.Series(found, index=batch.index, dtype="int32")})
+
+    return rows.mapInPandas(follow, schema.add(out, T.IntegerType()))

@@ -6,16 +6,14 @@ shuffle by its keys unless it says otherwise. Null keys form a group of their ow
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fleetops.operators.card_state import CardState, advance
-from fleetops.operators.scans import running
+from fleetops.operators.card_state import advance, reachable
+from fleetops.operators.scans import running, stepped
 from fleetops.session import saved
 
 
@@ -215,21 +213,11 @@ def unresolved_owners(owners: DataFrame, events: DataFrame, owner: str, order: S
 def card_states(df: DataFrame, key: str, order: Sequence[str], sample: str) -> DataFrame:
     """Replay of each card's debounce state: adds `state` and `dispatchable` after each sample (see card_state).
 
-    The state depends on the state before, so rows are dealt by card, sorted, and read batch by batch with the state
-    carried along: no card's samples are ever held together. A null key is a card of its own.
+    A card has a few dozen states at most, so a range of its samples is a map from states to states: a card with half of
+    all samples is spread over tasks (see scans.stepped). A null key is a card of its own. The order must end in a unique
+    column.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("state", T.StringType()), T.StructField("dispatchable", T.BooleanType())])
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        card, now = None, CardState()
-        for batch in batches:
-            told = []
-            for k, s in zip(batch[key].tolist(), batch[sample].tolist(), strict=True):
-                k = None if k != k else k
-                if (k,) != card:
-                    card, now = (k,), CardState()
-                now, usable = advance(now, s)
-                told.append((now.state, usable))
-            yield batch.assign(state=[x for x, _ in told], dispatchable=[x for _, x in told])
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(replay, schema)
+    states = reachable()
+    rows = stepped(df, key, order, sample, states, lambda card, s: advance(card, s)[0], "_card")
+    name = F.element_at(F.array(*[F.lit(c.state) for c in states]), F.col("_card") + 1)
+    return rows.select(*df.columns, name.alias("state"), (F.col("_card") == 0).alias("dispatchable"))

@@ -236,3 +236,23 @@ def test_patterns_inside_patterns():
     assert not found and marks.feed(node, "e")[1] == {"1", "2"}
     with pytest.raises(ValueError, match="empty"):
         Marks({"": "x"})
+
+
+def test_a_hot_card_is_gone_through_by_ranges(spark):
+    rng = random.Random(10)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", "", None]), i, rng.choice(["clean", "util", "pid", "failed", "failed", None] if i > 2000 else ["clean", "util", "failed"])) for i in range(4000)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "c string, i int, s string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        states = W.card_states(df, "c", ["i"], "s")
+        parts = [r["count"] for r in states.groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.i: (r.c, r.state, r.dispatchable) for r in states.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(parts) < 4000 / 4 * 1.3  # half of the rows are the hot card's
+    want, cards = {}, {}
+    for c, i, s in rows:
+        cards[c], usable = advance(cards.get(c, CardState()), s)
+        want[i] = (c, cards[c].state, usable)
+    assert got == want and len({w[1] for w in want.values()}) == 3
+    assert W.card_states(df.limit(0), "c", ["i"], "s").collect() == []
