@@ -11,7 +11,7 @@ from fleetops.plans.registry import query
 from fleetops.plans.window_plans import SAMPLES
 from fleetops.session import scratch
 from fleetops.sources import tables as S
-from fleetops.sources import versions
+from fleetops.sources import tails, versions
 from fleetops.streaming import folds, jobs, stateful
 
 
@@ -77,6 +77,37 @@ def src5(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("batch", "task", "version").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+def lots(spark: SparkSession, d: str) -> str:
+    """Documents as logs, 500 ids in each, in order."""
+    at = scratch(spark, "lots")
+    rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 500).alias("lot"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("lot").sortWithinPartitions("lot", "doc_id").select("lot", "value").write.partitionBy("lot").text(at)
+    return at
+
+
+LOT = r"cast(regexp_extract(path, 'lot=(\\d+)/', 1) as long) as lot"
+LOTS = "WITH l AS (SELECT (doc_id // 500)::bigint AS lot, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS t, arg_min(strlen(coalesce(text, '')) + 1, doc_id) AS one, arg_min(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1, doc_id) AS ends FROM documents GROUP BY ALL)"
+
+
+@query("src5_read_tails", f"{LOTS} SELECT lot, strlen(t)::bigint AS length, greatest(0, strlen(t) - 4096)::bigint AS start, right(t, 1000) AS tail FROM l")
+def src5_tails(spark: SparkSession, d: str) -> DataFrame:
+    return tails.read_tails(spark, lots(spark, d), 4096, "part-*").select(F.expr(LOT), "length", "start", F.right("text", F.lit(1000)).alias("tail"))
+
+
+@query(
+    "src5_read_growth",
+    f"{LOTS} SELECT lot, one::bigint AS first, strlen(t)::bigint AS last, (strlen(t) - one)::bigint AS bytes, (length(t) - length(replace(t, chr(10), '')) - ends)::bigint AS n_lines FROM l WHERE strlen(t) > one",
+)
+def src5_growth(spark: SparkSession, d: str) -> DataFrame:
+    """What follows each lot's first document, in pieces of 64 KiB."""
+    at = lots(spark, d)
+    one = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("lot")).agg((F.min_by(F.octet_length(F.coalesce("text", F.lit(""))), "doc_id") + 1).cast("long").alias("end"))
+    known = tails.lengths(spark, at, "part-*").selectExpr("path", LOT).join(one, "lot").select("path", "end")
+    grown = tails.read_growth(spark, at, known, 64 << 10, "part-*")
+    size = lambda c: F.sum(F.octet_length(c)).cast("long")
+    return grown.groupBy(F.expr(LOT)).agg(F.min("start").alias("first"), F.max("end").alias("last"), size(F.col("text")).alias("bytes"), size(F.regexp_replace("text", "[^\n]+", "")).alias("n_lines"))
+
+
 @query(
     "src6_read_files",
     """SELECT concat('p', page_id % 12) AS part, sum(strlen(coalesce(html, '')) + 1)::bigint AS bytes, sum(strlen(coalesce(html, '')) + 1)::bigint AS content_bytes FROM pages GROUP BY ALL""",
