@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetops.operators import paging as P
 from fleetops.plans.frames import CARD_STATES, SPARK_DAY, duck, frame, table
-from fleetops.plans.registry import query
+from fleetops.plans.join_plans import ORDER
+from fleetops.plans.registry import ORACLE_SQL, query
 from fleetops.plans.window_plans import SAMPLES
 from fleetops.session import scratch
 from fleetops.sources import tables as S
-from fleetops.sources import tails, versions
+from fleetops.sources import ranges, tails, versions
 from fleetops.streaming import folds, jobs, stateful
 
 
@@ -108,6 +109,24 @@ def src5_growth(spark: SparkSession, d: str) -> DataFrame:
     return grown.groupBy(F.expr(LOT)).agg(F.min("start").alias("first"), F.max("end").alias("last"), size(F.col("text")).alias("bytes"), size(F.regexp_replace("text", "[^\n]+", "")).alias("n_lines"))
 
 
+@query("top1_ranged_page", ORACLE_SQL["top1_keyset_page"])
+def top1_ranged(spark: SparkSession, d: str) -> DataFrame:
+    """The page of top1 from a table in its order, which opens the files of that page."""
+    at = scratch(spark, "ranges")
+    ranges.write_ranges(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), at, ORDER)
+    return ranges.read_page(spark, at, ORDER, 50, ["F", 400000.0, 100]).select("o_orderkey", "o_orderstatus", "extra")
+
+
+@query("top3_ranged_page", ORACLE_SQL["top3_anchored_page"])
+def top3_ranged(spark: SparkSession, d: str) -> DataFrame:
+    at, order = scratch(spark, "ranges"), [("event_id", True)]
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    ranges.write_ranges(events, at, order)
+    upper = events.agg(F.max("event_id")).first()[0] or 0
+    page = ranges.read_page(spark, at, order, 40, [100], [upper], F.col("event_type") == "error")
+    return page.filter("not extra").select("event_id", "user_id")
+
+
 @query(
     "src6_read_files",
     """SELECT concat('p', page_id % 12) AS part, sum(strlen(coalesce(html, '')) + 1)::bigint AS bytes, sum(strlen(coalesce(html, '')) + 1)::bigint AS content_bytes FROM pages GROUP BY ALL""",
