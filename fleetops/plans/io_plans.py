@@ -13,7 +13,7 @@ from fleetops.plans.window_plans import SAMPLES
 from fleetops.session import scratch
 from fleetops.sources import tables as S
 from fleetops.sources import ranges, tails, versions
-from fleetops.streaming import folds, jobs, stateful
+from fleetops.streaming import folds, history, jobs, stateful
 
 
 @query("src1_read_table", f"""{duck("jobs")} SELECT id::varchar AS id, batch_id::varchar AS batch_id, task_id, version, status, project, NULL::int AS rc, row_seq FROM jobs""")
@@ -274,6 +274,22 @@ def str4(spark: SparkSession, d: str) -> DataFrame:
     return run(spark, d, "beats", folds.heartbeat_gap(20000, None), "owner")
 
 
+@query("str4_resumed_heartbeat_gap", ORACLE_SQL["str4_stream_heartbeat_gap"])
+def str4_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same, the first half of the time as a table and the rest as a stream that goes on from it."""
+    rule, log, before = folds.heartbeat_gap(20000, None), frame(spark, d, "log"), spark.conf.get(history.PROVIDER[0])
+    half = log.agg(F.floor((F.min("moment") + F.max("moment")) / 2)).first()[0] or 0
+    past = log.filter(F.col("moment") < half).select("owner", "id", "moment")
+    spark.conf.set(*history.PROVIDER)
+    try:
+        known = history.states(past, rule, "owner", "moment", "id")
+        rest = event_stream(spark, d).filter(F.col("moment") >= half).select("owner", "id", "moment")
+        told = jobs.drain(history.resume(rest, known, rule, "owner", "moment", "id"), "resumed").filter("not late").drop("late")
+    finally:
+        spark.conf.set(history.PROVIDER[0], before)
+    return stateful.replay(past, rule, "owner", "moment", "id").unionByName(told).withColumnRenamed("at", "moment")
+
+
 @query(
     "str5_stream_no_progress",
     f"""{BASE}, t AS (SELECT max(moment) AS now FROM log), s AS (SELECT owner, id, moment, CASE WHEN k < 70 THEN 'same' ELSE k::varchar END AS d FROM log),
