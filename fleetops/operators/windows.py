@@ -118,11 +118,12 @@ def streaks(df: DataFrame, key: str, order: Sequence[str], hit: Column, n: int)
 
 def keep_last_ttl(df: DataFrame, ts: str, order: Sequence[str], n: int, oldest: int, exempt: DataFrame | None = None, key: str | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Retention: adds `keep`. Rows older than `oldest` go; of the rest only the newest n (of each group) stay, and rows
-    whose key is in `exempt` stay in any case, though they count among the n. A null key is never exempt."""
+    whose key is in `exempt` stay in any case, though they count among the n. A null key is never exempt. With groups, rows
+    that are equal in them and in the order stay or go together; a hot group is spread out (see `_among_first`)."""
     young = F.coalesce(F.col(ts) >= oldest, F.lit(False))
     if group:
-        w = Window.partitionBy(*group, "_young").orderBy(*_desc(order))
-        rows = df.withColumn("_young", young).withColumn("_nth", F.row_number().over(w))
+        rows = _among_first(df.withColumn("_young", young), F.col("_young"), group, order, _desc(order), n)
+        rows = rows.withColumn("_nth", F.when(F.col("_first"), n).otherwise(n + 1)).drop("_first")
     else:  # each task keeps n rows of its own, so not all rows are sorted in one
         at = [F.col(c).alias(f"_o{k}") for k, c in enumerate(order)]
         top = df.filter(young).orderBy(*_desc(order)).limit(n).select(*at, F.lit(0).alias("_nth"))
@@ -136,19 +137,31 @@ def keep_last_ttl(df: DataFrame, ts: str, order: Sequence[str], n: int, oldest:
     return rows.withColumn("keep", keep).drop("_nth", "_safe", "_young", *[f"_o{k}" for k in range(len(order))])
 
 
+def _among_first(df: DataFrame, of: Column, group: Sequence[str], order: Sequence[str], by: Sequence[Column], n: int) -> DataFrame:
+    """Adds `_first`: the row is among the first n of its group's rows for which `of` holds. Each task hands on n rows of a
+    group at most (Spark's group limit, for n up to spark.sql.optimizer.windowGroupLimitThreshold), and rows find
+    themselves among them by group and order together, so a hot group isn't one task."""
+    names = [*group, *order]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(*by))
+    first = df.filter(of).select(*names).withColumn("_nth", nth).filter(F.col("_nth") <= n)
+    first = first.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(names)]).distinct().withColumn("_in", F.lit(True))
+    rows = df.join(first, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(names)], "left")
+    return rows.select(*df.columns, (of & F.coalesce("_in", F.lit(False))).alias("_first"))
+
+
 def snapshot_retention(df: DataFrame, closed: str, id_col: str, now: int, days: int, keep: int, group: Sequence[str]) -> DataFrame:
     """Which restore points may go: adds `eligible` and `reasons`. The newest `keep` of a group by (closed, id) stay; a
-    point closed after now - days stays (strictly after); one that never closed stays."""
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last(closed), F.desc(id_col)))
+    point closed after now - days stays (strictly after); one that never closed stays. A hot group
+    is spread out (see `_among_first`)."""
     reasons = F.array_compact(
         F.array(
             F.when(F.col(closed).isNull(), "not_closed"),
             F.when(F.col(closed) > now - days * 86400, "retention_period_not_elapsed"),
-            F.when(F.col(closed).isNotNull() & (F.col("_nth") <= keep), "retained_by_keep_last"),
+            F.when(F.col(closed).isNotNull() & F.col("_first"), "retained_by_keep_last"),
         )
     )
-    out = df.withColumn("_nth", nth).withColumn("reasons", reasons)
-    return out.withColumn("eligible", F.size("reasons") == 0).drop("_nth")
+    rows = _among_first(df, F.lit(True), group, [closed, id_col], [F.desc_nulls_last(closed), F.desc(id_col)], keep)
+    return rows.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0).drop("_first")
 
 
 def first_free(pool: DataFrame, claims: DataFrame, requests: DataFrame, group: str, unit: str, order: str, wanted: str) -> DataFrame:

@@ -306,3 +306,24 @@ def test_components_and_cycles(spark):
 def test_no_cycles(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
     assert G.components(df).count() == 0 and G.cycles(df).count() == 0
+
+
+def test_retention_of_a_hot_group(spark):
+    rng = random.Random(12)
+    rows = [(i, "hot" if rng.random() < 0.5 else rng.choice(["a", None]), rng.choice([None, *range(100)])) for i in range(1500)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "id int, g string, at int")
+    kept = W.keep_last_ttl(df, "at", ["at", "id"], 7, 60, df.filter("id % 100 = 3"), "id", ["g"])
+    points = W.snapshot_retention(df, "at", "id", 90 * 86400, 90, 4, ["g"])
+    want, newest = set(), {}
+    for g in ("hot", "a", None):
+        young = sorted(((t, i) for i, h, t in rows if h == g and t is not None and t >= 60), reverse=True)
+        want |= {i for _, i in young[:7]}
+        newest[g] = {i for _, i in sorted(((-1 if t is None else t, i) for i, h, t in rows if h == g), reverse=True)[:4]}
+    want |= {i for i, _, _ in rows if i % 100 == 3}
+    assert {r.id for r in kept.filter("keep").collect()} == want and kept.count() == points.count() == 1500
+    for r in points.collect():
+        reasons = ["not_closed"] if r["at"] is None else (["retention_period_not_elapsed"] if r["at"] > 0 else []) + (["retained_by_keep_last"] if r.id in newest[r.g] else [])
+        assert (r.reasons, r.eligible) == (reasons, not reasons)
+    for out in (kept, points):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "WindowGroupLimit" in plan and plan.count("Window [") == 1
