@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,9 @@ DEPTH = 5
 #: Texts of a slice, in bytes: the strings that they hold are asked for together, and kept while the slice is scored.
 SLICE = 32 << 20
 #: Bytes that are gone through at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+#: Strings of a slice that are held, repeats among them, before they are first summed up; and rows of a batch that is sent.
+HELD, PIECE = 3_000_000, 1 << 16
 #: Strings whose weights are worked out at once, in whole contexts of three bytes.
 LOT = 200_000
 #: Before a text's first byte, and after its last one; no UTF-8 text holds it.
@@ -63,30 +67,28 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    """Whole numbers by key, in an open hash table that is half empty at least; for keys that are all in it. A key that
-    comes twice has the same value."""
+    """Whole numbers by key, for keys that are all in it. Keys stand in the order of their hashes, with the place where each
+    of about as many ranges of hashes begins. A key that comes twice has the same value."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        keys, first = np.unique(keys, return_index=True)
-        values = values[first]
-        self.bits = max(4, int(2 * len(keys) - 1).bit_length())
-        owner = np.full(1 << self.bits, -1, np.int32)
-        left, at = np.arange(len(keys), dtype=np.int32), self.start(keys)
-        while len(left):
-            free = owner[at] < 0
-            owner[at[free]] = left[free]
-            left, at = (x[owner[at] != left] for x in (left, at))
-            at = at + 1 & (1 << self.bits) - 1
-        self.keys, self.values = np.append(keys, -1)[owner], np.append(values, values[:1])[owner]
+        self.bits = max(1, len(keys).bit_length())
+        by = np.argsort(self.hashed(keys))
+        self.keys, self.values = keys[by], values[by]
+        del by
+        self.begin = np.zeros(1 << self.bits, np.int32)
+        np.cumsum(np.bincount(self.range(self.keys), minlength=1 << self.bits)[:-1], out=self.begin[1:])
+
+    def hashed(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def start(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+    def range(self, keys: np.ndarray) -> np.ndarray:
+        return (self.hashed(keys) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self.start(keys)
+        at = self.begin[self.range(keys)]
         left = np.flatnonzero(self.keys[at] != keys)
         while len(left):
-            at[left] = at[left] + 1 & (1 << self.bits) - 1
+            at[left] += 1
             left = left[self.keys[at[left]] != keys[left]]
         return self.values[at]
 
@@ -99,11 +101,53 @@ def tallied(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[by], first) if len(keys) else n
 
 
+class Counts:
+    """The counts of a slice's tokens by their XXH64, without an object for each; tokens that share theirs are kept apart."""
+
+    def __init__(self, parts: list[tuple[pa.Array, np.ndarray]]):
+        hashes = np.concatenate([hashed(t.to_pylist()) for t, _ in parts])
+        n = np.concatenate([c for _, c in parts])
+        by = np.argsort(hashes)
+        again = by[1:][np.diff(hashes[by]) == 0]
+        clashing = set(hashes[again[n[again] != n[by[:-1][np.diff(hashes[by]) == 0]]]].tolist())
+        starts = np.cumsum([0] + [len(t) for t, _ in parts])
+        self.odd = {}
+        for i in np.flatnonzero(np.isin(hashes, list(clashing))).tolist() if clashing else ():
+            part = int(np.searchsorted(starts, i, "right")) - 1
+            self.odd[parts[part][0][i - int(starts[part])].as_py()] = int(n[i])
+        self.found = Lookup(hashes, n)
+
+    def find(self, asked: list[bytes]) -> np.ndarray:
+        out = self.found.find(hashed(asked))
+        if self.odd:
+            out = np.array([self.odd.get(w, c) for w, c in zip(asked, out.tolist())], np.int64)
+        return out
+
+
+def merged(runs: list[tuple[np.ndarray, np.ndarray]], some: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted runs of keys and numbers as one, each key once with its sum, in pieces of some rows: beside the runs only a
+    piece is held."""
+    if not sum(len(k) for k, _ in runs):
+        return
+    step = max(1, some // (4 * len(runs)))
+    bounds = np.sort(np.concatenate([k[::step] for k, _ in runs]))[some // step :: max(1, some // step)]
+    bounds = np.unique(bounds)
+    ends = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k, _ in runs]
+    for i in range(len(bounds) + 1):
+        keys = np.concatenate([k[e[i] : e[i + 1]] for (k, _), e in zip(runs, ends)])
+        if len(keys):
+            yield tallied(keys, np.concatenate([n[e[i] : e[i + 1]] for (_, n), e in zip(runs, ends)]))
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words between ASCII white space, then one end, an empty token."""
     return [*text.split(), b""]
 
 
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), ">i8").astype(np.int64)
+
+
 def log_gamma_table(shift: float, size: int = 4096) -> np.ndarray:
     """log of (shift)(shift + 1)...(shift + n - 1) for n below size."""
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(size - 1) + shift))])
@@ -201,23 +245,23 @@ def contents(docs: DataFrame, depth: int) -> DataFrame:
 
     def told(slice_no: int, held: list[tuple[np.ndarray, np.ndarray]], words: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         names = ["slice", "key", "token", "n"]
-        for keys, n in summed(held):
-            yield pa.record_batch([pa.array(np.full(len(keys), slice_no)), pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(n)], names)
-        m = len(words)
-        yield pa.record_batch([pa.array(np.full(m, slice_no)), pa.nulls(m, pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names)
-
-    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [tallied(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))] if held else []
+        for keys, n in merged(held, PIECE):
+            m = len(keys)
+            yield pa.record_batch([pa.array(np.full(m, slice_no)), pa.array(keys), pa.nulls(m, pa.binary()), pa.array(n)], names)
+        left = iter(words.items())
+        while some := list(islice(left, PIECE)):
+            m = len(some)
+            yield pa.record_batch([pa.array(np.full(m, slice_no)), pa.nulls(m, pa.int64()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, words = None, [], Counter()
+        now, held, words, most = None, [], Counter(), HELD
         for batch in batches:
             slices, a = batch.column(0).to_numpy(), 0
             while a < len(batch):
                 if slices[a] != now:
                     if now is not None:
                         yield from told(now, held, words)
-                    now, held, words = slices[a], [], Counter()
+                    now, held, words, most = slices[a], [], Counter(), HELD
                 texts, b, some = [], a, 0
                 while b < len(batch) and slices[b] == now and (b == a or some < CHUNK):
                     texts.append(batch.column(1)[b].as_py().lower())  # of bytes, so A-Z only
@@ -234,8 +278,9 @@ def contents(docs: DataFrame, depth: int) -> DataFrame:
                             words.update(tokens(t))
                         else:
                             words.update(dict.fromkeys(tokens(t), 0))
-                if sum(len(k) for k, _ in held) > 4_000_000:
-                    held = summed(held)
+                if sum(len(k) for k, _ in held) > most:
+                    held = list(merged(held, PIECE))
+                    most = max(HELD, sum(len(k) for k, _ in held) * 3 // 2)
                 a = b
         if now is not None:
             yield from told(now, held, words)
@@ -363,7 +408,7 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
     row_kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, parts, count, lookup, kinds = None, [], [], {}, None, 0
+        now, keys, parts, told, count, lookup, kinds = None, [], [], [], None, None, 0
         for batch in batches:
             of, kind = batch.column("slice").to_numpy(), batch.column("kind").to_numpy()
             edges = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
@@ -371,23 +416,23 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                 if a == b:
                     continue
                 if of[a] != now:
-                    now, keys, parts, count, lookup, kinds = of[a], [], [], {}, None, 0
+                    now, keys, parts, told, count, lookup, kinds = of[a], [], [], [], None, None, 0
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
-                    keys.append(part.column("key").to_numpy())
+                    keys.append(part.column("key").to_numpy().copy())  # else the whole batch stays
                     parts.append(part.column("value").to_numpy().astype(np.int32))
                 elif kind[a] < 3:
-                    n = part.column("value").to_numpy()
+                    n = part.column("value").to_numpy().copy()
                     kinds += int((n > 0).sum()) * (kind[a] == 2)
-                    other = part.filter(pa.array(n != 1))  # tokens that aren't kept occur once
-                    count.update(zip(other.column("bytes").to_pylist(), other.column("value").to_pylist()))
+                    told.append((pa.concat_arrays([part.column("bytes"), pa.array([], part.column("bytes").type)]), n))
                 else:
                     if lookup is None:
                         lookup, keys, parts = Lookup(np.concatenate(keys), np.concatenate(parts)), [], []
+                        count, told = Counts(told), []
                     yield from scored(part, lookup, count, kinds)
                     kinds = 0
 
-    def scored(part: pa.RecordBatch, lookup: Lookup, count: dict[bytes, int], kinds: int) -> Iterator[pa.RecordBatch]:
+    def scored(part: pa.RecordBatch, lookup: Lookup, count: Counts, kinds: int) -> Iterator[pa.RecordBatch]:
         a, text = 0, part.column("bytes")
         while a < len(part):
             texts, b, some = [], a, 0
@@ -397,7 +442,7 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                 b += 1
             at, first = strings(texts, depth)
             sums = np.add.reduceat(lookup.find(at).astype(np.int64), first)
-            words = [np.array([count.get(w, 1) for w in tokens(t)], np.float64) for t in texts]
+            words = [count.find(tokens(t)) for t in texts]
             sizes = np.array([len(t) for t in texts])
             told = [sizes, np.array([len(c) for c in words]), np.array([(c > 0).sum() for c in words]), np.array([np.log10(c + 1).sum() for c in words]), sums / GRAIN, np.array([kinds if a + k == 0 else 0 for k in range(b - a)])]
             yield pa.record_batch([part.column("row").slice(a, b - a), *map(pa.array, told)], ["row", "n_bytes", "n_tokens", "n_known", "counts", "score", "kinds"])

@@ -2,13 +2,16 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from fleetops.llm import tree_weighting
 from fleetops.llm.langid import remainder
-from fleetops.llm.tree_weighting import END, GRAIN, HALVES, WHOLES, Lookup, counted, log_kt, rising, score, strings
+from fleetops.llm.tree_weighting import END, GRAIN, HALVES, WHOLES, Counts, Lookup, counted, log_kt, merged, rising, score, strings
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, learn boolean, key long, n int, row string"
@@ -156,3 +159,33 @@ def test_lookup():
     asked = rng.permutation(np.repeat(np.arange(len(keys)), 2))
     assert (found.find(keys[asked]) == n[asked]).all() and n.sum() == 20_000
     assert Lookup(keys[:1], n[:1]).find(keys[[0, 0]]).tolist() == [n[0]] * 2
+
+
+def test_lookup_takes_little_beside_its_keys():
+    """A slice's keys are its task's largest table: some 80 bytes a key on the way took an executor over its memory."""
+    keys = np.random.default_rng(5).permutation(np.arange(400_000) * 7919)
+    tracemalloc.start()
+    found = Lookup(keys, keys.astype(np.int32))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 50 * len(keys) and held < 25 * len(keys)
+    assert (found.find(keys[::3]) == keys[::3].astype(np.int32)).all()
+
+
+def test_runs_are_merged_piece_by_piece():
+    rng = np.random.default_rng(6)
+    for n, some in [(0, 9), (1, 9), (4, 9), (7, 2000), (60, 100)]:
+        runs = [counted(rng.integers(0, 1 << rng.integers(1, 40), rng.integers(0, 5000))) for _ in range(n)]
+        got = list(merged(runs, some))
+        assert all(len(k) <= 2 * some + n for k, _ in got)
+        want = Counter()
+        for k, c in runs:
+            want.update(dict(zip(k.tolist(), c.tolist())))
+        assert [(k, c) for ks, cs in got for k, c in zip(ks.tolist(), cs.tolist())] == sorted(want.items())
+
+
+def test_counts_of_tokens_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(tree_weighting, "hashed", lambda tokens: np.array([len(t) for t in tokens], np.int64))
+    count = Counts([(pa.array([b"a", b"bb"], pa.binary()), np.array([3, 5])), (pa.array([b"", b"cc", b"a"], pa.binary()), np.array([0, 7, 3]))])
+    assert count.find([b"cc", b"bb", b"a", b"", b"bb"]).tolist() == [7, 5, 3, 0, 5]
+    assert sorted(count.odd) == [b"bb", b"cc"]
