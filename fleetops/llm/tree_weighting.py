@@ -9,6 +9,7 @@ bytes of what the mixture gives them.
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -42,6 +43,13 @@ END = 0xFF
 GRAIN = 1 << 24
 
 
+def hand_back() -> None:
+    """What was freed goes back to the system: a worker that waits for its next task would keep it beside those at work."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings of depth + 1 bytes that end at each byte of each text and at its END, as numbers, and where each text's
     strings begin. The last byte is the lowest, above it stands the byte before and so on, from the top down: contexts that
@@ -262,6 +270,7 @@ def contents(docs: DataFrame, depth: int) -> DataFrame:
                     if now is not None:
                         yield from told(now, held, words)
                     now, held, words, most = slices[a], [], Counter(), HELD
+                    hand_back()
                 texts, b, some = [], a, 0
                 while b < len(batch) and slices[b] == now and (b == a or some < CHUNK):
                     texts.append(batch.column(1)[b].as_py().lower())  # of bytes, so A-Z only
@@ -284,6 +293,8 @@ def contents(docs: DataFrame, depth: int) -> DataFrame:
                 a = b
         if now is not None:
             yield from told(now, held, words)
+        held, words, batch, texts, own = [], Counter(), None, [], []
+        hand_back()
 
     return cut(docs.select("slice", "text", "learn").mapInArrow(run, "slice long, key long, token binary, n long"), "slices")
 
@@ -371,6 +382,7 @@ def log_probabilities(strings: DataFrame, depth: int) -> DataFrame:
             yield pa.record_batch([pa.array(keys), pa.array(np.rint(out * GRAIN).astype(np.int32))], ["key", "parts"])
             still = code >> 8 >= keys[-1] >> up
             code, table = code[still], table[:, still]
+        hand_back()
 
     zero = F.lit(0).cast("long")
     none = F.lit(0.0)
@@ -417,6 +429,7 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                     continue
                 if of[a] != now:
                     now, keys, parts, told, count, lookup, kinds = of[a], [], [], [], None, None, 0
+                    hand_back()
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     keys.append(part.column("key").to_numpy().copy())  # else the whole batch stays
@@ -431,6 +444,8 @@ def score(docs: DataFrame, trained: Column, columns: list[str], text_col: str =
                         count, told = Counts(told), []
                     yield from scored(part, lookup, count, kinds)
                     kinds = 0
+        count = lookup = batch = part = None
+        hand_back()
 
     def scored(part: pa.RecordBatch, lookup: Lookup, count: Counts, kinds: int) -> Iterator[pa.RecordBatch]:
         a, text = 0, part.column("bytes")
