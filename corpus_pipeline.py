@@ -51,7 +51,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id (null ids last; of equal ids one row):
-    texts linked at a Jaccard similarity of 0.8 of their five-word shingles or more."""
+    texts linked at a Jaccard similarity of 0.8 of their five-word shingles or more, among those that meet in the
+    byte-position index of their SimHash fingerprints."""
     return near_copies(docs, shingle=5, similarity=0.8).filter("is_first").select(*docs.columns)
 
 
